@@ -1,7 +1,7 @@
 """Language identification by compression.
 
 For each language a raw-content zstandard dictionary is cut from a bounded sample of labelled texts. A whole text
-is lower-cased and compressed once with every dictionary; the smallest result names the language. The score is the margin: the
+is lower-cased, its non-letters are folded to one space, and it is compressed once with every dictionary; the smallest result names the language. The score is the margin: the
 share by which the best result is smaller than the second best, scaled to 0..1. A text is rejected if its
 margin is narrow.
 
@@ -13,6 +13,7 @@ clash with columns of the input replace them.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ MAX_LANGUAGES = 64
 #: A text is rejected if the second best result is not larger than the best by this share.
 MIN_MARGIN = 0.002
 LEVEL = 1
+#: Sampled pieces that start alike for so many bytes are copies; only the label that most of them have keeps them.
+HEAD_BYTES = 48
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, bytes]]:
@@ -48,7 +51,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     u = F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     rows = (
         labelled.filter(u < share[F.col(lang)])
-        .select(F.col(lang).alias("l"), F.lower(F.substring(F.col(text), 1, PIECE_BYTES)).alias("t"), u.alias("u"))
+        .select(F.col(lang).alias("l"), folded(F.substring(F.col(text), 1, PIECE_BYTES)).alias("t"), u.alias("u"))
         .orderBy("l", "u", "t")
         .limit(2 * sample_rows * len(counts))
         .collect()
@@ -58,8 +61,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     return [(name, b"\n".join(own)[:DICTIONARY_BYTES]) for name, own in pieces.items()]
 
 
+def folded(text: Column) -> Column:
+    """Lower case, and one space for each run of other characters than letters: junk between words would hide the words from the matcher."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+
+
 def _packers(models: list[tuple[str, bytes]]) -> list:
-    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=4, strategy=zstandard.STRATEGY_DFAST, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     return [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress for _, content in models]
 
 
@@ -67,6 +75,11 @@ def _agreeing(pieces: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
     """Drops sampled pieces whose label the dictionaries of the other half do not confirm: wrong labels in the sample would lend their text to the wrong dictionary."""
     if len(pieces) < 2:
         return pieces
+    said = Counter((piece[:HEAD_BYTES], name) for name, own in pieces.items() for piece in own)
+    most = {}
+    for (head, name), n in said.items():
+        most[head] = max(most.get(head, (0, "")), (n, name))
+    pieces = {name: [x for x in own if most[x[:HEAD_BYTES]][1] == name] or own for name, own in pieces.items()}
     kept = {name: [] for name in pieces}
     for half in (0, 1):
         models = [(name, b"\n".join(own[half::2])[:DICTIONARY_BYTES]) for name, own in pieces.items()]
@@ -83,7 +96,7 @@ def predict(docs: DataFrame, models: list[tuple[str, bytes]], text: str = "text"
     """The kept columns (by default all), with lang_pred, score, margin and rejected appended."""
     new = ("lang_pred", "score", "margin", "rejected")
     cols = keep if keep is not None else [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    base = docs.select(*cols, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"), F.lower(F.col(text)).alias("__text"))
+    base = docs.select(*cols, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"), folded(F.col(text)).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-2])
     names = [m[0] for m in models]
     shared = docs.sparkSession.sparkContext.broadcast(models)
