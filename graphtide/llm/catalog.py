@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from graphtide.llm import langid, quality, toxicity, url_filter
+from graphtide.llm import langid, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_url_filter": url_filter.op3_url_filter,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLES = {name: sql for name, sql in {
     "op1_language_id": langid.ORACLE_SQL,
+    "op2_secret_scan": secrets.ORACLE_SQL,
     "op3_url_filter": url_filter.ORACLE_SQL,
     "op8_toxicity": toxicity.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
