@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphtide.llm import langid, quality, secrets, toxicity, url_filter
+from graphtide.llm import decontaminate, langid, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLES = {name: sql for name, sql in {
     "op1_language_id": langid.ORACLE_SQL,
@@ -17,4 +18,5 @@ ORACLES = {name: sql for name, sql in {
     "op3_url_filter": url_filter.ORACLE_SQL,
     "op8_toxicity": toxicity.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
+    "op10_decontamination": decontaminate.ORACLE_SQL,
 }.items() if sql is not None}
