@@ -220,19 +220,21 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     return model
 
 
-def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """About sample_rows rows of each class, chosen by a hash of the id, are fetched and fitted."""
-    labelled = labelled.filter(F.col(toxic).isin(0, 1) & F.col(text).isNotNull())
-    counts = {r["y"]: r["count"] for r in labelled.groupBy(F.col(toxic).cast("int").alias("y")).count().collect()}
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """About sample_rows labels of each class, chosen by a hash of the id, are joined with their texts, fetched and
+    fitted. The sample of labels is bounded, so it is broadcast and the texts stay where they are."""
+    labels = labels.filter(F.col(toxic).isin(0, 1) & F.col(doc_id).isNotNull())
+    counts = {r["y"]: r["count"] for r in labels.groupBy(F.col(toxic).cast("int").alias("y")).count().collect()}
     if not counts:
         return fit([], np.zeros(0))
     u = F.pmod(F.xxhash64(F.col(doc_id), F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col(toxic) == 1, F.lit(min(1.0, sample_rows / counts.get(1, 1)))).otherwise(min(1.0, sample_rows / counts.get(0, 1)))
-    rows = labelled.filter(u < share).select(F.col(text).alias("t"), F.col(toxic).cast("int").alias("y"), u.alias("u")).orderBy("u", "t").limit(4 * sample_rows).collect()
+    drawn = labels.filter(u < share).select(F.col(doc_id).alias("__id"), F.col(toxic).cast("int").alias("y"), u.alias("u")).orderBy("u", "__id", "y").limit(4 * sample_rows)
+    rows = docs.filter(F.col(text).isNotNull()).join(F.broadcast(drawn), F.col(doc_id) == F.col("__id")).select(F.col(text).alias("t"), "y", "u").orderBy("u", "t", "y").limit(4 * sample_rows).collect()
     model = fit([r["t"] for r in rows], np.array([r["y"] for r in rows], dtype=np.float64))
-    if len(counts) == 2 and rows:  # classes were sampled at different rates
-        drawn = sum(r["y"] for r in rows)
-        model.curve[0] += np.log(counts[1] / counts[0]) - np.log(drawn / max(1, len(rows) - drawn))
+    ones = sum(r["y"] for r in rows)
+    if len(counts) == 2 and 0 < ones < len(rows):  # classes were sampled at different rates
+        model.curve[0] += np.log(counts[1] / counts[0]) - np.log(ones / (len(rows) - ones))
     return model
 
 
@@ -283,7 +285,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
-    model = train(docs.filter(~held_out()).join(labels, "doc_id"))
+    model = train(docs.filter(~held_out()), labels)
     return score(docs, model, keep=[F.col("doc_id"), held_out().alias("held_out")])
 
 
