@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphtide.llm import decontaminate, langid, mixing, quality, secrets, toxicity, url_filter
+from graphtide.llm import decontaminate, langid, mixing, near_dedup, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality.op9_quality_rules,
@@ -17,6 +18,7 @@ ORACLES = {name: sql for name, sql in {
     "op1_language_id": langid.ORACLE_SQL,
     "op2_secret_scan": secrets.ORACLE_SQL,
     "op3_url_filter": url_filter.ORACLE_SQL,
+    "op4_near_dedup": near_dedup.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op8_toxicity": toxicity.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
