@@ -47,7 +47,7 @@ def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int) -> DataFrame:
-    """(__k, start, size, w): verified occurrences; docs must have the row key __k."""
+    """(__k, n_words, start, size, ids): one row with n_words for each row of docs, and the verified occurrences; docs must have the row key __k."""
     win = windows(items, item_id, item_text, window).persist()
     size = win.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.expr("aggregate(w, 0L, (a, x) -> a + octet_length(x) + 24) + 8 * size(ids)")), F.lit(0)).alias("b")).first()
     small = size["b"] <= BROADCAST_BYTES
@@ -67,15 +67,22 @@ def hits(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text:
     )
     if not small:
         ranked = ranked.select("word", F.explode("places").alias("p")).select("word", F.array("p").alias("places"))
-    found = (
-        split.select("__k", "ws", F.posexplode_outer("ws").alias("pos", "word"))
-        .join(_maybe_broadcast(ranked, small), "word")
-        .select("__k", "ws", "pos", F.explode("places").alias("p"))
-        .filter("pos >= p.at AND pos - p.at + p.size <= size(ws)")
-        .filter("slice(ws, pos - p.at + 1, p.size) = p.w")
-        .select("__k", (F.col("pos") - F.col("p.at")).alias("start"), F.col("p.size").alias("size"), F.col("p.w").alias("w"))
-    )
-    return found.join(_maybe_broadcast(win, small), "w").select("__k", "start", "size", "ids")
+    if not small:
+        found = _places(split.select("__k", "ws", F.posexplode_outer("ws").alias("pos", "word")).join(ranked, "word").select("__k", "ws", "pos", F.explode("places").alias("p")))
+        counts = split.select("__k", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("w"), F.size("ws").cast("long").alias("n_words"))
+        found = found.unionByName(counts)
+    else:
+        # an empty word before the first carries each document's word count through the same pass
+        marker = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(None).cast(ranked.schema["places"].dataType).alias("places"))
+        led = split.select("__k", "ws", F.posexplode_outer(F.concat(F.array(F.lit("")), "ws")).alias("pos", "word")).select("__k", "ws", (F.col("pos") - 1).alias("pos"), "word")
+        found = _places(led.join(F.broadcast(ranked.unionByName(marker)), "word").select("__k", "ws", "pos", F.explode_outer("places").alias("p")))
+    return found.join(_maybe_broadcast(win, small), "w", "left").select("__k", "n_words", "start", "size", "ids")
+
+
+def _places(joined: DataFrame) -> DataFrame:
+    """Places that stay in the document and hold the whole window; rows without a place give the word count."""
+    fits = "pos >= p.at AND pos - p.at + p.size <= size(ws) AND slice(ws, pos - p.at + 1, p.size) = p.w"
+    return joined.filter(f"p IS NULL OR ({fits})").select("__k", (F.col("pos") - F.col("p.at")).alias("start"), F.col("p.size").alias("size"), F.col("p.w").alias("w"), F.when(F.col("p").isNull(), F.size("ws").cast("long")).alias("n_words"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -84,16 +91,20 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     docs = docs.drop(*new).withColumn("__k", F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
     found = hits(docs, items, text, item_id, item_text, window)
     # the union of the intervals: a start covers up to the next start at most
-    per_start = found.groupBy("__k", "start").agg(F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
-    per_doc = per_start.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    per_start = found.groupBy("__k", "start").agg(F.max("n_words").alias("n_words"), F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
+    per_doc = per_start.groupBy("__k").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "size")))).alias("s"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"),
+    )
     merged = F.aggregate(
         F.col("s"),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["start"] + x["size"] - F.greatest(a["end"], x["start"]))).alias("n"), F.greatest(a["end"], x["start"] + x["size"]).alias("end")),
         lambda a: a["n"],
     )
-    per_doc = per_doc.select("__k", merged.cast("long").alias("n_hit"), F.col("ids").alias("item_ids"))
-    out = docs.withColumn("n_words", F.size(words(F.col(text))).cast("long")).join(per_doc, "__k", "left")
+    per_doc = per_doc.select("__k", "n_words", merged.cast("long").alias("n_hit"), F.col("ids").alias("item_ids"))
+    out = docs.join(per_doc, "__k", "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
     return out.withColumns({"n_items": F.size("item_ids").cast("long"), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))}).drop("__k")
 
