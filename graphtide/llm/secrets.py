@@ -195,6 +195,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
     return df.withColumn("secrets", F.array_sort(F.concat(*parts))).drop("__k", "__mask")
 
 
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by <kind>; overlapping spans become one, named after the first."""
+    empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    step = lambda a, x: F.struct(
+        F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("<"), x["kind"], F.lit(">"))).otherwise(a["out"]).alias("out"),
+        F.greatest(a["at"], x["stop"]).alias("at"),
+    )
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, empty, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+
+
 def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
