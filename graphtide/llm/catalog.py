@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphtide.llm import decontaminate, langid, mixing, near_dedup, quality, secrets, toxicity, url_filter
+from graphtide.llm import decontaminate, langid, mixing, near_dedup, quality, secrets, substring_words, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_substring_words": substring_words.op7_substring_words,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontamination": decontaminate.op10_decontamination,
@@ -20,6 +21,7 @@ ORACLES = {name: sql for name, sql in {
     "op3_url_filter": url_filter.ORACLE_SQL,
     "op4_near_dedup": near_dedup.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
+    "op7_substring_words": substring_words.ORACLE_SQL,
     "op8_toxicity": toxicity.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
     "op10_decontamination": decontaminate.ORACLE_SQL,
