@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graphtide.llm import decontaminate, langid, mixing, near_dedup, quality, secrets, substring_words, toxicity, url_filter
+from graphtide.llm import decontaminate, langid, mixing, near_dedup, quality, secrets, substring_bytes, substring_words, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_substring_bytes": substring_bytes.op5_substring_bytes,
     "op6_mixing": mixing.op6_mixing,
     "op7_substring_words": substring_words.op7_substring_words,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -20,6 +21,7 @@ ORACLES = {name: sql for name, sql in {
     "op2_secret_scan": secrets.ORACLE_SQL,
     "op3_url_filter": url_filter.ORACLE_SQL,
     "op4_near_dedup": near_dedup.ORACLE_SQL,
+    "op5_substring_bytes": substring_bytes.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op7_substring_words": substring_words.ORACLE_SQL,
     "op8_toxicity": toxicity.ORACLE_SQL,
