@@ -13,6 +13,8 @@ one; a value without tokens has factor 1; a dimension value missing from a given
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +25,26 @@ ROUNDS = 8
 POWER = 0.5
 #: A cell table up to so many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
-WORD = r"[^\x20\x09-\x0D]+"
+#: Strings that put a text into a topic class; the first class that has one of its strings wins.
+TOPICS = (
+    ("legal", ("icense", "opyright", "ights reserved")),
+    ("contact", ("@",)),
+    ("markup", ("|", "###", "$$$", "%%%", "&&&", "***")),
+)
 
 
 def topic(text: Column) -> Column:
     """The topic class of a text: legal, contact, markup or prose."""
-    return (
-        F.when(text.rlike(r"(?i)licen[sc]e|copyright|rights reserved"), "legal")
-        .when(text.rlike(r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.[a-z]"), "contact")
-        .when(text.rlike(r"[#$%&|*]{3}|\|"), "markup")
-        .otherwise("prose")
-    )
+    out = F
+    for name, strings in TOPICS:
+        out = out.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in strings]), name)
+    return out.otherwise("prose")
+
+
+def token_count(text: Column) -> Column:
+    """Pieces between spaces and line ends; 0 for an empty text."""
+    marks = sum((F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in (" ", "\n")), F.lit(1))
+    return F.when(F.length(text) == 0, 0).otherwise(marks).cast("long")
 
 
 def cells_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -44,7 +55,7 @@ def cells_of(docs: DataFrame, text: str = "text") -> DataFrame:
             "__source": F.coalesce(F.col("source").cast("string"), F.lit("<null>")),
             "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("<null>")),
             "__topic": topic(t),
-            "__tokens": F.regexp_count(t, F.lit(WORD)).cast("long"),
+            "__tokens": token_count(t),
         }
     )
 
@@ -96,9 +107,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The same rounds, unrolled."""
     out = [
-        r"WITH d AS (SELECT doc_id, coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang, CASE WHEN regexp_matches(coalesce(text, ''), '(?i)licen[sc]e|copyright|rights reserved') THEN 'legal' "
-        r"WHEN regexp_matches(coalesce(text, ''), '[A-Za-z0-9._]+@[A-Za-z0-9]+\.[a-z]') THEN 'contact' WHEN regexp_matches(coalesce(text, ''), '[#$%&|*]{3}|\|') THEN 'markup' ELSE 'prose' END AS topic, "
-        rf"CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens FROM documents), "
+        "WITH d AS (SELECT doc_id, coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang, CASE "
+        + " ".join("WHEN " + " OR ".join(f"contains(coalesce(text, ''), '{x}')" for x in strings) + f" THEN '{name}'" for name, strings in TOPICS)
+        + " ELSE 'prose' END AS topic, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 1 + length(text) - length(replace(text, ' ', '')) + length(text) - length(replace(text, chr(10), '')) END AS BIGINT) AS n_tokens FROM documents), "
         "c0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(1 AS DOUBLE) AS factor FROM d GROUP BY ALL)"
     ]
     for dim in DIMENSIONS:
