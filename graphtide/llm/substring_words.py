@@ -3,8 +3,8 @@
 Rounds name tokens by content: runs of up to MAX_RUN equal symbols become one symbol, then pairs whose first symbol is
 of the left class and whose second is of the right class (a hash bit of the name decides) become one. A name is a hash
 of what it stands for, so equal word sequences get equal names everywhere, except near their ends, where the
-surroundings decide; each symbol carries the extent of words that decided it. High-level symbols decided inside a
-window are its anchors; documents that share one are compared, and windows are verified by the hash of all their words.
+surroundings decide; each symbol carries the extent of words that decided it. Neighbouring high-level symbols decided
+inside a window are its anchors; documents that share one are compared, and windows are verified by the hash of all their words.
 
 Defined results: null and empty texts have no words; texts under a window's length lose nothing; equal ids never
 remove from each other; rows with a null id lose nothing and remove nothing. Result columns replace input columns of
@@ -29,6 +29,8 @@ from graphtide.runtime import table
 WINDOW = 50
 ROUNDS = 3
 MAX_RUN = 4
+#: An anchor is so many neighbouring symbols of the last round: one symbol alone may be a frequent word.
+SYMBOLS = 5
 _U = np.uint64
 
 
@@ -77,11 +79,24 @@ def _reach(to: np.ndarray, row: np.ndarray, bound: np.ndarray, outside: np.ndarr
     return np.where(ok & (row[at] == row), bound[at], outside)
 
 
+def anchors(code: np.ndarray, bounds: np.ndarray):
+    """(name, left, right, start) of each SYMBOLS neighbouring symbols of one document."""
+    name, start, left, right = recompress(code, bounds)
+    n = len(name) - SYMBOLS + 1
+    if n < 1:
+        return name[:0], left[:0], right[:0], start[:0]
+    joint = K.mix(name[:n])
+    for j in range(1, SYMBOLS):
+        joint = K.mix(joint * _U(0xD6E8FEB86659FD93) + name[j : n + j])
+    row = np.searchsorted(bounds, start, side="right")
+    one = row[:n] == row[SYMBOLS - 1 :]
+    return joint[one], left[:n][one], right[SYMBOLS - 1 :][one], start[:n][one]
+
+
 def make(b: np.ndarray, offsets: np.ndarray):
     _, _, row, code = K.words_of(b, offsets)
     bounds = K.row_bounds(row, len(offsets) - 1)
-    name, start, left, right = recompress(code, bounds)
-    f = W.fragments(code, bounds, WINDOW, name, left, right, start)
+    f = W.fragments(code, bounds, WINDOW, *anchors(code, bounds))
 
     def payload(f: W.Fragments, pick: np.ndarray) -> pa.Array:
         at = W.spread(f.first[pick], f.count[pick])
