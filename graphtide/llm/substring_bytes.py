@@ -33,16 +33,17 @@ _U = np.uint64
 
 
 def make(b: np.ndarray, offsets: np.ndarray):
-    code = K.BYTE_CODE[b]
-    grams = W.window_hashes(code, GRAM)
+    prefix = W.Prefix(K.BYTE_CODE[b])
+    grams = prefix.all(GRAM)
     start = np.arange(len(grams))
-    f = W.fragments(code, offsets, MIN_LENGTH, grams, start, start + GRAM, start) if len(grams) else None
+    f = W.fragments(prefix, offsets, MIN_LENGTH, grams, start, start + GRAM, start) if len(grams) else None
 
-    def payload(f: W.Fragments, pick: np.ndarray) -> pa.Array:
-        count = f.count[pick] + MIN_LENGTH - 1
-        return W.binaries(b[W.spread(f.first[pick], count)], count)
+    def payload(f: W.Fragments) -> pa.Array:
+        """The bytes of each fragment."""
+        count = f.count + MIN_LENGTH - 1
+        return W.binaries(b[W.spread(f.first, count)], count)
 
-    return f, offsets, payload
+    return f, prefix, offsets, payload
 
 
 def suffix_array(text: np.ndarray, end: np.ndarray) -> np.ndarray:

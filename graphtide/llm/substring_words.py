@@ -96,13 +96,14 @@ def anchors(code: np.ndarray, bounds: np.ndarray):
 def make(b: np.ndarray, offsets: np.ndarray):
     _, _, row, code = K.words_of(b, offsets)
     bounds = K.row_bounds(row, len(offsets) - 1)
-    f = W.fragments(code, bounds, WINDOW, *anchors(code, bounds))
+    prefix = W.Prefix(code)
+    f = W.fragments(prefix, bounds, WINDOW, *anchors(code, bounds))
 
-    def payload(f: W.Fragments, pick: np.ndarray) -> pa.Array:
-        at = W.spread(f.first[pick], f.count[pick])
-        return W.binaries(f.hashes[at].view(np.uint8).reshape(-1, 8)[:, :5], f.count[pick] * 5)
+    def payload(f: W.Fragments) -> pa.Array:
+        """Five bytes of the hash of each window."""
+        return W.binaries(prefix.hash(W.spread(f.first, f.count), WINDOW).view(np.uint8).reshape(-1, 8)[:, :5], f.count * 5)
 
-    return f, bounds, payload
+    return f, prefix, bounds, payload
 
 
 def solve(counts: np.ndarray, off: np.ndarray, key: np.ndarray, payload: pa.Array, least: np.ndarray) -> np.ndarray:

@@ -4,13 +4,13 @@ A document is a sequence of units (bytes or words) and a window is `size` consec
 in a document with a smaller id marks its units for removal. Every window chooses one anchor among the symbols inside it,
 by the window's content alone, so equal windows choose equal anchors; consecutive windows with one anchor form a fragment.
 
-1. keys      anchors that occur in two documents at least (sorted arrays of keys, by bucket), kept as a bitmap of
-             fixed size: where it fills up at scale it passes more, and results stay the same. Anchors with many
-             different fragments go into a second bitmap; their windows become fragments of their own, keyed by
-             the whole window, so that no key gathers the surroundings of a frequent passage.
-2. fragments distinct fragments of passed anchors with the least and largest id, deduplicated before the shuffle by key.
-3. solve     within a key, the least id for each window of each fragment (exactly, by the caller's method).
-4. ranges    places of fragments joined with the answers, then all ranges of a document joined with its text.
+1. keys      sorted arrays of each batch's keys, by bucket, give bitmaps of fixed size (where they fill up at scale they pass
+             more, and results stay the same): anchors that occur in two documents at least; those of them with
+             more than one fragment (hard); and those with many (crowded), whose windows become fragments of their own,
+             keyed by the whole window, so that no key gathers the surroundings of a frequent passage.
+2. places    a table of the fragments of shared anchors in the checkpoint folder, with the units of hard ones.
+3. answers   the least id for each fragment; within a hard key, for each window of each fragment (by the caller's method).
+4. ranges    places joined with the answers, gathered for each document, then joined with its text.
 
 Rows are told apart by a hash of id and text, so repeated ids do no harm; rows with a null id are never smaller
 than others and lose nothing.
@@ -18,8 +18,10 @@ than others and lose nothing.
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.llm import kernels as K
+from graphtide.runtime import cut, ensure_checkpoint_dir
 
 BITMAP_BITS = 27
 #: Different fragments (a batch counts each once) from which an anchor's windows are keyed by themselves.
@@ -35,6 +38,26 @@ CROWDED = 400
 _U = np.uint64
 
 
+class Prefix:
+    """Hashes of any stretch of units in constant time."""
+
+    def __init__(self, code: np.ndarray):
+        n = len(code)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(code * K.powers(K._BASE, n), out=self.total[1:])
+        self.inverse = K.powers(K._INVERSE, n + 1)
+
+    def hash(self, at: np.ndarray, length) -> np.ndarray:
+        return K.mix((self.total[at + length] - self.total[at]) * self.inverse[at])
+
+    def all(self, length: int) -> np.ndarray:
+        """Of every stretch of that length, by its start."""
+        n = len(self.total) - 1
+        if n < length:
+            return np.zeros(0, np.uint64)
+        return K.mix((self.total[length:] - self.total[: n - length + 1]) * self.inverse[: n - length + 1])
+
+
 @dataclass
 class Fragments:
     """Runs of windows with one anchor: key, offset of the anchor in the first window, row, first window (in its row), windows, identity."""
@@ -46,79 +69,61 @@ class Fragments:
     count: np.ndarray
     fid: np.ndarray
     first: np.ndarray  # first window as an index of all units
-    hashes: np.ndarray  # of the window that starts at each unit
-
 
-def window_hashes(code: np.ndarray, size: int) -> np.ndarray:
-    """The hash of code[i : i + size] for each i that has so many."""
-    n = len(code)
-    if n < size:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(code * K.powers(K._BASE, n), out=total[1:])
-    return K.mix((total[size:] - total[: n - size + 1]) * K.powers(K._INVERSE, n)[: n - size + 1])
+    def pick(self, which: np.ndarray) -> Fragments:
+        return Fragments(*(getattr(self, f.name)[which] for f in fields(self)))
 
 
-def fragments(code: np.ndarray, bounds: np.ndarray, size: int, symbol: np.ndarray, left: np.ndarray, right: np.ndarray, start: np.ndarray) -> Fragments | None:
+def fragments(prefix: Prefix, bounds: np.ndarray, size: int, symbol: np.ndarray, left: np.ndarray, right: np.ndarray, start: np.ndarray) -> Fragments | None:
     """symbol: names in order; window p may choose a symbol if p <= left and right <= p + size (both ascending)."""
-    n = len(code)
-    length = np.diff(bounds)
-    windows = np.maximum(length - size + 1, 0)
-    if not windows.sum():
+    n = len(prefix.total) - 1
+    windows = np.maximum(np.diff(bounds) - size + 1, 0)
+    many = int(windows.sum())
+    if not many:
         return None
-    p = np.repeat(bounds[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-    row = np.repeat(np.arange(len(length)), windows)
-    hashes = window_hashes(code, size)
-    lo = np.searchsorted(left, p, side="left")
-    hi = np.searchsorted(right, p + size, side="right")
+    p = np.repeat(bounds[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(many)
+    lo = np.cumsum(np.bincount(left + 1, minlength=n + 2))[p]
+    hi = np.cumsum(np.bincount(right, minlength=n + 2))[p + size]
     span = hi - lo
-    has = span > 0
-    rank = K.mix(symbol)
-    best = np.arange(len(symbol))
-    chosen = np.full(len(p), -1)
-    level, width = 0, 1
-    top = int(span.max()) if len(span) else 0
+    # the least name, then the leftmost: one number holds half of the name and the place
+    least = (symbol & _U(0xFFFFFFFF00000000)) | np.arange(len(symbol), dtype=np.uint64)
+    chosen = np.full(many, -1)
+    width, top = 1, int(span.max())
     while width <= top:
-        now = has & (span >= width) & (span < 2 * width)
-        a, b = best[lo[now]], best[hi[now] - width]
-        chosen[now] = np.where(rank[a] <= rank[b], a, b)
+        now = np.flatnonzero((span >= width) & (span < 2 * width))
+        if len(now):
+            chosen[now] = (np.minimum(least[lo[now]], least[hi[now] - width]) & _U(0xFFFFFFFF)).astype(np.int64)
         if 2 * width <= top:
-            a, b = best[: len(best) - width], best[width:]
-            best = np.where(rank[a] <= rank[b], a, b)
-        level, width = level + 1, 2 * width
-    new = np.ones(len(p), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1]) | (chosen[1:] < 0)
+            least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    new = np.empty(many, bool)
+    new[0] = True
+    np.not_equal(chosen[1:], chosen[:-1], out=new[1:])
+    new[1:] |= (p[1:] != p[:-1] + 1) | (chosen[1:] < 0)
     head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(p)))
-    first = p[head]
-    anchor = chosen[head]
+    count = np.diff(np.append(head, many))
+    first, anchor = p[head], chosen[head]
     lone = anchor < 0
-    key = np.where(lone, hashes[first], rank[anchor])
-    off = np.where(lone, 0, start[np.maximum(anchor, 0)] - first)
-    return _named(key, off, row[head], first, count, hashes, bounds)
+    key, off = np.empty(len(head), np.uint64), np.zeros(len(head), np.int64)
+    key[lone] = prefix.hash(first[lone], size)
+    key[~lone] = symbol[anchor[~lone]]
+    off[~lone] = start[anchor[~lone]] - first[~lone]
+    return _named(prefix, bounds, size, key, off, first, count)
 
 
-def _named(key, off, row, first, count, hashes, bounds) -> Fragments:
-    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = np.repeat(first, count) + inner
-    piece = K.mix(hashes[at] + inner.astype(np.uint64) * _U(0xA0761D6478BD642F))
-    total = np.add.reduceat(piece, np.cumsum(count) - count) if len(count) else np.zeros(0, np.uint64)
-    fid = K.mix(total ^ K.mix(key + off.astype(np.uint64) * _U(0xE7037ED1A0B428DB) + count.astype(np.uint64)))
-    return Fragments(key, off, row, first - bounds[row], count, fid, first, hashes)
+def _named(prefix: Prefix, bounds: np.ndarray, size: int, key, off, first, count) -> Fragments:
+    row = np.searchsorted(bounds, first, side="right") - 1
+    place = K.mix(key + off.astype(np.uint64) * _U(0xE7037ED1A0B428DB) + count.astype(np.uint64))
+    return Fragments(key, off, row, first - bounds[row], count, K.mix(prefix.hash(first, count + size - 1) ^ place), first)
 
 
-def singly(f: Fragments, pick: np.ndarray, bounds: np.ndarray) -> Fragments:
+def singly(f: Fragments, pick: np.ndarray, prefix: Prefix, bounds: np.ndarray, size: int) -> Fragments:
     """The picked fragments cut into single windows that are keyed by their own hash; the others stay."""
     if not pick.any():
         return f
-    count = f.count[pick]
-    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    first = np.repeat(f.first[pick], count) + inner
-    row = np.repeat(f.row[pick], count)
-    one = _named(f.hashes[first], np.zeros(len(first), np.int64), row, first, np.ones(len(first), np.int64), f.hashes, bounds)
-    keep = ~pick
-    join = lambda a, b: np.concatenate([a[keep], b])
-    return Fragments(join(f.key, one.key), join(f.off, one.off), join(f.row, one.row), join(f.lo, one.lo), join(f.count, one.count), join(f.fid, one.fid), join(f.first, one.first), f.hashes)
+    first = spread(f.first[pick], f.count[pick])
+    one = _named(prefix, bounds, size, prefix.hash(first, size), np.zeros(len(first), np.int64), first, np.ones(len(first), np.int64))
+    return Fragments(*(np.concatenate([getattr(f, x.name)[~pick], getattr(one, x.name)]) for x in fields(f)))
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -130,48 +135,52 @@ def _test(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[slot >> _U(6)] >> (slot & _U(63))) & _U(1) == 1
 
 
-#: make(bytes, offsets) -> (Fragments or None, bounds, payload(fragments, index) -> bytes)
+#: make(bytes, offsets) -> (fragments or None, prefix hashes, bounds of the rows in units, payload(fragments) -> binary array)
 Maker = Callable[[np.ndarray, np.ndarray], tuple]
+SHARED, HARD, CROWD = 0, 1, 2
 
 
 def _keys(docs: DataFrame, make: Maker, buckets: int) -> DataFrame:
-    """(bucket, blob): keys of a batch, in order, with one byte each for their different fragments, and its high bit for two documents."""
+    """(bucket, blob): keys of a batch, in order; for each a byte with its different fragments and, in the high bit,
+    whether two documents have it; and four bytes of its least fragment's identity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, fids, rows = [], [], []
             for lo, _, b, off in K.chunks(batch.column(1)):
-                f, _, _ = make(b, off)
+                f = make(b, off)[0]
                 if f is not None:
                     keys.append(f.key), fids.append(f.fid), rows.append(f.row + lo)
             if not keys:
                 continue
             key, fid, row = np.concatenate(keys), np.concatenate(fids), np.concatenate(rows)
-            order = np.lexsort((fid, key))
+            order = np.argsort(key, kind="stable")
             key, fid, row = key[order], fid[order], row[order]
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            different = np.append(True, (key[1:] != key[:-1]) | (fid[1:] != fid[:-1]))
-            several = np.minimum(np.add.reduceat(different.astype(np.int64), head), 127)
+            few = np.diff(np.append(head, len(key)))
             two = np.maximum.reduceat(row, head) > np.minimum.reduceat(row, head)
-            key, mark = key[head], (several + 128 * two).astype(np.uint8)
-            edge = np.searchsorted(key, (np.arange(1, buckets) * ((1 << 64) // buckets)).astype(np.uint64))
-            ends = np.concatenate([[0], edge, [len(key)]])
+            low = np.minimum.reduceat(fid, head)
+            several = np.ones(len(head), np.int64)
+            for i in np.flatnonzero((few > 1) & (low != np.maximum.reduceat(fid, head))):
+                several[i] = min(127, len(np.unique(fid[head[i] : head[i] + few[i]])))
+            key, mark, tag = key[head], (several + 128 * two).astype(np.uint8), (low >> _U(32)).astype(np.uint32)
+            ends = np.concatenate([[0], np.searchsorted(key, (np.arange(1, buckets) * ((1 << 64) // buckets)).astype(np.uint64)), [len(key)]])
             full = [i for i in range(buckets) if ends[i + 1] > ends[i]]
-            blobs = [key[ends[i] : ends[i + 1]].tobytes() + mark[ends[i] : ends[i + 1]].tobytes() for i in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            blobs = [x[ends[i] : ends[i + 1]].tobytes() for i in full for x in (key, tag, mark)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([b"".join(blobs[k : k + 3]) for k in range(0, len(blobs), 3)], pa.binary())], names=["bucket", "blob"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, blob binary")
 
 
 def _bits(keys: DataFrame) -> DataFrame:
-    """(crowded, w, b): words of the two bitmaps."""
+    """(kind, w, b): words of the bitmaps."""
 
-    def words(key: np.ndarray, crowded: bool) -> pa.RecordBatch:
+    def words(key: np.ndarray, kind: int) -> pa.RecordBatch:
         slot = np.unique(_slot(key))
         w = (slot >> _U(6)).astype(np.int32)
         head = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
         b = np.bitwise_or.reduceat(_U(1) << (slot & _U(63)), head).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(head), crowded)), pa.array(w[head]), pa.array(b)], names=["crowded", "w", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(head), kind, np.int32)), pa.array(w[head]), pa.array(b)], names=["kind", "w", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -180,99 +189,83 @@ def _bits(keys: DataFrame) -> DataFrame:
                 held.setdefault(bucket, []).append(blob)
         for bucket in list(held):
             blobs = held.pop(bucket)
-            key = np.concatenate([np.frombuffer(x[: len(x) // 9 * 8], np.uint64) for x in blobs])
-            mark = np.concatenate([np.frombuffer(x[len(x) // 9 * 8 :], np.uint8) for x in blobs])
+            part = lambda a, z, t: np.concatenate([np.frombuffer(x[len(x) // 13 * a : len(x) // 13 * z], t) for x in blobs])  # noqa: B023, E731
+            key, tag, mark = part(0, 8, np.uint64), part(8, 12, np.uint32), part(12, 13, np.uint8)
             order = np.argsort(key, kind="stable")
-            key, mark = key[order], mark[order]
+            key, tag, mark = key[order], tag[order], mark[order]
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             several = np.add.reduceat((mark & 127).astype(np.int64), head)
             shared = (np.diff(np.append(head, len(key))) > 1) | (np.maximum.reduceat(mark, head) >= 128)
-            if shared.any():
-                yield words(key[head][shared], False)
-            if (crowd := shared & (several >= CROWDED)).any():
-                yield words(key[head][crowd], True)
+            hard = shared & ((np.maximum.reduceat(mark & 127, head) > 1) | (np.maximum.reduceat(tag, head) != np.minimum.reduceat(tag, head)))
+            for kind, which in ((SHARED, shared), (HARD, hard), (CROWD, hard & (several >= CROWDED))):
+                if which.any():
+                    yield words(key[head][which], kind)
 
-    return keys.mapInArrow(run, "crowded boolean, w int, b long")
+    return keys.mapInArrow(run, "kind int, w int, b long")
 
 
-def _bitmaps(docs: DataFrame, make: Maker) -> tuple[np.ndarray, np.ndarray]:
+def _bitmaps(docs: DataFrame, make: Maker) -> list[np.ndarray]:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = _keys(docs, make, 4 * parts).repartition(parts, "bucket")
-    found = _bits(keys).groupBy("crowded", "w").agg(F.bit_or("b").alias("b")).toArrow()
+    found = _bits(keys).groupBy("kind", "w").agg(F.bit_or("b").alias("b")).toArrow()
     out = []
-    for crowded in (False, True):
+    for kind in (SHARED, HARD, CROWD):
         bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-        mine = found.filter(pyarrow.compute.equal(found.column("crowded"), crowded))
+        mine = found.filter(pyarrow.compute.equal(found.column("kind"), kind))
         bits[mine.column("w").to_numpy()] = mine.column("b").to_numpy().view(np.uint64)
         out.append(bits)
-    return out[0], out[1]
+    return out
 
 
-def _passed(make: Maker, maps, b: np.ndarray, off: np.ndarray):
-    """The chunk's fragments of shared anchors, those of crowded anchors cut into single windows."""
-    f, bounds, payload = make(b, off)
-    if f is None:
-        return None, None
-    shared, crowded = maps.value
-    hit = _test(shared, f.key)
-    f = Fragments(f.key[hit], f.off[hit], f.row[hit], f.lo[hit], f.count[hit], f.fid[hit], f.first[hit], f.hashes)
-    if not len(f.key):
-        return None, None
-    return singly(f, _test(crowded, f.key) & (f.count > 0), bounds), payload
-
-
-def _fragments(docs: DataFrame, make: Maker, maps) -> DataFrame:
-    """Distinct fragments of each batch."""
+def _places(docs: DataFrame, make: Maker, size: int, maps) -> DataFrame:
+    """Where fragments of shared anchors stand; units of a hard one once for each batch, with the least and largest id there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            best: list[tuple] = []
-            for lo, _, b, off in K.chunks(batch.column(1)):
-                f, payload = _passed(make, maps, b, off)
+            ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for lo, _, b, off in K.chunks(batch.column(2)):
+                f, prefix, bounds, payload = make(b, off)
                 if f is None:
                     continue
+                shared, hard, crowd = maps.value
+                f = f.pick(_test(shared, f.key))
+                if not len(f.key):
+                    continue
+                crowded = _test(crowd, f.key)
+                plain = int((~crowded).sum())
+                f = f.pick(np.argsort(crowded, kind="stable"))
+                difficult = _test(hard, f.key)
+                f = singly(f, np.arange(len(f.key)) >= plain, prefix, bounds, size)
+                # single windows of crowded keys stand last and are compared by identity alone
+                difficult = np.append(difficult[:plain], np.zeros(len(f.key) - plain, bool))
                 doc = ids[f.row + lo]
-                order = np.lexsort((doc, f.fid))
-                head = np.flatnonzero(np.append(True, f.fid[order][1:] != f.fid[order][:-1]))
-                least, most = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(doc[order], head)
-                one = order[head]
-                best.append((f.fid[one].view(np.int64), f.key[one].view(np.int64), f.off[one].astype(np.int32), f.count[one].astype(np.int32), payload(f, one), least, most))
-            if not best:
-                continue
-            fid, least, most = (np.concatenate([x[i] for x in best]) for i in (0, 5, 6))
-            order = np.argsort(fid, kind="stable")
-            head = np.flatnonzero(np.append(True, fid[order][1:] != fid[order][:-1]))
-            least, most, one = np.minimum.reduceat(least[order], head), np.maximum.reduceat(most[order], head), order[head]
-            blobs = pa.concat_arrays([x[4] for x in best]).take(pa.array(one))
-            cols = [np.concatenate([x[i] for x in best])[one] for i in range(4)]
-            table = pa.RecordBatch.from_arrays([*map(pa.array, cols), blobs, pa.array(least), pa.array(most)], names=["fid", "key", "off", "count", "payload", "least", "most"])
-            for at in range(0, len(one), 50_000):
-                yield table.slice(at, 50_000)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "fid long, key long, off int, count int, payload binary, least long, most long")
-
-
-def _places(docs: DataFrame, make: Maker, maps) -> DataFrame:
-    """(fid, rk, doc_id, lo, count): where fragments stand."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for lo, _, b, off in K.chunks(batch.column(2)):
-                f, _ = _passed(make, maps, b, off)
-                if f is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(f.fid.view(np.int64)), pa.array(keys[f.row + lo]), pa.array(ids[f.row + lo]), pa.array(f.lo.astype(np.int32)), pa.array(f.count.astype(np.int32))], names=["fid", "rk", "doc_id", "lo", "count"])
-
-    return docs.select("doc_id", "rk", "text").mapInArrow(run, "fid long, rk long, doc_id long, lo int, count int")
+                least, most = doc.copy(), doc.copy()
+                at = np.flatnonzero(difficult)
+                lead = np.zeros(len(f.key), bool)
+                if len(at):
+                    order = at[np.argsort(f.fid[at], kind="stable")]
+                    head = np.flatnonzero(np.append(True, f.fid[order][1:] != f.fid[order][:-1]))
+                    one = order[head]
+                    least[one], most[one] = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(doc[order], head)
+                    lead[one] = True
+                units = payload(f.pick(lead))
+                where = np.full(len(f.key), -1)
+                where[lead] = np.arange(int(lead.sum()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(f.fid.view(np.int64)), pa.array(f.key.view(np.int64)), pa.array(keys[f.row + lo]), pa.array(doc), pa.array(f.lo.astype(np.int32)), pa.array(f.count.astype(np.int32)), pa.array(f.off.astype(np.int32)),
+                     pa.array(difficult), units.take(pa.array(where, mask=where < 0)), pa.array(least), pa.array(most)],
+                    names=["fid", "key", "rk", "doc_id", "lo", "count", "off", "hard", "payload", "least", "most"],
+                )
+
+    return docs.select("doc_id", "rk", "text").mapInArrow(run, "fid long, key long, rk long, doc_id long, lo int, count int, off int, hard boolean, payload binary, least long, most long")
 
 
 #: solve(counts, offsets, keys, payloads, least) -> least id for each window of each fragment, concatenated
 Solver = Callable[..., np.ndarray]
 
 
-def _answers(frags: DataFrame, solve: Solver) -> DataFrame:
-    """(fid, ids): the least id of each window, or one id if it is the same for all; only where some document loses."""
+def _answers(hard: DataFrame, solve: Solver) -> DataFrame:
+    """(fid, ids): the least id of each window of hard fragments; only where some document loses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -285,68 +278,69 @@ def _answers(frags: DataFrame, solve: Solver) -> DataFrame:
         head = np.flatnonzero(np.append(True, fid[1:] != fid[:-1]))
         one = order[head]
         fid, key, least, most = fid[head], key[head], np.minimum.reduceat(least, head), np.maximum.reduceat(most, head)
-        group = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        several = np.diff(np.append(group, len(key)))
-        lowest = np.repeat(np.minimum.reduceat(least, group), several)
-        highest = np.repeat(np.maximum.reduceat(most, group), several)
-        alone = np.repeat(several, several) == 1
-        plain = alone & (least < most)
-        out = [(fid[plain], [x.tobytes() for x in least[plain].reshape(-1, 1)])]
-        hard = np.flatnonzero(~alone & (lowest < highest))
-        if len(hard):
-            pick = one[hard]
-            counts = col("count")[pick].astype(np.int64)
-            ids = solve(counts, col("off")[pick].astype(np.int64), key[hard].view(np.uint64), t.column("payload").take(pa.array(pick)).combine_chunks(), least[hard])
-            ends = np.cumsum(counts)
-            low = np.minimum.reduceat(ids, ends - counts)
-            loses = low < most[hard]
-            out.append((fid[hard][loses], [ids[ends[i] - counts[i] : ends[i]].tobytes() for i in np.flatnonzero(loses)]))
-        for f, blobs in out:
-            for at in range(0, len(f), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(f[at : at + 50_000]), pa.array(blobs[at : at + 50_000], pa.binary())], names=["fid", "ids"])
-
-    return frags.repartition("key").mapInArrow(run, "fid long, ids binary")
+        counts = col("count")[one].astype(np.int64)
+        ids = solve(counts, col("off")[one].astype(np.int64), key.view(np.uint64), t.column("payload").take(pa.array(one)).combine_chunks(), least)
+        ends = np.cumsum(counts)
+        loses = np.flatnonzero(np.minimum.reduceat(ids, ends - counts) < most)
+        for at in range(0, len(loses), 50_000):
+            some = loses[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(fid[some]), pa.array([ids[ends[i] - counts[i] : ends[i]].tobytes() for i in some], pa.binary())], names=["fid", "ids"])
+
+    return hard.repartition("key").mapInArrow(run, "fid long, ids binary")
 
 
 def _ranges(joined: DataFrame, size: int) -> DataFrame:
-    """(rk, lo, hi): removed units, merged within a fragment. joined: rk, doc_id, lo, count, ids."""
+    """(rk, lo, hi): removed units, merged within a fragment. joined: rk, doc_id, lo, count, least, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rk, doc, lo, count = (np.asarray(batch.column(i)) for i in range(4))
+            if not batch.num_rows:
+                continue
+            rk, doc, lo, count, least = (np.asarray(batch.column(i)) for i in range(5))
             count = count.astype(np.int64)
-            blob = batch.column(4)
-            data = np.frombuffer(blob.buffers()[2], np.uint8) if batch.num_rows else np.zeros(0, np.uint8)
-            off = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + batch.num_rows + 1].astype(np.int64) if batch.num_rows else np.zeros(1, np.int64)
-            ids = data[off[0] : off[-1]].view(np.int64) if batch.num_rows else np.zeros(0, np.int64)
-            has = np.diff(off) // 8
-            begin = (off[:-1] - off[0]) // 8
+            blob = batch.column(5).fill_null(b"")
+            off = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + batch.num_rows + 1].astype(np.int64)
+            raw = blob.buffers()[2]
+            ids = np.frombuffer(raw, np.uint8)[off[0] : off[-1]].view(np.int64) if raw is not None and off[-1] > off[0] else np.zeros(1, np.int64)
             inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.repeat(begin, count) + np.where(np.repeat(has, count) == 1, 0, inner)
+            own = np.diff(off) > 0
+            at = np.where(np.repeat(own, count), np.repeat((off[:-1] - off[0]) // 8, count) + inner, 0)
             owner = np.repeat(np.arange(batch.num_rows), count)
-            gone = ids[at] < doc[owner] if len(at) else np.zeros(0, bool)
+            gone = np.where(own[owner], ids[at], least[owner]) < doc[owner]
             owner, inner = owner[gone], inner[gone]
-            new = np.append(True, (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1))[: len(owner)]
-            head = np.flatnonzero(new)
-            last = np.append(head[1:], len(owner)) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rk[owner[head]]), pa.array((lo[owner[head]] + inner[head]).astype(np.int32)), pa.array((lo[owner[head]] + inner[last] + size).astype(np.int32))], names=["rk", "lo", "hi"]
-            )
+            head = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1))[: len(owner)])
+            last = np.append(head[1:], len(owner))[: len(head)] - 1
+            who = owner[head]
+            yield pa.RecordBatch.from_arrays([pa.array(rk[who]), pa.array((lo[who] + inner[head]).astype(np.int32)), pa.array((lo[who] + inner[last] + size).astype(np.int32))], names=["rk", "lo", "hi"])
 
     return joined.mapInArrow(run, "rk long, lo int, hi int")
 
 
+def _free(spark) -> None:
+    """Lets the driver drop shuffle files of jobs whose results have been taken: its cleaner follows its garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def removed(docs: DataFrame, make: Maker, solve: Solver, size: int, doc_id: str, text: str) -> DataFrame:
     """docs with __ranges: array<struct<lo, hi>> of removed units, in order (they may overlap), null if none."""
     spark = docs.sparkSession
     keyed = docs.withColumn("__rk", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
     narrow = keyed.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col("__rk").alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     maps = spark.sparkContext.broadcast(_bitmaps(narrow, make))
-    answers = _answers(_fragments(narrow, make, maps), solve)
-    places = _places(narrow, make, maps)
-    joined = places.join(answers, "fid").select("rk", "doc_id", "lo", "count", "ids")
-    ranges = _ranges(joined, size).groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("__ranges"))
-    return keyed.join(ranges.withColumnRenamed("rk", "__rk"), "__rk", "left").drop("__rk")
+    _free(spark)
+    folder = f"{ensure_checkpoint_dir(spark)}/windows-{uuid.uuid4()}"
+    _places(narrow, make, size, maps).write.option("compression", "zstd").parquet(folder)
+    places = spark.read.parquet(folder)
+    simple = places.filter("NOT hard").groupBy("fid").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    hard = _answers(places.filter("payload IS NOT NULL").select("fid", "key", "off", "count", "payload", "least", "most"), solve)
+    answers = simple.select("fid", "least", F.lit(None).cast("binary").alias("ids")).unionByName(hard.select("fid", F.lit(0).cast("long").alias("least"), "ids"))
+    joined = places.select("fid", "rk", "doc_id", "lo", "count").join(answers, "fid").select("rk", "doc_id", "lo", "count", "least", "ids")
+    ranges = cut(_ranges(joined, size).groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("__ranges")).withColumnRenamed("rk", "__rk"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _free(spark)
+    return keyed.join(ranges, "__rk", "left").drop("__rk")
 
 
 def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
