@@ -53,8 +53,7 @@ def offset_to_point(points: DataFrame, index: DataFrame, key: list[str]) -> Data
 
 def affected_lines(ranges: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
     """(key, n_lines): distinct lines that byte ranges touch, the line of the end offset included. ranges: start, end."""
-    ends = ranges.select(*key, F.monotonically_increasing_id().alias("rid"), "start", "end")
-    points = ends.select(*key, F.col("start").alias("offset")).union(ends.select(*key, F.col("end").alias("offset"))).distinct()
+    points = ranges.select(*key, F.col("start").alias("offset")).union(ranges.select(*key, F.col("end").alias("offset"))).distinct()
     rows = offset_to_point(points, index, key).select(*key, "offset", "row")
     out = ranges.join(rows.select(*key, F.col("offset").alias("start"), F.col("row").alias("a")), [*key, "start"]).join(rows.select(*key, F.col("offset").alias("end"), F.col("row").alias("z")), [*key, "end"])
     return out.select(*key, F.explode(F.sequence("a", "z")).alias("line")).groupBy(*key).agg(F.countDistinct("line").alias("n_lines"))
