@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +43,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop shuffle files of jobs whose results have been taken: its cleaner follows its garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
