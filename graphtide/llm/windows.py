@@ -18,7 +18,6 @@ than others and lose nothing.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.llm import kernels as K
-from graphtide.runtime import cut, ensure_checkpoint_dir
+from graphtide.runtime import cut, ensure_checkpoint_dir, release
 
 BITMAP_BITS = 27
 #: Different fragments (a batch counts each once) from which an anchor's windows are keyed by themselves.
@@ -218,7 +217,8 @@ def _bitmaps(docs: DataFrame, make: Maker) -> list[np.ndarray]:
 
 
 def _places(docs: DataFrame, make: Maker, size: int, maps) -> DataFrame:
-    """Where fragments of shared anchors stand; units of a hard one once for each batch, with the least and largest id there."""
+    """Where fragments of shared anchors stand; at: the first window and the number of windows. The first place of a hard
+    fragment in a chunk carries its key and units, and the least and largest id there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,13 +251,14 @@ def _places(docs: DataFrame, make: Maker, size: int, maps) -> DataFrame:
                 units = payload(f.pick(lead))
                 where = np.full(len(f.key), -1)
                 where[lead] = np.arange(int(lead.sum()))
+                some = lambda x: pa.array(x, mask=~lead)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(f.fid.view(np.int64)), pa.array(f.key.view(np.int64)), pa.array(keys[f.row + lo]), pa.array(doc), pa.array(f.lo.astype(np.int32)), pa.array(f.count.astype(np.int32)), pa.array(f.off.astype(np.int32)),
-                     pa.array(difficult), units.take(pa.array(where, mask=where < 0)), pa.array(least), pa.array(most)],
-                    names=["fid", "key", "rk", "doc_id", "lo", "count", "off", "hard", "payload", "least", "most"],
+                    [pa.array(f.fid.view(np.int64)), pa.array(keys[f.row + lo]), pa.array(doc), pa.array(f.lo << 32 | f.count), pa.array(difficult),
+                     some(f.key.view(np.int64)), some(f.off.astype(np.int32)), some(f.count.astype(np.int32)), units.take(pa.array(where, mask=where < 0)), some(least), some(most)],
+                    names=["fid", "rk", "doc_id", "at", "hard", "key", "off", "count", "payload", "least", "most"],
                 )
 
-    return docs.select("doc_id", "rk", "text").mapInArrow(run, "fid long, key long, rk long, doc_id long, lo int, count int, off int, hard boolean, payload binary, least long, most long")
+    return docs.select("doc_id", "rk", "text").mapInArrow(run, "fid long, rk long, doc_id long, at long, hard boolean, key long, off int, count int, payload binary, least long, most long")
 
 
 #: solve(counts, offsets, keys, payloads, least) -> least id for each window of each fragment, concatenated
@@ -290,15 +291,15 @@ def _answers(hard: DataFrame, solve: Solver) -> DataFrame:
 
 
 def _ranges(joined: DataFrame, size: int) -> DataFrame:
-    """(rk, lo, hi): removed units, merged within a fragment. joined: rk, doc_id, lo, count, least, ids."""
+    """(rk, lo, hi): removed units, merged within a fragment. joined: rk, doc_id, at, least, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rk, doc, lo, count, least = (np.asarray(batch.column(i)) for i in range(5))
-            count = count.astype(np.int64)
-            blob = batch.column(5).fill_null(b"")
+            rk, doc, at, least = (np.asarray(batch.column(i)) for i in range(4))
+            lo, count = at >> 32, at & 0xFFFFFFFF
+            blob = batch.column(4).fill_null(b"")
             off = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + batch.num_rows + 1].astype(np.int64)
             raw = blob.buffers()[2]
             ids = np.frombuffer(raw, np.uint8)[off[0] : off[-1]].view(np.int64) if raw is not None and off[-1] > off[0] else np.zeros(1, np.int64)
@@ -316,30 +317,24 @@ def _ranges(joined: DataFrame, size: int) -> DataFrame:
     return joined.mapInArrow(run, "rk long, lo int, hi int")
 
 
-def _free(spark) -> None:
-    """Lets the driver drop shuffle files of jobs whose results have been taken: its cleaner follows its garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def removed(docs: DataFrame, make: Maker, solve: Solver, size: int, doc_id: str, text: str) -> DataFrame:
     """docs with __ranges: array<struct<lo, hi>> of removed units, in order (they may overlap), null if none."""
     spark = docs.sparkSession
     keyed = docs.withColumn("__rk", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
     narrow = keyed.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col("__rk").alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     maps = spark.sparkContext.broadcast(_bitmaps(narrow, make))
-    _free(spark)
+    release(spark)
     folder = f"{ensure_checkpoint_dir(spark)}/windows-{uuid.uuid4()}"
     _places(narrow, make, size, maps).write.option("compression", "zstd").parquet(folder)
     places = spark.read.parquet(folder)
-    simple = places.filter("NOT hard").groupBy("fid").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    simple = places.filter("NOT hard").groupBy("fid").agg(F.min("doc_id").alias("least"))
     hard = _answers(places.filter("payload IS NOT NULL").select("fid", "key", "off", "count", "payload", "least", "most"), solve)
     answers = simple.select("fid", "least", F.lit(None).cast("binary").alias("ids")).unionByName(hard.select("fid", F.lit(0).cast("long").alias("least"), "ids"))
-    joined = places.select("fid", "rk", "doc_id", "lo", "count").join(answers, "fid").select("rk", "doc_id", "lo", "count", "least", "ids")
+    joined = places.select("fid", "rk", "doc_id", "at").join(answers, "fid").select("rk", "doc_id", "at", "least", "ids")
     ranges = cut(_ranges(joined, size).groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("__ranges")).withColumnRenamed("rk", "__rk"))
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _free(spark)
+    release(spark)
     return keyed.join(ranges, "__rk", "left").drop("__rk")
 
 
