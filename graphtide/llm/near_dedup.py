@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from graphtide.llm import kernels as K
 from graphtide.operators.components import connected_components
-from graphtide.runtime import cut, table
+from graphtide.runtime import cut, release, table
 
 SKETCH, INDEXED = 64, 32
 MISS = 1e-9
@@ -272,6 +272,7 @@ def components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, do
     sets = cut(_full_sets(docs, nodes.join(wanted, "node").select(F.col("id").alias("__id"), "node"), size, doc_id, text).dropDuplicates(["node"]))
     links = _similar(pairs, sets, num, den).unionByName(_hot_links(prefixes, sets, num, den))
     label = connected_components(links)
+    release(spark)  # the texts that were shuffled for the full sets
     labelled = nodes.select("node", "id").join(label, "node", "left").select("node", "id", F.coalesce("component", "node").alias("label"))
     named = labelled.join(labelled.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("node", "component_id")
     out = made.select("doc_id", "n", "node").join(named, "node", "left")
