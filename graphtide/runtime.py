@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the driver drop shuffle files of jobs whose results have been taken: its cleaner follows its garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets the driver drop shuffle files of jobs whose results have been taken.
+
+    Its cleaner follows its garbage collection: the first one ends references that the second finds gone.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.6)
