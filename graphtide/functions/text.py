@@ -63,7 +63,7 @@ def node_source(content: Column, start: Column, end: Column) -> Column:
     """Bytes start..end of a text as a string; an impossible range is empty."""
     raw = content.cast("binary")
     ok = (start >= 0) & (end >= start) & (end <= F.octet_length(content))
-    return F.when(ok, F.decode(F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")), "UTF-8")).otherwise("")
+    return F.when(ok, F.make_valid_utf8(F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")).cast("string"))).otherwise("")
 
 
 def span_start(text: Column) -> Column:

@@ -18,7 +18,7 @@ METRICS_SCHEMA = (
 
 
 def worktree(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
-    """Files under a path or glob with their bytes and hash. A path that does not exist is an error of the reader."""
+    """Files under a path or glob with their bytes and hash. A path that does not exist is an error; the reader leaves out files of no bytes."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         r = r.option("pathGlobFilter", pattern)
@@ -46,7 +46,7 @@ def exists(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
 def text(files: DataFrame) -> DataFrame:
     """Contents decoded; bytes that are not UTF-8 are replaced."""
-    return files.withColumn("text", F.decode("content", "UTF-8"))
+    return files.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def changed(files: DataFrame) -> DataFrame:
@@ -109,11 +109,11 @@ def git(spark: SparkSession, repo: str, commits: int = 10, suffix: str = ".c", c
 
 def patches(spark: SparkSession, path: str) -> DataFrame:
     """(dir, patch_index, op, info, diff) of *.patch files named NNN_op_info; a repeated index in a directory is an error."""
-    f = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.patch").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("diff"))
+    f = spark.read.option("pathGlobFilter", "*.patch").option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("diff"))
     parts = F.split(F.regexp_extract("p", r"([^/]+)\.patch$", 1), "_")
     out = f.select(F.regexp_extract("p", r"^(.*)/[^/]+$", 1).alias("dir"), parts[0].cast("int").alias("patch_index"), F.get(parts, 1).alias("op"), F.array_join(F.slice(parts, 3, 100), "_").alias("info"), "diff")
     once = out.groupBy("dir", "patch_index").agg(F.count("*").alias("n"), F.first("op").alias("op"), F.first("info").alias("info"), F.first("diff").alias("diff"))
-    return once.withColumn("diff", F.when(F.col("n") > 1, F.raise_error(F.lit("two patches have one index"))).otherwise(F.col("diff"))).drop("n")
+    return once.filter(F.assert_true(F.col("n") == 1, F.lit("two patches have one index")).isNull()).drop("n")
 
 
 def metrics_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -132,7 +132,7 @@ BENCHMARK_SCHEMA = (
 
 def benchmark_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad files) of benchmark_<repo>_<tactic>.json: one row for each file of each commit; maps stay maps."""
-    raw = spark.read.schema(BENCHMARK_SCHEMA + ", _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").json(path).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"benchmark_(.+)_([^_]+)\.json$", 0).alias("name")).cache()
+    raw = spark.read.schema(BENCHMARK_SCHEMA + ", _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").json(path).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0).alias("name")).cache()
     named = raw.withColumns({"repo": F.regexp_extract("name", r"benchmark_(.+)_([^_]+)\.json$", 1), "tactic": F.regexp_extract("name", r"benchmark_(.+)_([^_]+)\.json$", 2)})
     rows = named.filter("_corrupt_record IS NULL").select("repo", "tactic", "step", "commit", F.explode("files").alias("f")).select("repo", "tactic", "step", "commit", "f.*")
     return rows, named.filter("_corrupt_record IS NOT NULL").select("name").distinct()
@@ -148,7 +148,7 @@ def golden_tests(spark: SparkSession, path: str) -> DataFrame:
 
     Blank lines are dropped, as the expected offsets leave them out.
     """
-    f = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("suite"), F.regexp_replace("value", r"\n\s*\n", "\n").alias("t"))
+    f = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("suite"), F.regexp_replace("value", r"\n\s*\n", "\n").alias("t"))
     blocks = f.select("suite", F.posexplode(F.split("t", r"(?m)^={3,}\s*$\n?")).alias("b", "block")).filter("trim(block) <> ''")
     # header and body alternate
     pairs = blocks.select("suite", F.floor((F.col("b") - 1) / 2).cast("int").alias("case_no"), (F.col("b") % 2 == 1).alias("head"), "block")
@@ -166,7 +166,7 @@ def expected_ranges(tests: DataFrame) -> DataFrame:
 
 def sexp_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, depth, kind, cid, start, end, name, ref): one row for each line of S-expression files; ref: the id of a visited marker."""
-    f = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "l"))
+    f = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "l"))
     part = lambda p, i=1: F.nullif(F.regexp_extract("l", p, i), F.lit(""))
     return f.select(
         "file", "line", (F.length(F.regexp_extract("l", "^ *", 0)) / 2).cast("int").alias("depth"), F.coalesce(part(r"^\s*\((?:->\s+)?(\w+)"), part(r"^\s*(\w+) \[visited")).alias("kind"), F.contains("l", F.lit("(->")).alias("is_edge"),
