@@ -74,13 +74,15 @@ def calibrate(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rou
             share = damped.crossJoin(F.broadcast(damped.agg(F.sum("p").alias("all")))).select(d, (F.col("p") / F.col("all")).alias("g"))
         goals[d] = cut(share.crossJoin(F.broadcast(total)).select(d, (F.col("g") * F.col("n")).alias("g")))
     raked = cells.withColumn("factor", F.lit(1.0))
-    for _ in range(rounds):
+    for k in range(1, rounds + 1):
         for d in dims:
             # cells, not documents, are windowed: a window holds the combinations of the other dimensions
             raked = raked.withColumn("now", F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(d))).join(goals[d], d, "left")
             step = F.when(F.col("now") > 0, F.coalesce("g", F.lit(0.0)) / F.col("now")).otherwise(1.0)
             raked = raked.select(*dims, "tokens", (F.col("factor") * step).alias("factor"))
-    return cut(raked)
+        if k % ROUNDS == 0:  # plans of many rounds grow too deep
+            raked = cut(raked)
+    return raked if rounds % ROUNDS == 0 and rounds else cut(raked)
 
 
 def unit(doc_id: Column) -> Column:
