@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
 #: One random 64-bit value for each byte value; the same in every process.

@@ -28,7 +28,7 @@ from graphtide.runtime import table
 MIN_LENGTH = 50
 GRAM = 20
 #: Fragments are solved in blocks of whole keys of about so many bytes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 18
 _U = np.uint64
 
 

@@ -33,7 +33,7 @@ from graphtide.runtime import cut, ensure_checkpoint_dir, release
 
 BITMAP_BITS = 27
 #: Different fragments (a batch counts each once) from which an anchor's windows are keyed by themselves.
-CROWDED = 400
+CROWDED = 2000
 _U = np.uint64
 
 
@@ -130,7 +130,8 @@ def _slot(key: np.ndarray) -> np.ndarray:
 
 
 def _test(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    slot = _slot(key)
+    """Whether the bitmap, which holds mixed keys, has the key."""
+    slot = _slot(K.mix(key))
     return (bits[slot >> _U(6)] >> (slot & _U(63))) & _U(1) == 1
 
 
@@ -152,7 +153,8 @@ def _keys(docs: DataFrame, make: Maker, buckets: int) -> DataFrame:
                     keys.append(f.key), fids.append(f.fid), rows.append(f.row + lo)
             if not keys:
                 continue
-            key, fid, row = np.concatenate(keys), np.concatenate(fids), np.concatenate(rows)
+            # anchors are least hashes: mixed again they spread over the buckets
+            key, fid, row = K.mix(np.concatenate(keys)), np.concatenate(fids), np.concatenate(rows)
             order = np.argsort(key, kind="stable")
             key, fid, row = key[order], fid[order], row[order]
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -279,6 +281,12 @@ def _answers(hard: DataFrame, solve: Solver) -> DataFrame:
         head = np.flatnonzero(np.append(True, fid[1:] != fid[:-1]))
         one = order[head]
         fid, key, least, most = fid[head], key[head], np.minimum.reduceat(least, head), np.maximum.reduceat(most, head)
+        group = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(group, len(key)))
+        live = np.repeat(np.minimum.reduceat(least, group) < np.maximum.reduceat(most, group), size)  # two documents, not two places of one
+        fid, key, least, most, one = fid[live], key[live], least[live], most[live], one[live]
+        if not len(fid):
+            return
         counts = col("count")[one].astype(np.int64)
         ids = solve(counts, col("off")[one].astype(np.int64), key.view(np.uint64), t.column("payload").take(pa.array(one)).combine_chunks(), least)
         ends = np.cumsum(counts)
