@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphtide.runtime import cut
+from graphtide.runtime import cut, release
 
 MAX_ROUNDS = 60
 
@@ -13,7 +13,7 @@ MAX_ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,8 +31,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     edges = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
     state = lambda e: e.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
     before = None
-    for _ in range(max_rounds):
+    for k in range(1, max_rounds + 1):
         edges = cut(_small_star(_large_star(edges)))
+        if k % 3 == 0:
+            release(edges.sparkSession)
         now = state(edges)
         if now == before:
             break

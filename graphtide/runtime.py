@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Shelf:
+    """Intermediate tables as compressed Parquet in the checkpoint folder, taken down together when they are done with."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{ensure_checkpoint_dir(spark)}/shelf-{uuid.uuid4()}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.parquet(f"{self.folder}/{self.n}")
+
+    def clear(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        release(self.spark)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver drop shuffle files of jobs whose results have been taken.
 
