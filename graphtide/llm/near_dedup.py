@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from graphtide.llm import kernels as K
 from graphtide.operators.components import connected_components
-from graphtide.runtime import cut, release, table
+from graphtide.runtime import Shelf, cut, release, table
 
 SKETCH, INDEXED = 64, 32
 MISS = 1e-9
@@ -133,8 +133,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text:
         for batch in batches:
             items = []
             for _, _, b, off in K.chunks(batch.column(1)):
-                items += [s.tobytes() for s in shingle_sets(b, off, size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 8 for x in items], pa.int64()), pa.array(items, pa.binary())], names=["node", "n", "items"])
+                items += shingle_sets(b, off, size)
+            # rows that share an id may hold other texts
+            right = pa.array([_digest(x) for x in items], pa.int64()).to_numpy() == np.asarray(batch.column(0)) if items else np.zeros(0, bool)
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in items], pa.int64()), pa.array([x.tobytes() for x in items], pa.binary())], names=["node", "n", "items"])
+            yield out.filter(pa.array(right))
 
     picked = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).join(wanted.hint("shuffle_hash"), "__id")
     return picked.select("node", "__text").mapInArrow(make, "node long, n long, items binary")
@@ -224,7 +227,7 @@ def linked_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
     return links
 
 
-def _hot_links(prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _hot_links(prefixes: DataFrame, sets: DataFrame, num: int, den: int, shelf: Shelf) -> DataFrame:
     """(src, dst) that span the links among members of long lists."""
     hot = prefixes.filter("hot")
     first = hot.groupBy("node").agg(F.min("value").alias("first"))
@@ -232,7 +235,7 @@ def _hot_links(prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     group = connected_components(ties).select(F.col("node").alias("first"), "component")
     grouped = first.join(group, "first", "left").select("node", F.coalesce("component", "first").alias("g"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num))).cast("long")
-    sized = cut(grouped.join(sets, "node").withColumn("band", band))
+    sized = shelf.put(grouped.join(sets, "node").withColumn("band", band))
     shares = sized.groupBy("g", "band").agg(F.ceil(F.sum(F.length("items")) / F.lit(BLOCK_BYTES)).cast("int").alias("m"))
     after = shares.select("g", (F.col("band") - 1).alias("band"), F.col("m").alias("m_next"))
     before = shares.select("g", (F.col("band") + 1).alias("band"), F.col("m").alias("m_prev"))
@@ -259,25 +262,30 @@ def _hot_links(prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 def components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, node, component_id, kept), one row for each row of docs."""
     spark, t = docs.sparkSession, num / den
-    made = cut(sketches(docs, size, doc_id, text))
-    nodes = cut(made.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    shelf = Shelf(spark)
+    made = shelf.put(sketches(docs, size, doc_id, text))
+    nodes = shelf.put(made.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
     # counts of hashed values: a table of BUCKETS entries at most, whatever the input
     tally = nodes.select(F.explode(F.slice("sketch", 1, INDEXED)).alias("v")).groupBy(F.pmod("v", F.lit(BUCKETS)).cast("int").alias("k")).count().filter(F.col("count") >= HOT).collect()
     seen = np.zeros(BUCKETS, np.int64)
     for r in tally:
         seen[r["k"]] = r["count"]
-    prefixes = cut(_prefixes(nodes, spark.sparkContext.broadcast(seen), t))
-    pairs = cut(_estimated(_cold_pairs(prefixes.filter("NOT hot"), num, den), nodes, t))
+    prefixes = shelf.put(_prefixes(nodes, spark.sparkContext.broadcast(seen), t))
+    release(spark)
+    pairs = shelf.put(_estimated(_cold_pairs(prefixes.filter("NOT hot"), num, den), nodes, t))
+    release(spark)
     wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(prefixes.filter("hot").select("node")).distinct()
-    sets = cut(_full_sets(docs, nodes.join(wanted, "node").select(F.col("id").alias("__id"), "node"), size, doc_id, text).dropDuplicates(["node"]))
-    links = _similar(pairs, sets, num, den).unionByName(_hot_links(prefixes, sets, num, den))
-    label = connected_components(links)
+    sets = shelf.put(_full_sets(docs, nodes.join(wanted, "node").select(F.col("id").alias("__id"), "node"), size, doc_id, text))
     release(spark)  # the texts that were shuffled for the full sets
+    links = shelf.put(_similar(pairs, sets, num, den).unionByName(_hot_links(prefixes, sets, num, den, shelf)))
+    label = connected_components(links)
     labelled = nodes.select("node", "id").join(label, "node", "left").select("node", "id", F.coalesce("component", "node").alias("label"))
     named = labelled.join(labelled.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("node", "component_id")
     out = made.select("doc_id", "n", "node").join(named, "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.withColumn("component_id", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    out = cut(out.withColumn("component_id", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
+    shelf.clear()
+    return out
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,6 @@ than others and lose nothing.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.llm import kernels as K
-from graphtide.runtime import cut, ensure_checkpoint_dir, release
+from graphtide.runtime import Shelf, cut, release
 
 BITMAP_BITS = 27
 #: Different fragments (a batch counts each once) from which an anchor's windows are keyed by themselves.
@@ -332,17 +331,14 @@ def removed(docs: DataFrame, make: Maker, solve: Solver, size: int, doc_id: str,
     narrow = keyed.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col("__rk").alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     maps = spark.sparkContext.broadcast(_bitmaps(narrow, make))
     release(spark)
-    folder = f"{ensure_checkpoint_dir(spark)}/windows-{uuid.uuid4()}"
-    _places(narrow, make, size, maps).write.option("compression", "zstd").parquet(folder)
-    places = spark.read.parquet(folder)
+    shelf = Shelf(spark)
+    places = shelf.put(_places(narrow, make, size, maps))
     simple = places.filter("NOT hard").groupBy("fid").agg(F.min("doc_id").alias("least"))
     hard = _answers(places.filter("payload IS NOT NULL").select("fid", "key", "off", "count", "payload", "least", "most"), solve)
     answers = simple.select("fid", "least", F.lit(None).cast("binary").alias("ids")).unionByName(hard.select("fid", F.lit(0).cast("long").alias("least"), "ids"))
     joined = places.select("fid", "rk", "doc_id", "at").join(answers, "fid").select("rk", "doc_id", "at", "least", "ids")
     ranges = cut(_ranges(joined, size).groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("__ranges")).withColumnRenamed("rk", "__rk"))
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    release(spark)
+    shelf.clear()
     return keyed.join(ranges, "__rk", "left").drop("__rk")
 
 
