@@ -94,13 +94,13 @@ def pagerank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.pagerank(both, rounds=5, tolerance=None).select("id", F.round("rank", 9).alias("rank"))
 
 
-# customers are linked if one line item's part number differs by at most nothing: same part and quantity
-_LINKS = "links AS (SELECT DISTINCT o_custkey AS src, 100000000 + (l_partkey * 7 + CAST(l_quantity AS BIGINT)) % 2500 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND o_orderkey % 9 = 0)"
+# customers are linked through a hash of the part and quantity of first line items
+_LINKS = "links AS (SELECT DISTINCT o_custkey AS src, 100000000 + (l_partkey * 7 + CAST(l_quantity AS BIGINT)) % 600 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND o_orderkey % 9 = 0)"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").select("o_orderkey", "o_custkey")
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), (F.lit(100000000) + (F.col("l_partkey") * 7 + F.col("l_quantity").cast("long")) % 2500).alias("dst"))
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), (F.lit(100000000) + (F.col("l_partkey") * 7 + F.col("l_quantity").cast("long")) % 600).alias("dst"))
     return o.join(li, "o_orderkey").select(F.col("o_custkey").alias("src"), "dst").distinct()
 
 
