@@ -74,3 +74,58 @@ def wl_hash(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
         near = both.join(here.select("graph_id", F.col("node_id").alias("dst"), "label"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("node_id")).agg(F.array_sort(F.collect_list("label")).alias("near"))
         here = here.join(near, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.sha2(F.concat_ws("|", "label", F.array_join(F.coalesce("near", F.array().cast("array<string>")), ",")), 256).alias("label"))
     return here
+
+
+def compare_graphs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(graph_id, name, status, l_node, r_node): functions of two versions of a graph by name and subtree hash.
+
+    Equal subtree hashes end the comparison of a function at its root; nodes of changed functions are compared by first_mismatch.
+    """
+    from graphtide.operators.graph import typed
+    from graphtide.operators.tree import structural_hash
+
+    sides = []
+    for nodes, prefix in ((left, "l"), (right, "r")):
+        f = typed(nodes).filter("depth = 1 AND node_type = 'Function'").join(structural_hash(nodes), ["graph_id", "node_id"])
+        last = F.max(F.struct("node_id", "hash"))
+        sides.append(f.groupBy("graph_id", "name").agg(last.alias("x")).select("graph_id", "name", F.col("x.node_id").alias(f"{prefix}_node"), F.col("x.hash").alias(f"{prefix}_hash")))
+    both = sides[0].join(sides[1], ["graph_id", "name"], "full_outer")
+    status = F.when(F.col("r_node").isNull(), "only_left").when(F.col("l_node").isNull(), "only_right").when(F.col("l_hash") == F.col("r_hash"), "same").otherwise("changed")
+    return both.select("graph_id", "name", status.alias("status"), "l_node", "r_node")
+
+
+def first_mismatch(changed: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The first place, in pre-order of the function, where kind or name differ. changed: graph_id, name, l_node, r_node."""
+    l = changed.join(left.select("graph_id", F.col("parent_id").alias("l_node"), "child_ord", F.col("kind").alias("lk"), F.col("name").alias("ln")), ["graph_id", "l_node"])  # noqa: E741
+    r = changed.join(right.select("graph_id", F.col("parent_id").alias("r_node"), "child_ord", F.col("kind").alias("rk"), F.col("name").alias("rn")), ["graph_id", "r_node"])
+    both = l.select("graph_id", "name", "child_ord", "lk", "ln").join(r.select("graph_id", "name", "child_ord", "rk", "rn"), ["graph_id", "name", "child_ord"], "full_outer")
+    return both.filter(~(F.col("lk").eqNullSafe(F.col("rk")) & F.col("ln").eqNullSafe(F.col("rn")))).groupBy("graph_id", "name").agg(F.min("child_ord").alias("child_ord"))
+
+
+def greedy_edge_matches(left: DataFrame, right: DataFrame, threshold: int = 30) -> DataFrame:
+    """(graph_id, l_src, l_dst, r_src, r_dst, score): pairs of edges taken by falling score, each right edge once.
+
+    left, right: graph_id, src, dst, edge_type, src_kind, dst_kind. Edges of other types or source kinds score nothing, so
+    candidates come from an equi-join; the greedy choice runs within one graph.
+    """
+    import pandas as pd
+
+    key = ["graph_id", "edge_type", "src_kind"]
+    l = left.select(*key, F.col("src").alias("l_src"), F.col("dst").alias("l_dst"), F.col("dst_kind").alias("lk"))  # noqa: E741
+    r = right.select(*key, F.col("src").alias("r_src"), F.col("dst").alias("r_dst"), F.col("dst_kind").alias("rk"))
+    near = F.greatest(F.lit(0), F.lit(20) - F.abs(F.col("l_src") - F.col("r_src")) - F.abs(F.col("l_dst") - F.col("r_dst")))
+    scored = l.join(r, key).withColumn("score", (F.lit(20) + F.when(F.col("lk") == F.col("rk"), 20).otherwise(0) + near).cast("int")).filter(F.col("score") > threshold)
+    cols = ["graph_id", "l_src", "l_dst", "r_src", "r_dst", "score"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["score", "l_src", "l_dst", "r_src", "r_dst"], ascending=[False, True, True, True, True])
+        used, got, rows = set(), set(), []
+        for row in frame.itertuples(index=False):
+            a, b = (row.l_src, row.l_dst), (row.r_src, row.r_dst)
+            if b not in used and a not in got:
+                used.add(b), got.add(a)
+                rows.append(row)
+        return pd.DataFrame(rows, columns=cols)
+
+    kinds = dict(scored.dtypes)
+    return scored.select(*cols).groupBy("graph_id").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols))

@@ -115,14 +115,14 @@ def min_label_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.min_labels(_links(spark, sf_dir), max_rounds=60)[0]
 
 
-@query("bfs_layers", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), b(id, level) AS (SELECT s, 0 FROM (SELECT min(src) AS s FROM links) UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.id WHERE b.level < 60), l AS (SELECT id, min(level) AS level FROM b GROUP BY 1) SELECT l.id, CAST(l.level AS INT) AS level, (SELECT min(p.id) FROM l p JOIN e ON e.src = p.id WHERE e.dst = l.id AND p.level = l.level - 1) AS parent FROM l")
+@query("bfs_layers", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), b(id, level) AS (SELECT s, 0 FROM (SELECT min(dst) AS s FROM links) UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.id WHERE b.level < 60), l AS (SELECT id, min(level) AS level FROM b GROUP BY 1) SELECT l.id, CAST(l.level AS INT) AS level, (SELECT min(p.id) FROM l p JOIN e ON e.src = p.id WHERE e.dst = l.id AND p.level = l.level - 1) AS parent FROM l")
 def bfs_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _links(spark, sf_dir)
     both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return fixpoint.bfs(both, links.agg(F.min("src").alias("id")))
+    return fixpoint.bfs(both, links.agg(F.min("dst").alias("id")))
 
 
-@query("reachability_closure", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), b(id) AS (SELECT min(src) FROM links UNION SELECT e.dst FROM b JOIN e ON e.src = b.id) SELECT id FROM b")
+@query("reachability_closure", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), b(id) AS (SELECT min(dst) FROM links UNION SELECT e.dst FROM b JOIN e ON e.src = b.id) SELECT id FROM b")
 def reachability_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfs_layers(spark, sf_dir).select("id")
 

@@ -449,3 +449,29 @@ def dot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphtide.sources.sinks import dot_edges
 
     return dot_edges(graph.child_edges(tree_nodes(spark, sf_dir).filter("graph_id % 50 = 0")))
+
+
+def _renamed(nodes: DataFrame) -> DataFrame:
+    """The second version of the tree: other names for every seventh leaf, other kinds for every ninth."""
+    leaf = F.col("depth") == 2
+    return nodes.withColumns({"kind": F.when(leaf & (F.col("node_id") % 9 == 0), "identifier").otherwise(F.col("kind")), "name": F.when(leaf & (F.col("node_id") % 7 == 0), F.concat("name", F.lit("y"))).otherwise(F.col("name"))})
+
+
+@query("compare_graphs", W_TYPED + ", r AS (SELECT graph_id, parent_id, child_ord, kind, CASE WHEN node_id % 9 = 0 THEN 'identifier' ELSE kind END AS kind2 FROM nodes WHERE depth = 2), u AS (SELECT graph_id, name, max(node_id) AS node_id FROM typed WHERE depth = 1 AND node_type = 'Function' GROUP BY ALL) SELECT u.graph_id, u.name, CASE WHEN bool_or(r.kind <> r.kind2) THEN 'changed' ELSE 'same' END AS status, u.node_id AS l_node, u.node_id AS r_node FROM u LEFT JOIN r ON r.graph_id = u.graph_id AND r.parent_id = u.node_id GROUP BY u.graph_id, u.name, u.node_id")
+def compare_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tree_nodes(spark, sf_dir)
+    return compare.compare_graphs(nodes, _renamed(nodes))
+
+
+@query("compare_first_mismatch", W_TYPED + ", u AS (SELECT graph_id, name, max(node_id) AS node_id FROM typed WHERE depth = 1 AND node_type = 'Function' GROUP BY ALL), c AS (SELECT u.graph_id, u.name, n.child_ord, n.node_id, bool_or(n.node_id % 9 = 0 AND n.kind <> 'identifier') OVER (PARTITION BY u.graph_id, u.name) AS changed, (n.node_id % 9 = 0 AND n.kind <> 'identifier') OR n.node_id % 7 = 0 AS differs FROM u JOIN nodes n ON n.graph_id = u.graph_id AND n.parent_id = u.node_id) SELECT graph_id, name, min(child_ord) AS child_ord FROM c WHERE changed AND differs GROUP BY ALL")
+def compare_first_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tree_nodes(spark, sf_dir)
+    other = _renamed(nodes)
+    return compare.first_mismatch(compare.compare_graphs(nodes, other).filter("status = 'changed'"), nodes, other)
+
+
+@query("greedy_edge_matches")
+def greedy_edge_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tree_nodes(spark, sf_dir).filter("graph_id % 10 = 0")
+    edges = lambda n: graph.resolve(graph.child_edges(n), n, "kind").select("graph_id", "src", "dst", "edge_type", "src_kind", "dst_kind")
+    return compare.greedy_edge_matches(edges(nodes), edges(_renamed(nodes)))

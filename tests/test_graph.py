@@ -275,3 +275,11 @@ def test_sinks(spark, tmp_path):
     sinks.write_text(sinks.dot(flat, e), "dot", str(tmp_path / "dot"))
     assert spark.read.text(str(tmp_path / "dot")).count() > 3
     assert r"\_" in sinks.to_latex([("a_b", 1.0)], ["n", "v"])
+
+
+def test_greedy_edge_matches_use_each_right_edge_once(spark):
+    schema = "graph_id int, src int, dst int, edge_type string, src_kind string, dst_kind string"
+    left = spark.createDataFrame([(1, 0, 1, "A", "r", "x"), (1, 0, 2, "A", "r", "x"), (1, 0, 3, "B", "r", "x")], schema)
+    right = spark.createDataFrame([(1, 0, 2, "A", "r", "x"), (1, 0, 9, "A", "r", "z")], schema)
+    got = [(r["l_dst"], r["r_dst"]) for r in compare.greedy_edge_matches(left, right).collect()]
+    assert got == [(2, 2), (1, 9)]
