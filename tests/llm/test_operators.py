@@ -58,7 +58,7 @@ def empty(spark):
 def _oracle(sql, **tables):
     c = duckdb.connect()
     for name, df in tables.items():
-        c.register(name, df.toPandas().astype(object).where(lambda x: x.notna(), None)) if False else c.register(name, df.toArrow())
+        c.register(name, df.toArrow())
     q = c.sql(sql)
     cols = sorted(q.columns)
     return cols, sorted(q.select(*[f'"{x}"' for x in cols]).fetchall(), key=str)
