@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from graphtide.llm import kernels as K
 from graphtide.operators.components import connected_components
-from graphtide.runtime import Shelf, cut, release, table
+from graphtide.runtime import Shelf, release, table
 
 SKETCH, INDEXED = 64, 32
 MISS = 1e-9
@@ -283,7 +283,8 @@ def components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, do
     named = labelled.join(labelled.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("node", "component_id")
     out = made.select("doc_id", "n", "node").join(named, "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = cut(out.withColumn("component_id", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
+    # the result is narrow: it stays, on a shelf of its own
+    out = Shelf(spark).put(out.withColumn("component_id", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
     shelf.clear()
     return out
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.llm import kernels as K
-from graphtide.runtime import Shelf, cut, release
+from graphtide.runtime import Shelf, release
 
 BITMAP_BITS = 27
 #: Different fragments (a batch counts each once) from which an anchor's windows are keyed by themselves.
@@ -337,7 +337,9 @@ def removed(docs: DataFrame, make: Maker, solve: Solver, size: int, doc_id: str,
     hard = _answers(places.filter("payload IS NOT NULL").select("fid", "key", "off", "count", "payload", "least", "most"), solve)
     answers = simple.select("fid", "least", F.lit(None).cast("binary").alias("ids")).unionByName(hard.select("fid", F.lit(0).cast("long").alias("least"), "ids"))
     joined = places.select("fid", "rk", "doc_id", "at").join(answers, "fid").select("rk", "doc_id", "at", "least", "ids")
-    ranges = cut(_ranges(joined, size).groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("__ranges")).withColumnRenamed("rk", "__rk"))
+    # the result reads this small table: it stays, on a shelf of its own
+    ranges = Shelf(spark).put(_ranges(joined, size).groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("__ranges")).withColumnRenamed("rk", "__rk"))
+    del places, simple, hard, answers, joined
     shelf.clear()
     return keyed.join(ranges, "__rk", "left").drop("__rk")
 
