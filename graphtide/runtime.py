@@ -67,8 +67,11 @@ class Shelf:
 def release(spark: SparkSession) -> None:
     """Lets the driver drop shuffle files of jobs whose results have been taken.
 
-    Its cleaner follows its garbage collection: the first one ends references that the second finds gone.
+    Its cleaner follows its garbage collection: the first one ends references that the second finds gone. In a session of one
+    process there are no executors' disks to spare, and the waits would be most of a small job.
     """
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
