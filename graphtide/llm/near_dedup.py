@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from graphtide.llm import kernels as K
 from graphtide.operators.components import connected_components
-from graphtide.runtime import Shelf, release, table
+from graphtide.runtime import Shelf, release, small_batches, table
 
 SKETCH, INDEXED = 64, 32
 MISS = 1e-9
@@ -261,6 +261,11 @@ def _hot_links(prefixes: DataFrame, sets: DataFrame, num: int, den: int, shelf:
 
 def components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, node, component_id, kept), one row for each row of docs."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, size, num, den, doc_id, text)
+
+
+def _components(docs: DataFrame, size: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
     spark, t = docs.sparkSession, num / den
     shelf = Shelf(spark)
     made = shelf.put(sketches(docs, size, doc_id, text))
