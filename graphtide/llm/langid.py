@@ -1,13 +1,14 @@
 """Language identification by compression.
 
 For each language a raw-content zstandard dictionary is cut from a bounded sample of labelled texts. A whole text
-is lower-cased, its non-letters are folded to one space, and it is compressed once with every dictionary; the smallest result names the language. The score is the margin: the
+is lower-cased, its non-letters are folded to one space, and it is compressed with every dictionary in pieces of a fixed size,
+each with a fresh dictionary; the smallest sum of results names the language. The score is the margin: the
 share by which the best result is smaller than the second best, scaled to 0..1. A text is rejected if its
 margin is narrow.
 
 Defined results: a null text, and one without a letter, is `und` with score 0 and rejected. Equal sizes go to
 the language with the most labelled rows, then to the first by name. Without any learned language every text is
-`und`. Repeated rows are judged each by themselves; very long texts are compressed whole. Two result columns that
+`und`. Repeated rows are judged each by themselves; every piece of a very long text counts. Two result columns that
 clash with columns of the input replace them.
 """
 
@@ -33,6 +34,8 @@ MAX_LANGUAGES = 64
 #: A text is rejected if the second best result is not larger than the best by this share.
 MIN_MARGIN = 0.002
 LEVEL = 1
+#: Bytes of a text that are compressed at once: the gain of a dictionary is bounded, so the margin of one long run would shrink with its length.
+CHUNK_BYTES = 16 << 10
 #: Sampled pieces that start alike for so many bytes are copies; only the label that most of them have keeps them.
 HEAD_BYTES = 48
 
@@ -111,8 +114,9 @@ def predict(docs: DataFrame, models: list[tuple[str, bytes]], text: str = "text"
                 if not letter[i] or not packers:
                     langs.append("und"), scores.append(0.0), margins.append(0.0), rejected.append(True)
                     continue
-                whole = raw[i].as_buffer()
-                sizes = [len(pack(whole)) for pack in packers]
+                whole = memoryview(raw[i].as_buffer())
+                chunks = [whole[k : k + CHUNK_BYTES] for k in range(0, len(whole), CHUNK_BYTES)]
+                sizes = [sum(len(pack(c)) for c in chunks) for pack in packers]
                 best = min(range(len(sizes)), key=sizes.__getitem__)
                 others = sizes[:best] + sizes[best + 1 :]
                 margin = 1 - sizes[best] / min(others) if others else 1.0

@@ -95,6 +95,18 @@ def test_langid_held_out_accuracy_and_defined_results(spark):
     assert langid.predict(df.limit(0), models).count() == 0 and langid.train(df.limit(0)) == []
 
 
+def test_langid_counts_every_part_of_a_long_text(spark):
+    rng = random.Random(6)
+    vocab = {k: ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(3000)] for k, letters in (("aa", "abcdefghijklm"), ("bb", "hijklmnopqrst"))}
+    make = lambda k, n: " ".join(rng.choices(vocab[k], k=n))
+    train = spark.createDataFrame([(i, make(k := ("aa", "bb")[i % 2], 300), k) for i in range(100)], "doc_id long, text string, lang string")
+    texts = [make("aa", 3000), make("aa", 400000), make("bb", 400000), make("bb", 60000) + " " + make("aa", 200000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r for _, r in sorted((r["doc_id"], r) for r in langid.predict(rows, langid.train(train)).collect())]
+    assert [(r["lang_pred"], r["rejected"]) for r in out] == [("aa", False), ("aa", False), ("bb", False), ("aa", False)]
+    assert out[1]["margin"] > out[0]["margin"] / 2
+
+
 # --- secrets
 
 
