@@ -64,8 +64,8 @@ def source_reads_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("source_data_dependence")
 def source_data_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reaching definitions along the control flow of the first files."""
-    n = fe.build(sources(spark, sf_dir).filter("graph_id IN ('g0', 'g1', 'g2')"))
+    """Reaching definitions along the control flow of every file."""
+    n = fe.build(sources(spark, sf_dir))
     e = fe.cf_pass(n).filter("dst >= 0").select("graph_id", "src", "dst")
     facts = n.select("graph_id", "node_id", F.col("df_reads").alias("reads"), F.col("df_writes").alias("writes"))
     return fixpoint.reaching_definitions(facts, e)

@@ -7,6 +7,7 @@ from graphtide.operators import compare, control, fixpoint, graph, spatial, tree
 from graphtide.operators import frontends as fe
 from graphtide.operators.components import connected_components
 from graphtide.operators.graph import EdgeQuery
+from graphtide.plans import source_queries
 from graphtide.sources import sinks
 
 
@@ -283,3 +284,34 @@ def test_greedy_edge_matches_use_each_right_edge_once(spark):
     right = spark.createDataFrame([(1, 0, 2, "A", "r", "x"), (1, 0, 9, "A", "r", "z")], schema)
     got = [(r["l_dst"], r["r_dst"]) for r in compare.greedy_edge_matches(left, right).collect()]
     assert got == [(2, 2), (1, 9)]
+
+
+def _reaching(nodes, edges):
+    """Every definition is followed along the edges until the variable is written again."""
+    out = set()
+    for (g, i), (_, writes) in nodes.items():
+        for var in writes:
+            seen, todo = set(), list(edges.get((g, i), ()))
+            while todo:
+                j = todo.pop()
+                if j in seen or (g, j) not in nodes:
+                    continue
+                seen.add(j)
+                if var in nodes[g, j][0]:
+                    out.add((g, i, j, var))
+                if var not in nodes[g, j][1]:
+                    todo += edges.get((g, j), ())
+    return out
+
+
+def test_source_data_dependence_covers_every_file(spark, tmp_path):
+    parts = [(k, s) for k, s in zip([1, 2, 51, 101, 151, 152, 261, 999], [30, 7, 2, 10, 3, 6, 20, 5], strict=True)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    n = fe.build(source_queries.sources(spark, str(tmp_path))).cache()
+    nodes = {(r["graph_id"], r["node_id"]): (r["df_reads"], r["df_writes"]) for r in n.collect()}
+    edges = {}
+    for r in fe.cf_pass(n).filter("dst >= 0").collect():
+        edges.setdefault((r["graph_id"], r["src"]), []).append(r["dst"])
+    got = [(r["graph_id"], r["writer"], r["reader"], r["var"]) for r in source_queries.source_data_dependence(spark, str(tmp_path)).collect()]
+    assert {r[0] for r in got} == {"g0", "g1", "g2", "g3", "g5", "g19"}
+    assert len(got) == len(set(got)) and set(got) == _reaching(nodes, edges)
