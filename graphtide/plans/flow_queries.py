@@ -112,7 +112,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("min_label_program", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), c(node, label) AS (SELECT src, src FROM e UNION SELECT e.dst, c.label FROM c JOIN e ON e.src = c.node WHERE c.label < e.dst) SELECT node AS id, min(label) AS label FROM c GROUP BY 1")
 def min_label_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same components by the vertex-centric engine."""
-    return fixpoint.min_labels(_links(spark, sf_dir), max_rounds=60)[0]
+    return fixpoint.min_labels(_links(spark, sf_dir), max_rounds=None)[0]
 
 
 @query("bfs_layers", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), b(id, level) AS (SELECT s, 0 FROM (SELECT min(dst) AS s FROM links) UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.id WHERE b.level < 60), l AS (SELECT id, min(level) AS level FROM b GROUP BY 1) SELECT l.id, CAST(l.level AS INT) AS level, (SELECT min(p.id) FROM l p JOIN e ON e.src = p.id WHERE e.dst = l.id AND p.level = l.level - 1) AS parent FROM l")

@@ -7,7 +7,7 @@ from graphtide.operators import compare, control, fixpoint, graph, spatial, tree
 from graphtide.operators import frontends as fe
 from graphtide.operators.components import connected_components
 from graphtide.operators.graph import EdgeQuery
-from graphtide.plans import source_queries
+from graphtide.plans import flow_queries, source_queries
 from graphtide.sources import sinks
 
 
@@ -315,3 +315,13 @@ def test_source_data_dependence_covers_every_file(spark, tmp_path):
     got = [(r["graph_id"], r["writer"], r["reader"], r["var"]) for r in source_queries.source_data_dependence(spark, str(tmp_path)).collect()]
     assert {r[0] for r in got} == {"g0", "g1", "g2", "g3", "g5", "g19"}
     assert len(got) == len(set(got)) and set(got) == _reaching(nodes, edges)
+
+
+def test_fixpoints_do_not_stop_on_long_paths(spark, monkeypatch):
+    flow = spark.createDataFrame([(1, i, ["x"] if i in (55, 56) else [], ["x"] if i == 1 else []) for i in range(1, 57)], "graph_id int, node_id long, reads array<string>, writes array<string>")
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(1, 56)], "graph_id int, src long, dst long")
+    assert {(r["writer"], r["reader"]) for r in fixpoint.reaching_definitions(flow, edges).collect()} == {(1, 55), (1, 56)}
+    path = spark.createDataFrame([(i, i + 1) for i in range(103)], "src long, dst long").coalesce(1).cache()
+    assert {r["id"]: r["level"] for r in fixpoint.bfs(path, path.filter("src = 0").select(F.col("src").alias("id"))).collect()} == {i: i for i in range(104)}
+    monkeypatch.setattr(flow_queries, "_links", lambda spark, sf_dir: path.filter("src < 64"))
+    assert {r["id"]: r["label"] for r in flow_queries.min_label_program(spark, "").collect()} == {i: 0 for i in range(65)}
