@@ -7,7 +7,7 @@ from graphtide.operators import compare, control, fixpoint, graph, spatial, tree
 from graphtide.operators import frontends as fe
 from graphtide.operators.components import connected_components
 from graphtide.operators.graph import EdgeQuery
-from graphtide.plans import flow_queries, source_queries
+from graphtide.plans import adapters, flow_queries, graph_queries, source_queries
 from graphtide.sources import sinks
 
 
@@ -286,6 +286,51 @@ def test_greedy_edge_matches_use_each_right_edge_once(spark):
     assert got == [(2, 2), (1, 9)]
 
 
+def _order_tables(spark, folder):
+    """Orders of customers inside and outside the ids that queries once kept."""
+    priorities = ["1-URGENT", "2-HIGH", "5-LOW"]
+    orders = [(o, c, priorities[o % 3], 10.0 * o) for o, c in enumerate([5, 5, 10, 10, 10, 250, 250, 1203, 5])]
+    lines = [(o[0], n, o[0] * 7 + n, n, float(n), 1.0, 0.0, 0.0, "ANR"[n % 3], "FO"[n % 2], "1995-01-01") for o in orders for n in range(1, 3 + o[0] % 4)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_tree_validation_covers_every_graph(spark, tmp_path):
+    _order_tables(spark, tmp_path)
+    size = {}
+    for r in adapters.tree_nodes(spark, str(tmp_path)).collect():
+        size[r["graph_id"]] = size.get(r["graph_id"], 0) + 1
+    got = {r["component"]: r["n"] for r in flow_queries.tree_validation_by_program(spark, str(tmp_path)).collect()}
+    assert set(size) == {5, 10, 250, 1203} and got == {g * 100000: n for g, n in size.items()}
+
+
+def test_greedy_edge_matches_cover_every_graph(spark, tmp_path):
+    _order_tables(spark, tmp_path)
+    graphs = {}
+    for r in adapters.tree_nodes(spark, str(tmp_path)).collect():
+        graphs.setdefault(r["graph_id"], {})[r["node_id"]] = r
+    want = set()
+    for g, nodes in graphs.items():
+        kind = {i: r["kind"] for i, r in nodes.items()}
+        new = {i: "identifier" if nodes[i]["depth"] == 2 and i % 9 == 0 else k for i, k in kind.items()}
+        edges = [(r["parent_id"], i) for i, r in nodes.items() if r["parent_id"] is not None]
+        pairs = []
+        for a in edges:
+            for b in edges:
+                if kind[a[0]] == new[b[0]]:
+                    score = 20 + 20 * (kind[a[1]] == new[b[1]]) + max(0, 20 - abs(a[0] - b[0]) - abs(a[1] - b[1]))
+                    if score > 30:
+                        pairs.append((-score, a, b))
+        left, right = set(), set()
+        for score, a, b in sorted(pairs):
+            if a not in left and b not in right:
+                left.add(a), right.add(b)
+                want.add((g, *a, *b, -score))
+    got = [tuple(r) for r in graph_queries.greedy_edge_matches(spark, str(tmp_path)).collect()]
+    assert {r[0] for r in got} == {5, 10, 250, 1203} and len(got) == len(want) and set(got) == want
+
+
 def _reaching(nodes, edges):
     """Every definition is followed along the edges until the variable is written again."""
     out = set()
