@@ -159,7 +159,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     new = ("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_sha256")
     found = W.removed(docs.drop(*new), make, solve, MIN_LENGTH, doc_id, text)
     plain = [c for c in docs.columns if c not in new]
-    base = found.select(*[F.col(f"`{c}`") for c in plain], F.col("__ranges.lo").alias("__lo"), F.col("__ranges.hi").alias("__hi"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    base = found.select(*[F.col(f"`{c}`") for c in plain], "__lo", "__hi", F.coalesce(F.col(text), F.lit("")).alias("__t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-3])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +172,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 total.append(len(raw))
                 n = k = 0
                 if los[i].is_valid:
-                    lo, hi = np.asarray(los[i].values), np.maximum.accumulate(np.asarray(his[i].values))
-                    first = np.append(True, lo[1:] > hi[:-1])
-                    lo, hi = lo[first], hi[np.append(np.flatnonzero(first)[1:], len(hi)) - 1]
+                    lo, hi = np.asarray(los[i].values), np.asarray(his[i].values)
                     n, k = int((hi - lo).sum()), len(lo)
                     raw = b"".join(raw[a:z] for a, z in zip([0, *hi], [*lo, len(raw)], strict=True))
                 gone.append(n)

@@ -127,7 +127,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     new = ("n_words", "n_removed", "kept_text", "kept_sha256")
     found = W.removed(docs.drop(*new), make, solve, WINDOW, doc_id, text)
     plain = [c for c in docs.columns if c not in new]
-    base = found.select(*[F.col(f"`{c}`") for c in plain], F.col("__ranges.lo").alias("__lo"), F.col("__ranges.hi").alias("__hi"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    base = found.select(*[F.col(f"`{c}`") for c in plain], "__lo", "__hi", F.coalesce(F.col(text), F.lit("")).alias("__t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-3])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
