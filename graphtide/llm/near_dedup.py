@@ -1,12 +1,13 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
-1. Every text becomes the set of its word shingles' 64-bit hashes; equal sets are one node (a digest of the set).
+1. Every text becomes the set of its word shingles' 64-bit hashes; equal sets (by a 128-bit digest) are one node.
 2. A node's sketch is the SKETCH smallest hashes. Two sets of similarity t share a value of the union's
    bottom-k with probability t, independently enough to bound the shared values below by `least_shared`,
    at an error of MISS for a pair.
-3. The INDEXED smallest values are ordered by rarity (counts of hashed buckets, a table of fixed size), and only
-   as many of the rarest stay as a pair with enough shared values cannot avoid. Inverted lists of these values give pairs.
-4. Lists under HOT members give their pairs, which the union-sketch estimate filters before full sets are compared.
+3. The INDEXED smallest values are ordered by rarity, by exact counts of the nodes that hold each, and only
+   as many of the rarest stay as a pair with enough shared values cannot avoid; a value of one node alone makes no
+   list. Inverted lists of the others give pairs.
+4. Values of under HOT nodes give their lists' pairs, which the union-sketch estimate filters before full sets are compared.
    Longer lists are joined into groups, cut into blocks of bounded bytes by set size, and each pair of blocks is
    solved by inverted lists of full sets with a union-find: a member is compared with all others only
    while it is outside the largest component, so copies are never expanded into all pairs.
@@ -14,8 +15,8 @@
 
 Defined results: null and empty texts have the empty set and link with nothing; a text of fewer words than a
 shingle is one shingle; rows with equal text are linked; a row with a null id links like any other but never names a
-component, and is kept only if its component has no id at all. Repeated rows with one id share the component.
-Other columns are kept; result columns replace input columns of the same name.
+component, and is kept only if its component has no id at all. Repeated rows with one id share the component; rows with one id
+and different texts are judged by their texts. Other columns of the input are not read and not returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +33,11 @@ from pyspark.sql import functions as F
 
 from graphtide.llm import kernels as K
 from graphtide.operators.components import connected_components
-from graphtide.runtime import Shelf, release, small_batches, table
+from graphtide.runtime import Shelf, small_batches, table
 
 SKETCH, INDEXED = 64, 32
 MISS = 1e-9
 HOT = 64
-BUCKETS = 1 << 18
 BLOCK_BYTES = 16 << 20
 
 
@@ -79,55 +79,48 @@ def shingle_sets(b: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarr
     return out
 
 
-def _digest(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def sketches(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, node, sketch): node is the digest of the set, sketch its smallest hashes (signed)."""
+    """(doc_id, h, n, digest, sketch): h a hash of the text, digest of the whole set, sketch its smallest hashes (signed)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, sketch = [], [], []
-            for _, _, b, off in K.chunks(batch.column(1)):
+            n, digest, sketch = [], [], []
+            for _, _, b, off in K.chunks(batch.column(2)):
                 for s in shingle_sets(b, off, size):
                     n.append(len(s))
-                    node.append(_digest(s))
+                    digest.append(_digest(s))
                     sketch.append(s[:SKETCH].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "digest", "sketch"]
+            )
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(make, "doc_id long, n long, node long, sketch array<long>")
+    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(make, "doc_id long, h long, n long, digest binary, sketch array<long>")
 
 
-def _prefixes(nodes: DataFrame, counts, t: float) -> DataFrame:
-    """(value, node, n, hot): the rarest indexed values of each node; hot: the bucket has HOT values or more."""
+def _prefixes(nodes: DataFrame, t: float) -> DataFrame:
+    """(value, node, n, hot): the rarest indexed values of each node, without those that no other node has; hot: HOT nodes or more have the value."""
     need = least_shared(INDEXED, t)
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = counts.value
-        for batch in batches:
-            sketch = batch.column(2)
-            values, ends = np.asarray(sketch.flatten()), np.asarray(sketch.offsets)
-            out = []
-            for i in range(batch.num_rows):
-                v = values[ends[i] : min(ends[i + 1], ends[i] + INDEXED)]
-                c = seen[v % BUCKETS]
-                c = np.where(c >= HOT, c, 0)
-                keep = len(v) - max(1, len(v) * need // INDEXED) + 1
-                order = np.lexsort((v, c))[:keep]
-                out.append((v[order], c[order] >= HOT, i))
-            if out:
-                where = np.concatenate([np.full(len(o[0]), o[2]) for o in out])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[0] for o in out])), batch.column(0).take(pa.array(where)), batch.column(1).take(pa.array(where)), pa.array(np.concatenate([o[1] for o in out]))],
-                    names=["value", "node", "n", "hot"],
-                )
-
-    return nodes.select("node", "n", "sketch").mapInArrow(make, "value long, node long, n long, hot boolean")
+    own = F.slice("sketch", 1, INDEXED)
+    # one number for the set's size and the number of its indexed values keeps the rows narrow
+    entries = nodes.select("node", (F.col("n") * (INDEXED + 1) + F.size(own)).alias("sizes"), F.explode(own).alias("value"))
+    common = entries.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
+    held = entries.join(common, "value").groupBy("node").agg(F.first("sizes").alias("sizes"), F.array_sort(F.collect_list(F.struct("c", "value"))).alias("held"))
+    k = F.col("sizes") % (INDEXED + 1)
+    # values of the node alone are the rarest of all: they come before the ones held in common
+    room = F.size("held") - F.greatest(F.lit(1), F.floor(k * need / INDEXED)) + 1
+    return (
+        held.withColumn("room", room.cast("int")).filter("room > 0")
+        .select("node", F.floor(F.col("sizes") / (INDEXED + 1)).alias("n"), F.explode(F.slice("held", F.lit(1), F.col("room"))).alias("e"))
+        .select(F.col("e.value").alias("value"), "node", "n", (F.col("e.c") >= HOT).alias("hot"))
+    )
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """(node, n, items): the whole sets of the wanted (doc_id, node)."""
+    """(node, n, items): the whole sets of the wanted (__id, __h, node, digest); a row without an id is found by its text's hash."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +128,13 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text:
             for _, _, b, off in K.chunks(batch.column(1)):
                 items += shingle_sets(b, off, size)
             # rows that share an id may hold other texts
-            right = pa.array([_digest(x) for x in items], pa.int64()).to_numpy() == np.asarray(batch.column(0)) if items else np.zeros(0, bool)
+            right = [_digest(x) == d for x, d in zip(items, batch.column(2).to_pylist(), strict=True)]
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in items], pa.int64()), pa.array([x.tobytes() for x in items], pa.binary())], names=["node", "n", "items"])
-            yield out.filter(pa.array(right))
+            yield out.filter(pa.array(right, pa.bool_()))
 
-    picked = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).join(wanted.hint("shuffle_hash"), "__id")
-    return picked.select("node", "__text").mapInArrow(make, "node long, n long, items binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("__text"))
+    picked = rows.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
+    return picked.select("node", "__text", "digest").mapInArrow(make, "node long, n long, items binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -269,24 +263,18 @@ def _components(docs: DataFrame, size: int, num: int, den: int, doc_id: str, tex
     spark, t = docs.sparkSession, num / den
     shelf = Shelf(spark)
     made = shelf.put(sketches(docs, size, doc_id, text))
-    nodes = shelf.put(made.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
-    # counts of hashed values: a table of BUCKETS entries at most, whatever the input
-    tally = nodes.select(F.explode(F.slice("sketch", 1, INDEXED)).alias("v")).groupBy(F.pmod("v", F.lit(BUCKETS)).cast("int").alias("k")).count().filter(F.col("count") >= HOT).collect()
-    seen = np.zeros(BUCKETS, np.int64)
-    for r in tally:
-        seen[r["k"]] = r["count"]
-    prefixes = shelf.put(_prefixes(nodes, spark.sparkContext.broadcast(seen), t))
-    release(spark)
+    nodes = made.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    # the shelf keeps the numbers as they were given
+    nodes = shelf.put(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("one.doc_id").alias("id"), F.col("one.h").alias("h"), "n", "sketch"))
+    prefixes = shelf.put(_prefixes(nodes, t))
     pairs = shelf.put(_estimated(_cold_pairs(prefixes.filter("NOT hot"), num, den), nodes, t))
-    release(spark)
     wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(prefixes.filter("hot").select("node")).distinct()
-    sets = shelf.put(_full_sets(docs, nodes.join(wanted, "node").select(F.col("id").alias("__id"), "node"), size, doc_id, text))
-    release(spark)  # the texts that were shuffled for the full sets
+    sets = shelf.put(_full_sets(docs, nodes.join(wanted, "node").select(F.col("id").alias("__id"), F.col("h").alias("__h"), "node", "digest"), size, doc_id, text))
     links = shelf.put(_similar(pairs, sets, num, den).unionByName(_hot_links(prefixes, sets, num, den, shelf)))
     label = connected_components(links)
-    labelled = nodes.select("node", "id").join(label, "node", "left").select("node", "id", F.coalesce("component", "node").alias("label"))
-    named = labelled.join(labelled.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("node", "component_id")
-    out = made.select("doc_id", "n", "node").join(named, "node", "left")
+    labelled = nodes.select("node", "digest", "id").join(label, "node", "left").select("node", "digest", "id", F.coalesce("component", "node").alias("label"))
+    named = labelled.join(labelled.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("node", "digest", "component_id")
+    out = made.select("doc_id", "n", "digest").join(named, "digest", "left").drop("digest")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     # the result is narrow: it stays, on a shelf of its own
     out = Shelf(spark).put(out.withColumn("component_id", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
