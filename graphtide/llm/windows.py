@@ -26,7 +26,6 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,18 +266,19 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def _words(shared: DataFrame, bits: dict[int, int]) -> DataFrame:
-    """(kind, w, b): words of bitmaps of 2 ** bits[kind] places."""
+    """(kind, first, words): stretches of bitmaps of 2 ** bits[kind] places. A bucket's keys share their upper bits, so its stretch is its own but for the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 slot = np.unique(np.frombuffer(blob.as_buffer(), np.uint64) >> _U(KEY_BITS - bits[kind]))
-                w = (slot >> _U(6)).astype(np.int32)
+                w = (slot >> _U(6)).astype(np.int64)
                 head = _heads(w)
-                b = np.bitwise_or.reduceat(_U(1) << (slot & _U(63)), head).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), kind, np.int32)), pa.array(w[head]), pa.array(b)], names=["kind", "w", "b"])
+                words = np.zeros(w[-1] - w[0] + 1, np.uint64)
+                words[w[head] - w[0]] = np.bitwise_or.reduceat(_U(1) << (slot & _U(63)), head)
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([w[0]], pa.int64()), pa.array([words.tobytes()], pa.binary())], names=["kind", "first", "words"])
 
-    return shared.select("kind", "blob").mapInArrow(run, "kind int, w int, b long")
+    return shared.select("kind", "blob").mapInArrow(run, "kind int, first long, words binary")
 
 
 def _bitmaps(docs: DataFrame, make: Maker, shelf: Shelf, parts: int) -> list[tuple[int, np.ndarray]]:
@@ -286,14 +286,12 @@ def _bitmaps(docs: DataFrame, make: Maker, shelf: Shelf, parts: int) -> list[tup
     shared = shelf.put(_shared(_bucketed(_keys(docs, make, 4 * parts), parts, "bucket")))
     count = {r["kind"]: r["n"] for r in shared.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     bits = {k: min(MAX_BITS, max(16, (SLOTS * count.get(k, 0)).bit_length())) for k in (SHARED, HARD, CROWD)}
-    found = _words(shared, bits).groupBy("kind", "w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = []
-    for kind in (SHARED, HARD, CROWD):
-        bitmap = np.zeros(1 << (bits[kind] - 6), np.uint64)
-        mine = found.filter(pyarrow.compute.equal(found.column("kind"), kind))
-        bitmap[mine.column("w").to_numpy()] = mine.column("b").to_numpy().view(np.uint64)
-        out.append((bits[kind], bitmap))
-    return out
+    out = {kind: np.zeros(1 << (bits[kind] - 6), np.uint64) for kind in (SHARED, HARD, CROWD)}
+    # together the stretches are as long as the bitmaps
+    for r in _words(shared, bits).collect():
+        words = np.frombuffer(r["words"], np.uint64)
+        out[r["kind"]][r["first"] : r["first"] + len(words)] |= words
+    return [(bits[kind], bitmap) for kind, bitmap in out.items()]
 
 
 def _test(map_: tuple[int, np.ndarray], key: np.ndarray) -> np.ndarray:
