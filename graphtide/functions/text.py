@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +35,33 @@ def line_index(df: DataFrame, key: list[str], text: str) -> DataFrame:
     return rows.select(*key, F.col("line").cast("long").alias("line"), F.coalesce(F.sum(F.octet_length("s") + 1).over(w), F.lit(0)).cast("long").alias("line_start"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Values that prefix_sums adds up together: sums of whole stretches come first, so that a long array is not summed anew for each place.
+STRETCH = 128
+
+
+def prefix_sums(values: Column) -> Column:
+    """For each place of an array of integers, the sum of the values before it."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+    def within(v: Column, before: Column) -> Column:
+        return F.transform(upto(F.size(v)), lambda i: F.get(before, F.floor(i / STRETCH).cast("int")) + total(F.slice(v, F.floor(i / STRETCH).cast("int") * STRETCH + 1, i % STRETCH)))
+
+    def stretches(v: Column) -> Column:
+        whole = F.transform(upto(F.ceil(F.size(v) / STRETCH).cast("int")), lambda j: total(F.slice(v, j * STRETCH + 1, F.lit(STRETCH))))
+        return let(let(whole, lambda w: F.transform(w, lambda _, j: total(F.slice(w, F.lit(1), j)))), lambda before: within(v, before))
+
+    return let(values, stretches)
+
+
 def line_starts(text: Column) -> Column:
     """The same as one array in the row: byte offsets of the lines."""
-    lines = F.split(text, "\n", -1)
-    sizes = F.transform(lines, lambda s: F.octet_length(s) + 1)
-    return F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    return prefix_sums(F.transform(F.split(text, "\n", -1), lambda s: F.octet_length(s) + 1))
 
 
 def offset_to_point(points: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
@@ -120,9 +144,12 @@ def adjacent_distinct(values: Column) -> Column:
 
 
 def find_all(text: Column, needle: str) -> Column:
-    """Every start of the needle, overlapping ones too (character offsets)."""
-    n = F.length(text) - len(needle) + 1
-    return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.when(F.substring(text, i + 1, F.lit(len(needle))) == needle, i)), lambda x: x.isNotNull()))
+    """Every start of the needle, overlapping ones too (character offsets). The text is cut before each, and the pieces' lengths summed."""
+
+    # every piece but the first begins with the needle
+    first = F.startswith(text, F.lit(needle))
+    pieces = F.transform(F.split(text, f"(?={re.escape(needle)})", -1), lambda p: F.length(p))
+    return F.filter(prefix_sums(pieces), lambda i, k: (k > 0) | first)
 
 
 def db_uri(uri: Column) -> Column:
