@@ -21,6 +21,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphtide.functions.text import let, prefix_sums
 from graphtide.runtime import table
 
 
@@ -157,19 +158,21 @@ def candidates(index: DataFrame, rules: list[tuple[int, object]], wanted: list[s
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Spans of the rule's matches that are long enough: struct(start, order, kind, stop)."""
-    found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    gaps = F.transform(F.split(text, rule.regex, -1), lambda x: F.length(x))
-    sizes = F.transform(found, lambda x: F.length(x))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+    """Spans of the rule's matches that are long enough: struct(start, order, kind, stop). A match starts after the matches and the gaps before it."""
+
+    def spans(found: Column, gaps: Column) -> Column:
+        def span(m: Column, start: Column) -> Column:
+            size = F.length(F.regexp_extract(m, rule.regex, rule.group)) if rule.group else F.length(m)
+            return F.when(size >= rule.min_length, F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (start + F.length(m)).alias("stop")))
 
-    def span(m: Column, k: Column) -> Column:
-        start = total(F.slice(gaps, F.lit(1), k + 1)) + total(F.slice(sizes, F.lit(1), k))
-        size = F.length(F.regexp_extract(m, rule.regex, rule.group)) if rule.group else F.length(m)
-        return F.when(size >= rule.min_length, F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (start + F.length(m)).alias("stop")))
+        moves = F.zip_with(gaps, found, lambda g, m: g + F.coalesce(F.length(m), F.lit(0)))
+        starts = F.zip_with(prefix_sums(moves), gaps, lambda before, g: (before + g).cast("int"))
+        # one gap more than matches: the last pair has no match
+        return F.filter(F.zip_with(found, starts, span), lambda x: x.isNotNull())
 
-    spans = F.filter(F.transform(found, span), lambda x: x.isNotNull())
-    return F.when(text.rlike(rule.regex), spans)
+    found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
+    gaps = F.transform(F.split(text, rule.regex, -1), lambda x: F.length(x))
+    return F.when(text.rlike(rule.regex), let(found, lambda f: let(gaps, lambda g: spans(f, g))))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
