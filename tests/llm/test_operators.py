@@ -327,7 +327,7 @@ def test_mixing(docs, empty, spark):
     out = mixing.mix(d)
     assert out.count() == docs.count() and mixing.mix(empty).count() == 0
     cells = mixing.cells_of(d).groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens"))
-    raked = [r.asDict() for r in mixing.calibrate(cells, rounds=60).collect()]
+    raked = [r.asDict() for r in mixing.calibrate(cells).collect()]
     total = sum(r["tokens"] for r in raked)
     for dim in ("__source", "__lang", "__topic"):
         sums = {}
@@ -337,7 +337,7 @@ def test_mixing(docs, empty, spark):
             sums[r[dim]][1] += r["tokens"] * r["factor"]
         sums = {k: v for k, v in sums.items() if v[0]}
         norm = sum(v[0] ** 0.5 for v in sums.values())
-        assert all(abs(v[1] - total * v[0] ** 0.5 / norm) < 0.02 * total for v in sums.values())
+        assert all(abs(v[1] - total * v[0] ** 0.5 / norm) <= 1e-8 * total for v in sums.values())
     same = out.groupBy("__source", "__lang", "__topic").agg(F.countDistinct("probability").alias("n")).agg(F.max("n")).first()[0]
     assert same == 1 and 0 <= out.agg(F.min("probability")).first()[0] and out.agg(F.max("probability")).first()[0] == 1
     share = spark.createDataFrame([("s0", 1.0)], "value string, share double")
