@@ -3,13 +3,13 @@
 For each language a raw-content zstandard dictionary is cut from a bounded sample of labelled texts. A whole text
 is lower-cased, its non-letters are folded to one space, and it is compressed with every dictionary in pieces of a fixed size,
 each with a fresh dictionary; the smallest sum of results names the language. The score is the margin: the
-share by which the best result is smaller than the second best, scaled to 0..1. A text is rejected if its
+share by which the best result is smaller than the second best (1 if one language alone was learned). A text is rejected if its
 margin is narrow.
 
 Defined results: a null text, and one without a letter, is `und` with score 0 and rejected. Equal sizes go to
 the language with the most labelled rows, then to the first by name. Without any learned language every text is
-`und`. Repeated rows are judged each by themselves; every piece of a very long text counts. Two result columns that
-clash with columns of the input replace them.
+`und`. Repeated rows are judged each by themselves; every piece of a very long text counts. Result columns replace input
+columns of the same name.
 """
 
 from __future__ import annotations
@@ -19,18 +19,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphtide.runtime import table
 
 #: Labelled rows that are sampled for each language (in the mean; chosen by a hash of the id).
 SAMPLE_ROWS = 200
-#: Bytes of each language's dictionary, and the most that one text gives to it.
+#: Bytes of each language's dictionary, and of the piece that a sampled text gives to it, cut at a place that a hash of the text chooses.
 DICTIONARY_BYTES = 48 << 10
 PIECE_BYTES = 2 << 10
-#: At most so many languages are learned: those with the most labelled rows.
-MAX_LANGUAGES = 64
 #: A text is rejected if the second best result is not larger than the best by this share.
 MIN_MARGIN = 0.002
 LEVEL = 1
@@ -43,22 +41,18 @@ HEAD_BYTES = 48
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, bytes]]:
     """(language, dictionary) for each language of the labelled rows, the most frequent first.
 
-    Bounded: about sample_rows rows for a language are fetched, each cut to PIECE_BYTES characters, for
-    MAX_LANGUAGES languages at most.
+    Bounded: about sample_rows rows for a language are fetched, twice as many at most (where ids repeat), and of each one piece.
     """
     labelled = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = labelled.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").collect()
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, sample_rows / r["count"]))])
     u = F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    rows = (
-        labelled.filter(u < share[F.col(lang)])
-        .select(F.col(lang).alias("l"), folded(F.substring(F.col(text), 1, PIECE_BYTES)).alias("t"), u.alias("u"))
-        .orderBy("l", "u", "t")
-        .limit(2 * sample_rows * len(counts))
-        .collect()
-    )
+    start = F.pmod(F.xxhash64(F.col(text), F.lit(23)), F.greatest(F.length(text) - PIECE_BYTES, F.lit(0)) + 1).cast("int") + 1
+    drawn = labelled.select(F.col(lang).alias("l"), F.col(text).substr(start, F.lit(PIECE_BYTES)).alias("t"), u.alias("u")).filter(F.col("u") < share[F.col("l")])
+    w = Window.partitionBy("l").orderBy("u", "t")
+    rows = drawn.withColumn("t", folded(F.col("t"))).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= 2 * sample_rows).orderBy("l", "k").collect()
     pieces = {r["l"]: list(dict.fromkeys(x["t"].encode()[:PIECE_BYTES] for x in rows if x["l"] == r["l"])) for r in counts}
     pieces = _agreeing(pieces)
     return [(name, b"\n".join(own)[:DICTIONARY_BYTES]) for name, own in pieces.items()]
