@@ -8,7 +8,7 @@ matrix, and the forward-backward pass over a whole text visits only the words wi
 The marginals of these words give spans, and their maximum and sum give the document's score by a logistic curve.
 
 Defined results: null and empty texts have no token and get the curve's lowest score. Without labelled rows of
-both classes every score is the share of label 1 (0 without any row). Rows are judged one by one, repeated rows
+both classes every score is the share of label 1 (0 without any row). Of several label rows of one id each counts. Rows are judged one by one, repeated rows
 too; input columns named like result columns are replaced. Offsets are code points, end exclusive.
 """
 
@@ -27,9 +27,13 @@ from graphtide.runtime import table
 
 #: Labelled rows of each class that are sampled for training (in the mean; chosen by a hash of the id).
 SAMPLE_ROWS = 1500
-#: Words with weight, at most; a word needs so many documents and so large a log odds ratio.
-MAX_WORDS, MIN_DOCS, MIN_ODDS = 2048, 5, 2.5
-WINDOW = 12
+#: The sample ends, in the order of the hash, before its texts are larger than so many bytes: a bound of the driver's memory.
+SAMPLE_BYTES = 64 << 20
+#: A word with weight needs so many documents and so large a log odds ratio.
+MIN_DOCS, MIN_ODDS = 5, 2.5
+#: The chain is trained on windows of so many words on either side, around so many weighted words and so many of any words of the
+#: sample, drawn at random: a bound of the training time.
+WINDOW, HIT_WINDOWS, ANY_WINDOWS = 12, 20_000, 4_000
 STEPS, RATE, RIDGE = 150, 0.5, 1e-3
 SPAN_MARGINAL = 0.5
 
@@ -184,7 +188,6 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     good = (in_toxic >= MIN_DOCS) & (odds - 2.5 / np.sqrt(in_toxic + 0.5) >= MIN_ODDS - 1)
     good &= odds >= MIN_ODDS
     chosen = np.flatnonzero(good)
-    chosen = chosen[np.argsort(-odds[chosen] * np.sqrt(in_toxic[chosen]), kind="stable")][:MAX_WORDS]
     if not len(chosen):
         return blank
     feature = np.zeros(len(vocab), np.int64)
@@ -193,7 +196,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     y = ((x > 0) & (toxic[row] == 1)).astype(np.float64)
     hits = np.flatnonzero(x > 0)
     rng = np.random.default_rng(7)
-    centres = np.concatenate([hits[:20000], rng.integers(0, len(x), min(4000, len(x)))])
+    drawn = hits if len(hits) <= HIT_WINDOWS else np.sort(rng.choice(hits, HIT_WINDOWS, replace=False))
+    centres = np.concatenate([drawn, rng.integers(0, len(x), min(ANY_WINDOWS, len(x)))])
     at = centres[:, None] + np.arange(-WINDOW, WINDOW + 1)[None, :]
     ok = (at >= 0) & (at < len(x))
     at = at.clip(0, len(x) - 1)
@@ -222,15 +226,22 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """About sample_rows labels of each class, chosen by a hash of the id, are joined with their texts, fetched and
-    fitted. The sample of labels is bounded, so it is broadcast and the texts stay where they are."""
-    labels = labels.filter(F.col(toxic).isin(0, 1) & F.col(doc_id).isNotNull())
-    counts = {r["y"]: r["count"] for r in labels.groupBy(F.col(toxic).cast("int").alias("y")).count().collect()}
+    fitted, up to SAMPLE_BYTES of text. The sample of labels is bounded, so it is broadcast and the texts stay where they are."""
+    labels = labels.select(F.col(doc_id).alias("__id"), F.col(toxic).cast("int").alias("__y")).filter("__y IN (0, 1) AND __id IS NOT NULL")
+    counts = {r["__y"]: r["count"] for r in labels.groupBy("__y").count().collect()}
     if not counts:
         return fit([], np.zeros(0))
-    u = F.pmod(F.xxhash64(F.col(doc_id), F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col(toxic) == 1, F.lit(min(1.0, sample_rows / counts.get(1, 1)))).otherwise(min(1.0, sample_rows / counts.get(0, 1)))
-    drawn = labels.filter(u < share).select(F.col(doc_id).alias("__id"), F.col(toxic).cast("int").alias("y"), u.alias("u")).orderBy("u", "__id", "y").limit(4 * sample_rows)
-    rows = docs.filter(F.col(text).isNotNull()).join(F.broadcast(drawn), F.col(doc_id) == F.col("__id")).select(F.col(text).alias("t"), "y", "u").orderBy("u", "t", "y").limit(4 * sample_rows).collect()
+    u = F.pmod(F.xxhash64("__id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
+    share = F.when(F.col("__y") == 1, F.lit(min(1.0, sample_rows / counts.get(1, 1)))).otherwise(min(1.0, sample_rows / counts.get(0, 1)))
+    drawn = labels.withColumn("__u", u).filter(F.col("__u") < share).orderBy("__u", "__id", "__y").limit(4 * sample_rows)
+    texts = docs.select(F.col(doc_id).alias("__i"), F.col(text).alias("__t")).filter("__t IS NOT NULL").join(F.broadcast(drawn), F.col("__i") == F.col("__id"))
+    # lengths first, then the texts that fit
+    sizes = texts.select("__u", F.octet_length("__t").alias("n")).orderBy("__u", "n").limit(4 * sample_rows).collect()
+    total = np.cumsum([r["n"] for r in sizes])
+    fit_in = int(np.searchsorted(total, SAMPLE_BYTES, side="right"))
+    if fit_in < len(sizes):
+        texts = texts.filter(F.col("__u") < sizes[fit_in]["__u"])
+    rows = texts.select(F.col("__t").alias("t"), F.col("__y").alias("y"), F.col("__u").alias("u")).orderBy("u", "t", "y").limit(4 * sample_rows).collect()
     model = fit([r["t"] for r in rows], np.array([r["y"] for r in rows], dtype=np.float64))
     ones = sum(r["y"] for r in rows)
     if len(counts) == 2 and 0 < ones < len(rows):  # classes were sampled at different rates
