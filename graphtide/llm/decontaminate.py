@@ -6,9 +6,10 @@ words of each document are joined with those prefix words, the word's offset in
 possible place, length and position bounds drop places that leave the document, and the rest is verified
 against the window's words in order.
 
-Text never moves: the words of a document are exploded, counted and joined where they stand with the benchmark's
-words, which are broadcast if their measured size is below BROADCAST_BYTES and joined by shuffle otherwise. Only verified
-hits and one narrow row per document are shuffled.
+Text never moves while the benchmark's windows are below BROADCAST_BYTES (measured): the words of a document are exploded, counted
+and joined where they stand with the broadcast words, and only verified hits and one narrow row per document are
+shuffled. Larger benchmarks are joined by shuffle: single words with their positions, then the stretches of words at
+the places found.
 
 Defined results: null and empty texts and items have no words; an empty benchmark contaminates nothing.
 Repeated item rows count once by id; an item with a null id counts as the id "null". Rows that share an id keep
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtide.runtime import table
+from graphtide.runtime import cut, table
 
 #: Words after A-Z has been lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,7 +49,7 @@ def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
 
 def hits(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int) -> DataFrame:
     """(__k, n_words, start, size, ids): one row with n_words for each row of docs, and the verified occurrences; docs must have the row key __k."""
-    win = windows(items, item_id, item_text, window).persist()
+    win = cut(windows(items, item_id, item_text, window))
     size = win.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.expr("aggregate(w, 0L, (a, x) -> a + octet_length(x) + 24) + 8 * size(ids)")), F.lit(0)).alias("b")).first()
     small = size["b"] <= BROADCAST_BYTES
     known = win.select(F.explode("w").alias("word")).distinct()
@@ -56,29 +57,43 @@ def hits(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text:
     split = docs.select("__k", words(F.col(text)).alias("ws"))
     seen = split.select(F.explode_outer("ws").alias("word")).join(_maybe_broadcast(known, small), "word").groupBy("word").count()
     rarity = known.join(seen, "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("n"))
-    ranked = (
+    least = (
         win.select("w", F.posexplode("w").alias("at", "word"))
         .join(_maybe_broadcast(rarity, small), "word")
         .groupBy("w")
         .agg(F.min(F.struct("n", "word", "at")).alias("least"))
         .select(F.col("least.word").alias("word"), F.col("least.at").alias("at"), F.size("w").alias("size"), F.col("w"))
-        .groupBy("word")
-        .agg(F.collect_list(F.struct("at", "size", "w")).alias("places"))
     )
-    if not small:
-        ranked = ranked.select("word", F.explode("places").alias("p")).select("word", F.array("p").alias("places"))
-    if not small:
-        found = _places(split.select("__k", "ws", F.posexplode_outer("ws").alias("pos", "word")).join(ranked, "word").select("__k", "ws", "pos", F.explode("places").alias("p")))
-        counts = split.select("__k", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("w"), F.size("ws").cast("long").alias("n_words"))
-        found = found.unionByName(counts)
-    else:
-        # an empty word before the first carries each document's word count through the same pass
-        marker = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(None).cast(ranked.schema["places"].dataType).alias("places"))
-        led = split.select("__k", "ws", F.posexplode_outer(F.concat(F.array(F.lit("")), "ws")).alias("pos", "word")).select("__k", "ws", (F.col("pos") - 1).alias("pos"), "word")
-        found = _places(led.join(F.broadcast(ranked.unionByName(marker)), "word").select("__k", "ws", "pos", F.explode_outer("places").alias("p")))
+    found = _hits_here(docs, split, least) if small else _hits_apart(split, least)
     return found.join(_maybe_broadcast(win, small), "w", "left").select("__k", "n_words", "start", "size", "ids")
 
 
+def _hits_here(docs: DataFrame, split: DataFrame, least: DataFrame) -> DataFrame:
+    """(__k, start, size, w, n_words): the windows are broadcast and a document's words verified in their row."""
+    ranked = least.groupBy("word").agg(F.collect_list(F.struct("at", "size", "w")).alias("places"))
+    # an empty word before the first carries each document's word count through the same pass
+    marker = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(None).cast(ranked.schema["places"].dataType).alias("places"))
+    led = split.select("__k", "ws", F.posexplode_outer(F.concat(F.array(F.lit("")), "ws")).alias("pos", "word")).select("__k", "ws", (F.col("pos") - 1).alias("pos"), "word")
+    return _places(led.join(F.broadcast(ranked.unionByName(marker)), "word").select("__k", "ws", "pos", F.explode_outer("places").alias("p")))
+
+
+def _hits_apart(split: DataFrame, least: DataFrame) -> DataFrame:
+    """The same where the windows are too large to broadcast: (document, position, word) meet the prefix words by shuffle, the places they
+    give meet their document's words, and the stretches there meet the windows. Only a stretch of one window's length moves with a place."""
+    at = least.select("word", "at", "size").distinct()
+    places = (
+        split.select("__k", F.posexplode("ws").alias("pos", "word")).join(at, "word")
+        .select("__k", (F.col("pos") - F.col("at")).alias("start"), "size").filter("start >= 0")
+        .groupBy("__k").agg(F.collect_set(F.struct("start", "size")).alias("places"))
+    )
+    held = split.join(places, "__k", "left").select("__k", "ws", F.filter("places", lambda p: p["start"] + p["size"] <= F.size("ws")).alias("places"))
+    stretch = lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"), F.slice("ws", p["start"] + 1, p["size"]).alias("w"))
+    tried = held.select("__k", F.explode(F.transform("places", stretch)).alias("p")).select("__k", "p.start", "p.size", "p.w")
+    found = tried.join(least.select("w"), "w", "left_semi").select("__k", "start", "size", "w", F.lit(None).cast("long").alias("n_words"))
+    counts = split.select("__k", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("w"), F.size("ws").cast("long").alias("n_words"))
+    return found.unionByName(counts)
+
+
 def _places(joined: DataFrame) -> DataFrame:
     """Places that stay in the document and hold the whole window; rows without a place give the word count."""
     fits = "pos >= p.at AND pos - p.at + p.size <= size(ws) AND slice(ws, pos - p.at + 1, p.size) = p.w"
