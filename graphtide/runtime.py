@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,50 +43,79 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of fewer rows for the jobs that run inside: rows with whole texts or sets are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def tidy(spark: SparkSession):
+    """Jobs that run inside leave no shuffle files behind: their results are tables, so nothing reads those again."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of fewer rows for the jobs that run inside: rows with whole texts or sets are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    return _set(spark, key, str(min(rows, before) if before > 0 else rows))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the checkpoint folder, so that a lost executor costs no recomputation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
 class Shelf:
-    """Intermediate tables as compressed Parquet in the checkpoint folder, taken down together when they are done with."""
+    """Intermediate tables as compressed Parquet in the checkpoint folder, taken down together when they are done with.
+
+    What is still up when the driver's process ends is taken down then: results that a caller may read until the end.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, f"{ensure_checkpoint_dir(spark)}/shelf-{uuid.uuid4()}", 0
 
     def put(self, df: DataFrame) -> DataFrame:
+        if not self.n:
+            atexit.register(self.clear)
         self.n += 1
-        df.write.option("compression", "zstd").parquet(f"{self.folder}/{self.n}")
+        with tidy(self.spark):
+            df.write.option("compression", "zstd").parquet(f"{self.folder}/{self.n}")
         return self.spark.read.parquet(f"{self.folder}/{self.n}")
 
     def clear(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        release(self.spark)
+        atexit.unregister(self.clear)
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.folder)
+        with suppress(Py4JError, OSError):  # at the end of the process the JVM may be gone
+            path.getFileSystem(sc._jvm.org.apache.hadoop.conf.Configuration() if sc._jsc is None else sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver drop shuffle files of jobs whose results have been taken.
+_STORES: dict[tuple, str] = {}
 
-    Its cleaner follows its garbage collection: the first one ends references that the second finds gone. In a session of one
-    process there are no executors' disks to spare, and the waits would be most of a small job.
-    """
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.6)
+
+def _status(spark: SparkSession, path: str) -> tuple:
+    """Length and latest change of a file or folder; empty if it is not there."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return ()
+    files = [fs.getFileStatus(at), *fs.listStatus(at)]
+    return len(files), sum(f.getLen() for f in files), max(f.getModificationTime() for f in files)
+
+
+def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """build() as a table of the checkpoint folder, written once for a session and unchanged inputs: what many queries start from."""
+    key = (spark.sparkContext.applicationId, name, *((p, *_status(spark, p)) for p in inputs))
+    if key not in _STORES or not _status(spark, f"{_STORES[key]}/_SUCCESS"):
+        shelf = Shelf(spark)
+        shelf.put(build())
+        _STORES[key] = f"{shelf.folder}/1"
+    return spark.read.parquet(_STORES[key])
