@@ -5,13 +5,11 @@ Every stage works on all rows that the one before kept, and all but the last ret
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtide.llm import decontaminate, langid, mixing, near_dedup, secrets
-from graphtide.runtime import ensure_checkpoint_dir, table
+from graphtide.runtime import Shelf, table
 
 #: Near-duplicate stage: five-word shingles, similarity of 0.8.
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -59,9 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        shelf = Shelf(spark)
+        docs = shelf.put(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.clear()
+        before = shelf
+    # the result is lazy: what it reads stays until the end of the process
     return STAGES[-1][1](spark, docs, sf_dir)
