@@ -513,6 +513,32 @@ def control_flow(rows: list[dict]) -> list[tuple[int, int, str]]:
     return list(edges)
 
 
+def data_flow(rows: list[dict], edges: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(writer, reader, var) of one graph: definitions spread along the control flow until a node takes in nothing new."""
+    after: dict[int, list[int]] = {}
+    for src, dst, _ in edges:
+        if dst >= 0:
+            after.setdefault(src, []).append(dst)
+    writes = {r["node_id"]: set(r["df_writes"]) for r in rows if r["df_writes"]}
+    comes: dict[int, set] = {}
+    waiting = list(writes)
+    sent: dict[int, set] = {}
+    while waiting:
+        node = waiting.pop()
+        killed = writes.get(node, set())
+        out = {f for f in comes.get(node, ()) if f[0] not in killed} | {(v, node) for v in killed}
+        fresh = out - sent.get(node, set())
+        if not fresh:
+            continue
+        sent[node] = out
+        for dst in after.get(node, ()):
+            known = comes.setdefault(dst, set())
+            if fresh - known:
+                known |= fresh
+                waiting.append(dst)
+    return [(w, r["node_id"], v) for r in rows for v, w in sorted(comes.get(r["node_id"], ())) if v in r["df_reads"]]
+
+
 CF_SCHEMA = "graph_id string, src long, dst long, edge_type string, error string"
 
 

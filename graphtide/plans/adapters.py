@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphtide.runtime import table
+from graphtide.runtime import stored, table
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -29,7 +29,13 @@ def _case(column: Column, values: dict[str, str], other: str) -> Column:
 
 
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(graph_id, node_id, end_id, parent_id, child_ord, depth, kind, name, weight)."""
+    """(graph_id, node_id, end_id, parent_id, child_ord, depth, kind, name, weight): the graph store of a session, in order of graphs."""
+    build = lambda: build_tree(spark, sf_dir).repartition("graph_id").sortWithinPartitions("graph_id", "node_id")
+    return stored(spark, "tree", [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem")], build)
+
+
+def build_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same nodes from the tables, a lazy plan."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice")
     lines = table(spark, sf_dir, "lineitem")
     items = lines.select(

@@ -9,7 +9,7 @@ from graphtide.operators import control, fixpoint, graph
 from graphtide.operators.components import connected_components
 from graphtide.plans.adapters import FLOW_SQL, TREE_SQL, flow, tree_nodes
 from graphtide.plans.catalog import query
-from graphtide.runtime import table
+from graphtide.runtime import stored, table
 
 _TYPE = {"error": "Branch", "purchase": "Return", "signup": "Call"}
 TYPED_SQL = FLOW_SQL + ", tf AS (SELECT *, CASE kind WHEN 'error' THEN 'Branch' WHEN 'purchase' THEN 'Return' WHEN 'signup' THEN 'Call' ELSE 'Statement' END AS node_type FROM flow)"
@@ -57,10 +57,10 @@ def reaching_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.linear_reaching(flow(spark, sf_dir).withColumns({"is_write": F.col("kind") == "view", "is_read": F.col("kind") != "view"}))
 
 
-@query("reaching_defs_branching", f"WITH RECURSIVE {FLOW_SQL}, {_RW}, s AS (SELECT * FROM rw WHERE graph_id % 10 = 0 AND node_id <= 25), n AS (SELECT *, lead(node_id, 1) OVER w AS n1, lead(node_id, 2) OVER w AS n2 FROM s WINDOW w AS (PARTITION BY graph_id ORDER BY node_id)), step AS (SELECT graph_id, node_id AS src, n1 AS dst FROM n WHERE n1 IS NOT NULL UNION SELECT graph_id, node_id, n2 FROM n WHERE kind = 'error' AND n2 IS NOT NULL), fact(graph_id, node_id, var, writer) AS (SELECT s.graph_id, dst, var, node_id FROM s JOIN step ON step.graph_id = s.graph_id AND src = node_id WHERE is_write UNION SELECT f.graph_id, step.dst, f.var, f.writer FROM fact f JOIN step ON step.graph_id = f.graph_id AND step.src = f.node_id JOIN s ON s.graph_id = f.graph_id AND s.node_id = f.node_id WHERE NOT (s.is_write AND s.var = f.var)) SELECT DISTINCT f.graph_id, writer, f.node_id AS reader, f.var FROM fact f JOIN s ON s.graph_id = f.graph_id AND s.node_id = f.node_id WHERE s.is_read AND s.var = f.var")
+@query("reaching_defs_branching", f"WITH RECURSIVE {FLOW_SQL}, {_RW}, n AS (SELECT *, lead(node_id, 1) OVER w AS n1, lead(node_id, 2) OVER w AS n2 FROM rw WINDOW w AS (PARTITION BY graph_id ORDER BY node_id)), step AS MATERIALIZED (SELECT graph_id, node_id AS src, n1 AS dst FROM n WHERE n1 IS NOT NULL UNION SELECT graph_id, node_id, n2 FROM n WHERE kind = 'error' AND n2 IS NOT NULL), fact(graph_id, node_id, var, writer) AS (SELECT rw.graph_id, dst, var, node_id FROM rw JOIN step ON step.graph_id = rw.graph_id AND src = node_id WHERE is_write UNION SELECT f.graph_id, step.dst, f.var, f.writer FROM fact f JOIN step ON step.graph_id = f.graph_id AND step.src = f.node_id JOIN rw ON rw.graph_id = f.graph_id AND rw.node_id = f.node_id WHERE NOT (rw.is_write AND rw.var = f.var)) SELECT DISTINCT f.graph_id, writer, f.node_id AS reader, f.var FROM fact f JOIN rw ON rw.graph_id = f.graph_id AND rw.node_id = f.node_id WHERE rw.is_read AND rw.var = f.var")
 def reaching_defs_branching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 25 events of each tenth user form the branching programs of this query: one program is one basic unit of work."""
-    t = _typed(spark, sf_dir).filter("graph_id % 10 = 0 AND node_id <= 25")
+    """Each user's events as one program with branches."""
+    t = _typed(spark, sf_dir)
     one = F.array("var")
     none = F.array().cast("array<string>")
     facts = t.select("graph_id", "node_id", F.when(F.col("kind") == "view", one).otherwise(none).alias("writes"), F.when(F.col("kind") != "view", one).otherwise(none).alias("reads"))
@@ -94,28 +94,35 @@ def pagerank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.pagerank(both, rounds=5, tolerance=None).select("id", F.round("rank", 9).alias("rank"))
 
 
-# customers are linked through a hash of the part and quantity of first line items
-_LINKS = "links AS (SELECT DISTINCT o_custkey AS src, 100000000 + (l_partkey * 7 + CAST(l_quantity AS BIGINT)) % 600 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND o_orderkey % 9 = 0)"
+# customers are linked through the parts that they ordered
+_LINKS = "links AS MATERIALIZED (SELECT DISTINCT o_custkey AS src, 100000000 + l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").select("o_orderkey", "o_custkey")
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), (F.lit(100000000) + (F.col("l_partkey") * 7 + F.col("l_quantity").cast("long")) % 600).alias("dst"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.lit(100000000) + F.col("l_partkey")).alias("dst"))
     return o.join(li, "o_orderkey").select(F.col("o_custkey").alias("src"), "dst").distinct()
 
 
-@query("connected_components", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), c(node, label) AS (SELECT src, src FROM e UNION SELECT e.dst, c.label FROM c JOIN e ON e.src = c.node WHERE c.label < e.dst) SELECT node, min(label) AS component FROM c GROUP BY 1")
+# labels after so many rounds in SQL: more than the longest shortest path of these graphs, and the last round changes nothing
+_LABELS = ", ".join(
+    ["e AS MATERIALIZED (SELECT src, dst FROM links UNION SELECT dst, src FROM links)", "c0 AS MATERIALIZED (SELECT DISTINCT src AS id, src AS label FROM e)"]
+    + [f"c{k + 1} AS MATERIALIZED (SELECT id, least(any_value(label), min(other)) AS label FROM (SELECT a.id, a.label, b.label AS other FROM c{k} a JOIN e ON e.src = a.id JOIN c{k} b ON b.id = e.dst) GROUP BY id)" for k in range(12)]
+)
+
+
+@query("connected_components", f"WITH {_LINKS}, {_LABELS} SELECT id AS node, label AS component FROM c12")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(_links(spark, sf_dir))
 
 
-@query("min_label_program", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), c(node, label) AS (SELECT src, src FROM e UNION SELECT e.dst, c.label FROM c JOIN e ON e.src = c.node WHERE c.label < e.dst) SELECT node AS id, min(label) AS label FROM c GROUP BY 1")
+@query("min_label_program", f"WITH {_LINKS}, {_LABELS} SELECT id, label FROM c12")
 def min_label_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same components by the vertex-centric engine."""
     return fixpoint.min_labels(_links(spark, sf_dir), max_rounds=None)[0]
 
 
-@query("bfs_layers", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), b(id, level) AS (SELECT s, 0 FROM (SELECT min(dst) AS s FROM links) UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.id WHERE b.level < 60), l AS (SELECT id, min(level) AS level FROM b GROUP BY 1) SELECT l.id, CAST(l.level AS INT) AS level, (SELECT min(p.id) FROM l p JOIN e ON e.src = p.id WHERE e.dst = l.id AND p.level = l.level - 1) AS parent FROM l")
+@query("bfs_layers", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), b(id, level) AS (SELECT s, 0 FROM (SELECT min(dst) AS s FROM links) UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.id WHERE b.level < 12), l AS (SELECT id, min(level) AS level FROM b GROUP BY 1) SELECT l.id, CAST(l.level AS INT) AS level, (SELECT min(p.id) FROM l p JOIN e ON e.src = p.id WHERE e.dst = l.id AND p.level = l.level - 1) AS parent FROM l")
 def bfs_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _links(spark, sf_dir)
     both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -163,18 +170,17 @@ def change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.change_set(*_unit_versions(spark, sf_dir), ["graph_id", "unit"], "h")
 
 
-@query("incremental_update", f"WITH {TREE_SQL} SELECT graph_id, parent_id AS unit, kind, count(*) AS n, CAST(sum(length(CASE WHEN node_id % 11 = 0 THEN name || '_new' ELSE name END)) AS BIGINT) AS name_chars FROM nodes WHERE depth = 2 AND parent_id % 13 <> 0 GROUP BY ALL")
-def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The old result brought up to date from the changed units; the SQL computes the new version in full."""
-    old, new = _unit_versions(spark, sf_dir)
-    compute = lambda u: u.select("graph_id", "unit", F.explode("parts").alias("p")).groupBy("graph_id", "unit", F.col("p.kind").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("p.name")).alias("name_chars"))
-    return control.incremental(compute(old), old, new, ["graph_id", "unit"], "h", compute)
+def _unit_rows(u: DataFrame) -> DataFrame:
+    return u.select("graph_id", "unit", F.explode("parts").alias("p")).groupBy("graph_id", "unit", F.col("p.kind").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("p.name")).alias("name_chars"))
 
 
-@query("full_recompute", f"WITH {TREE_SQL} SELECT graph_id, parent_id AS unit, kind, count(*) AS n, CAST(sum(length(CASE WHEN node_id % 11 = 0 THEN name || '_new' ELSE name END)) AS BIGINT) AS name_chars FROM nodes WHERE depth = 2 AND parent_id % 13 <> 0 GROUP BY ALL")
-def full_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, new = _unit_versions(spark, sf_dir)
-    return new.select("graph_id", "unit", F.explode("parts").alias("p")).groupBy("graph_id", "unit", F.col("p.kind").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("p.name")).alias("name_chars"))
+@query("unit_update", f"WITH {TREE_SQL} SELECT graph_id, parent_id AS unit, kind, count(*) AS n, CAST(sum(length(CASE WHEN node_id % 11 = 0 THEN name || '_new' ELSE name END)) AS BIGINT) AS name_chars FROM nodes WHERE depth = 2 AND parent_id % 13 <> 0 GROUP BY ALL")
+def unit_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored result of the old units brought up to date from the changed ones; the SQL computes the new version in full."""
+    old, new = _unit_versions(spark, sf_dir)
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem")]
+    hashes, result = stored(spark, "unit hashes", inputs, lambda: old.select("graph_id", "unit", "h")), stored(spark, "unit rows", inputs, lambda: _unit_rows(old))
+    return control.incremental(result, hashes, new, ["graph_id", "unit"], "h", _unit_rows)
 
 
 @query("write_sets_merge", f"WITH {FLOW_SQL} SELECT graph_id, var, string_agg(DISTINCT kind, ',' ORDER BY kind) AS writers FROM flow GROUP BY ALL")

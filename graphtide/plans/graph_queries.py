@@ -21,21 +21,22 @@ def _spans(nodes: DataFrame) -> DataFrame:
 
 
 def _queries(nodes: DataFrame) -> DataFrame:
-    """Three ranges for each graph of a third of the graphs: a point, a narrow and a wide one."""
-    size = nodes.filter("parent_id IS NULL AND graph_id % 3 = 0").select("graph_id", F.col("end_id").alias("n"))
+    """Three ranges for each graph: a point, a narrow and a wide one (the last is turned round)."""
+    size = nodes.filter("parent_id IS NULL").select("graph_id", F.col("end_id").alias("n"))
     q = F.explode(F.array(*[F.struct(F.lit(i).alias("query_id"), F.floor(F.col("n") * a / 10).alias("q_start"), F.floor(F.col("n") * z / 10).alias("q_end")) for i, (a, z) in enumerate(((4, 4), (2, 3), (8, 5)))]))
     return size.select("graph_id", q.alias("q")).select("graph_id", "q.query_id", "q.q_start", "q.q_end")
 
 
-QUERIES_SQL = """ranges AS (SELECT graph_id, i AS query_id, CAST(floor(end_id * a / 10) AS BIGINT) AS q_start, CAST(floor(end_id * z / 10) AS BIGINT) AS q_end FROM nodes, (VALUES (0, 4, 4), (1, 2, 3), (2, 8, 5)) v(i, a, z) WHERE parent_id IS NULL AND graph_id % 3 = 0)"""
+QUERIES_SQL = """ranges AS (SELECT graph_id, i AS query_id, CAST(floor(end_id * a / 10) AS BIGINT) AS q_start, CAST(floor(end_id * z / 10) AS BIGINT) AS q_end FROM nodes, (VALUES (0, 4, 4), (1, 2, 3), (2, 8, 5)) v(i, a, z) WHERE parent_id IS NULL)"""
 
 
 @query("edge_query_children", W_EDGES + "SELECT e.graph_id, e.src, e.dst, s.dst AS right_sibling FROM edges e LEFT JOIN edges s ON s.graph_id = e.graph_id AND s.src = e.dst AND s.edge_type = 'SyntaxSibling' WHERE e.edge_type = 'SyntaxChild'")
 def edge_query_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = tree_nodes(spark, sf_dir)
-    kids = EdgeQuery().edge_type("SyntaxChild").query(graph.syntax_edges(nodes)).select("graph_id", "src", "dst")
-    right = graph.sibling_chain(nodes).select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("right_sibling"))
-    return kids.join(right, ["graph_id", "dst"], "left").select("graph_id", "src", "dst", "right_sibling")
+    # the sibling edge that leaves a child is the next child in the same window: both edge kinds in one pass, without a join
+    nxt = F.lead("node_id").over(Window.partitionBy("graph_id", "parent_id").orderBy("child_ord", "node_id"))
+    nodes = tree_nodes(spark, sf_dir).withColumn("right_sibling", nxt)
+    kids = nodes.select("graph_id", F.col("parent_id").alias("src"), F.col("node_id").alias("dst"), F.lit("SyntaxChild").alias("edge_type"), "right_sibling").filter("src IS NOT NULL")
+    return EdgeQuery().edge_type("SyntaxChild").query(kids).drop("edge_type")
 
 
 @query("edge_query_point", W_EDGES + "SELECT graph_id, src, dst, edge_type FROM edges WHERE src = 1 AND edge_type = 'SyntaxChild'")
@@ -444,11 +445,11 @@ def bfs_depth_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_nodes(spark, sf_dir).select("graph_id", "node_id", "depth", F.round(F.percent_rank().over(w), 6).alias("x"), (-F.col("depth")).alias("y"))
 
 
-@query("dot_lines", W_EDGES + "SELECT graph_id, string_agg('n' || src || ' -> n' || dst || ' [label=\"' || edge_type || '\"];', chr(10) ORDER BY src, dst, edge_type) AS body FROM edges WHERE graph_id % 50 = 0 AND edge_type = 'SyntaxChild' GROUP BY graph_id")
+@query("dot_lines", W_EDGES + "SELECT graph_id, string_agg('n' || src || ' -> n' || dst || ' [label=\"' || edge_type || '\"];', chr(10) ORDER BY src, dst, edge_type) AS body FROM edges WHERE edge_type = 'SyntaxChild' GROUP BY graph_id")
 def dot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphtide.sources.sinks import dot_edges
 
-    return dot_edges(graph.child_edges(tree_nodes(spark, sf_dir).filter("graph_id % 50 = 0")))
+    return dot_edges(graph.child_edges(tree_nodes(spark, sf_dir)))
 
 
 def _renamed(nodes: DataFrame) -> DataFrame:

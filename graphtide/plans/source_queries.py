@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtide.functions import diff as D
-from graphtide.operators import control, fixpoint, graph
+from graphtide.operators import control, fixpoint, graph, incremental
 from graphtide.operators import frontends as fe
 from graphtide.plans.catalog import query
-from graphtide.runtime import table
+from graphtide.runtime import Shelf, stored, table
 from graphtide.sources import sinks
 
 #: Functions of one file: files stay small, so that one is one unit of parsing.
@@ -46,6 +46,63 @@ def source_control_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("graph_id").agg(F.count_if(t == "ControlFlowTrue").alias("n_true"), F.count_if(t == "ControlFlowFalse").alias("n_false"), F.count_if(F.col("dst") < 0).alias("n_exits"))
 
 
+def old_store(spark: SparkSession, sf_dir: str) -> incremental.Store:
+    """What is known of the old version of every file: built once for a session."""
+    made: list[incremental.Store] = []
+
+    def known() -> incremental.Store:
+        if not made:
+            made.append(incremental.build(sources(spark, sf_dir), Shelf(spark).put))
+        return made[0]
+
+    inputs = [f"{sf_dir}/part.parquet"]
+    return incremental.Store(stored(spark, "old units", inputs, lambda: known().units), stored(spark, "old parts", inputs, lambda: known().parts))
+
+
+#: An assignment that reads its variable has two writers with readers, its expression and its statement; another has one.
+_NEW = f"SELECT 'g' || (p_partkey // {GROUP}) AS graph_id, count(*) AS n_functions, count(*) FILTER (p_size % 2 = 0) AS n_branches, count(*) FILTER (p_size % 2 = 0) + count(*) FILTER (p_size % 3 = 0) AS n_true, count(*) FILTER (p_size % 10 = 0) AS n_false, count(*) AS n_exits, count(*) + 2 * count(*) FILTER (p_size % 2 = 0) + count(*) FILTER (p_size % 10 = 0) + 2 * count(*) FILTER (p_size % 3 = 0) AS n_writers FROM part WHERE p_partkey % 13 <> 0 GROUP BY 1"
+
+
+def _figures(store: incremental.Store) -> DataFrame:
+    """Figures of each file's whole graph: nodes, control flow and data dependence."""
+    at = incremental.placed(store)
+    of = lambda c, v: F.count_if(F.col(c) == v)
+    n = incremental.nodes(store, at).groupBy("graph_id").agg(of("node_type", "Function").alias("n_functions"), of("node_type", "Branch").alias("n_branches"))
+    e = incremental.flow(store, at).groupBy("graph_id").agg(of("edge_type", "ControlFlowTrue").alias("n_true"), of("edge_type", "ControlFlowFalse").alias("n_false"), F.count_if(F.col("dst") < 0).alias("n_exits"))
+    d = incremental.data(store, at).groupBy("graph_id").agg(F.countDistinct("writer").alias("n_writers"))
+    return n.join(e, "graph_id").join(d, "graph_id", "left")
+
+
+@query("full_recompute", _NEW)
+def full_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, control flow and data dependence of the new version of every file, from its text alone."""
+    return _figures(incremental.build(sources(spark, sf_dir, True), Shelf(spark).put))
+
+
+@query("incremental_update", _NEW)
+def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the store of the old version: only changed functions are parsed. Tests compare whole tables."""
+    return _figures(incremental.update(old_store(spark, sf_dir), sources(spark, sf_dir, True), Shelf(spark).put))
+
+
+@query("surgical_operations")
+def surgical_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a patch of each file's nodes does, by operation and type of node."""
+    old, new = fe.build(sources(spark, sf_dir)), fe.build(sources(spark, sf_dir, True))
+    ops = incremental.operations(old, new)
+    kind = old.select("graph_id", F.col("node_id").alias("l_id"), F.col("node_type").alias("l_type"))
+    return ops.join(kind, ["graph_id", "l_id"], "left").groupBy("graph_id", "op", "l_type").agg(F.count("*").alias("n"))
+
+
+@query("node_repairing")
+def node_repairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old nodes of each file paired with the new nodes at the mapped start."""
+    old, new = sources(spark, sf_dir), sources(spark, sf_dir, True)
+    edits = D.edits(old.withColumnRenamed("text", "old").join(new.withColumnRenamed("text", "new"), "graph_id"), ["graph_id"])
+    span = lambda files: fe.build(files).select("graph_id", "node_id", "start_byte", "end_byte")
+    return incremental.repaired(span(old), edits, span(new))
+
+
 @query("source_change_set", f"SELECT 'g' || (p_partkey // {GROUP}) AS graph_id, 'function_definition#f' || p_partkey || '#1' AS unit, CASE WHEN p_partkey % 13 = 0 THEN 'removed' ELSE 'changed' END AS change FROM part WHERE p_partkey % 13 = 0 OR p_partkey % 7 = 0")
 def source_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an incremental update has to look at: functions whose text changed, whatever moved around them. Comments have no name and are numbered; they are left out."""

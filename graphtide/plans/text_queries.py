@@ -19,7 +19,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
 
 
-TOKENS_SQL = r"tok AS (SELECT doc_id, i - 1 AS pos, t[i] AS token FROM (SELECT doc_id, regexp_extract_all(text, '\s+|\S+') AS t, unnest(generate_series(1, len(regexp_extract_all(text, '\s+|\S+')))) AS i FROM documents)), off AS (SELECT doc_id, pos, token, sum(strlen(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e FROM tok)"
+#: Lists are unnested beside their places: naming the list in each row would copy it as often as it has parts.
+TOKENS_SQL = r"tok AS (SELECT doc_id, unnest(generate_series(0, len(t) - 1)) AS pos, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(text, '\s+|\S+') AS t FROM documents)), off AS (SELECT doc_id, pos, token, sum(strlen(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e FROM tok)"
 
 
 @query("tokenise_offsets", f"WITH {TOKENS_SQL} SELECT doc_id, count(*) AS n_tokens, CAST(max(e) AS BIGINT) AS n_bytes, CAST(sum((pos + 1) * e) AS BIGINT) AS checksum FROM off GROUP BY doc_id")
@@ -33,7 +34,7 @@ def token_range_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.token_range_bytes(X.token_offsets(_docs(spark, sf_dir), ["doc_id"], "text"), ["doc_id"], F.lit(4), F.lit(9))
 
 
-LINES_SQL = "ln AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS line, CAST(coalesce(sum(strlen(l[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_start FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents))"
+LINES_SQL = "ln AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS line, CAST(coalesce(sum(strlen(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_start FROM (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
 
 
 @query("line_index", f"WITH {LINES_SQL} SELECT * FROM ln")
@@ -99,10 +100,12 @@ def empty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return empty(spark).select("path", "n_bytes", "content_hash")
 
 
-@query("node_source_slice", "SELECT doc_id, CASE WHEN strlen(text) >= 40 THEN substr(text, 11, 30) ELSE '' END AS source FROM documents WHERE strlen(text) = length(text)")
+@query("node_source_slice", "SELECT doc_id, CASE WHEN length(text) >= 40 THEN substr(text, 11, 30) ELSE '' END AS source FROM documents")
 def node_source_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).filter(F.octet_length("text") == F.length("text"))
-    return d.select("doc_id", X.node_source(F.col("text"), F.lit(10), F.lit(40)).alias("source"))
+    """Bytes from the eleventh to the fortieth character; a shorter text has no such range."""
+    t = F.col("text")
+    start, end = (F.octet_length(F.substring(t, 1, n)) for n in (10, 40))
+    return _docs(spark, sf_dir).select("doc_id", X.node_source(t, start, F.when(F.length(t) >= 40, end).otherwise(-1)).alias("source"))
 
 
 _EDITS = "e AS (SELECT doc_id, CAST(strlen(text) // 5 * k AS BIGINT) AS os, CAST(strlen(text) // 5 * k + 4 AS BIGINT) AS oe, CAST(strlen(text) // 5 * k + 3 * (k - 1) AS BIGINT) AS ns, CAST(strlen(text) // 5 * k + 3 * (k - 1) + 7 AS BIGINT) AS ne FROM documents, (VALUES (1), (2), (3)) v(k) WHERE strlen(text) > 100), pt AS (SELECT doc_id, CAST(strlen(text) // 7 * j AS BIGINT) AS pos FROM documents, (VALUES (1), (3), (5)) v(j) WHERE strlen(text) > 100 UNION ALL SELECT doc_id, os + 2 FROM e)"
@@ -150,14 +153,12 @@ def adjacent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.array_join(X.adjacent_distinct(F.col("l.event_type")), ">").alias("steps"))
 
 
-@query("find_all_positions", "SELECT doc_id, CAST(sum(i) AS BIGINT) AS position_sum, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(generate_series(0, length(t) - 2), lambda i: substr(t, i + 1, 2) = 'th')) AS i FROM (SELECT doc_id, substr(text, 1, 400) AS t FROM documents)) GROUP BY 1")
+@query("find_all_positions", "SELECT doc_id, CAST(sum(i) AS BIGINT) AS position_sum, count(*) AS n FROM (SELECT doc_id, k, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) + 2 * (k - 1) AS i, count(*) OVER (PARTITION BY doc_id) AS m FROM (SELECT doc_id, unnest(generate_series(1, len(ps))) AS k, unnest(ps) AS p FROM (SELECT doc_id, string_split(text, 'th') AS ps FROM documents))) WHERE k < m GROUP BY 1")
 def find_all_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search in the first 400 characters of each text (the window the original tool shows around a hit)."""
-    hits = F.explode(X.find_all(F.substring("text", 1, 400), "th")).alias("i")
-    return _docs(spark, sf_dir).select("doc_id", hits).groupBy("doc_id").agg(F.sum("i").alias("position_sum"), F.count("*").alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(X.find_all(F.col("text"), "th")).alias("i")).groupBy("doc_id").agg(F.sum("i").alias("position_sum"), F.count("*").alias("n"))
 
 
-@query("log_blocks", "SELECT doc_id, CAST(i - 1 AS INT) AS block, length(b[i]) AS size FROM (SELECT doc_id, string_split(text, chr(10)) AS b, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents) WHERE contains(b[i], 'tion')")
+@query("log_blocks", "SELECT doc_id, CAST(i - 1 AS INT) AS block, length(b) AS size FROM (SELECT doc_id, unnest(generate_series(1, len(bs))) AS i, unnest(bs) AS b FROM (SELECT doc_id, string_split(text, chr(10)) AS bs FROM documents)) WHERE contains(b, 'tion')")
 def log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block", "b"))
     return rows.filter(F.contains("b", F.lit("tion"))).select("doc_id", "block", F.length("b").cast("long").alias("size"))
@@ -201,9 +202,10 @@ def numeric_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("token_edit_scripts")
 def token_edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest edit scripts of the first and second turns of each conversation."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("old"), F.max_by("text", "turn").alias("new"))
-    return D.edits(c, ["conv_id"])
+    """Shortest edit scripts from each turn of a conversation to the next one."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("old"), F.lead("text").over(w).alias("new"), F.lead("turn").over(w).alias("next"))
+    return D.edits(c.filter("next IS NOT NULL"), ["conv_id", "turn"])
 
 
 @query("opcode_counts")
