@@ -107,10 +107,28 @@ def apply_edits(old: str, new: str, changed: list[tuple[int, int, int, int]]) ->
     return b"".join([*out, x[at:]]).decode()
 
 
-def char_segments(old: str, new: str) -> list[tuple[str, int, int, int, int]]:
-    """Equal and changed segments by characters: (op, a_start, a_end, b_start, b_end)."""
+class _Placed:
+    """A character with its neighbours: equal to another if the characters are, and the neighbours on each side where both have one."""
+
+    __slots__ = ("here", "left", "right")
+
+    def __init__(self, left: str, here: str, right: str):
+        self.left, self.here, self.right = left, here, right
+
+    def __eq__(self, other) -> bool:
+        return self.here == other.here and (not self.left or not other.left or self.left == other.left) and (not self.right or not other.right or self.right == other.right)
+
+    __hash__ = None
+
+
+def in_context(text: str) -> list[_Placed]:
+    return [_Placed(text[k - 1] if k else "", c, text[k + 1 : k + 2]) for k, c in enumerate(text)]
+
+
+def char_segments(old: str, new: str, context: bool = False) -> list[tuple[str, int, int, int, int]]:
+    """Equal and changed segments by characters: (op, a_start, a_end, b_start, b_end). context: characters match only beside equal neighbours."""
     out, i, j = [], 0, 0
-    for a, b, c, d in middle_snake_edits(old, new):
+    for a, b, c, d in middle_snake_edits(in_context(old), in_context(new)) if context else middle_snake_edits(old, new):
         if a > i:
             out.append(("equal", i, a, j, c))
         out.append(("replace" if b > a and d > c else "delete" if b > a else "insert", a, b, c, d))
@@ -120,7 +138,34 @@ def char_segments(old: str, new: str) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("a0", "a1", "b0", "b1")]])))
+_SEGMENTS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("a0", "a1", "b0", "b1")]]))
+
+
+@F.pandas_udf(_SEGMENTS)
+def context_segments(old: pd.Series, new: pd.Series) -> pd.Series:
+    """All segments of a character comparison in context."""
+    return pd.Series([[dict(zip(("op", "a0", "a1", "b0", "b1"), o, strict=True)) for o in char_segments(a or "", b or "", context=True)] for a, b in zip(old, new, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def patched(base: pd.Series, patch: pd.Series) -> pd.Series:
+    """Each base with its unified diff applied."""
+    return pd.Series([apply_patch(a or "", b or "") for a, b in zip(base, patch, strict=True)])
+
+
+def rebuilt(pairs: DataFrame, edits_: DataFrame, key: list[str], old: str = "old", new: str = "new") -> DataFrame:
+    """(key, text): old with the edits' ranges replaced by new's; equal to new if the script is right. Ranges are byte offsets."""
+    lists = edits_.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("old_start", "old_end", "new_start", "new_end"))).alias("es"))
+    x, y = F.coalesce(F.col(old), F.lit("")).cast("binary"), F.coalesce(F.col(new), F.lit("")).cast("binary")
+    cut = lambda raw, a, z: F.substring(raw, (a + 1).cast("int"), (z - a).cast("int"))
+    start = F.struct(F.lit(b"").cast("binary").alias("out"), F.lit(0).cast("long").alias("at"))
+    step = lambda acc, e: F.struct(F.concat(acc["out"], cut(x, acc["at"], e["old_start"]), cut(y, e["new_start"], e["new_end"])).alias("out"), e["old_end"].alias("at"))
+    none = F.array().cast("array<struct<old_start:bigint,old_end:bigint,new_start:bigint,new_end:bigint>>")
+    done = F.aggregate(F.coalesce("es", none), start, step, lambda acc: F.concat(acc["out"], cut(x, acc["at"], F.octet_length(x))))
+    return pairs.join(lists, key, "left").select(*key, F.make_valid_utf8(done.cast("string")).alias("text"))
+
+
+@F.pandas_udf(_SEGMENTS)
 def opcodes(old: pd.Series, new: pd.Series) -> pd.Series:
     """The non-equal opcodes of a character comparison."""
     one = lambda a, b: [dict(zip(("op", "a0", "a1", "b0", "b1"), o, strict=True)) for o in difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).get_opcodes() if o[0] != "equal"]
@@ -134,17 +179,25 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    one = lambda a, b: "".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), "old", "new"))
+    def one(a: str | None, b: str | None) -> str:
+        lines = difflib.unified_diff(_lines(a or ""), _lines(b or ""), "old", "new")
+        return "".join(x if x.endswith("\n") else x + "\n\\ No newline at end of file\n" for x in lines)
+
     return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
 
 
+def _lines(text: str) -> list[str]:
+    """Lines with their ends; only \\n ends one."""
+    return re.findall(r"[^\n]*\n|[^\n]+", text)
+
+
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
 def apply_patch(base: str, patch: str) -> str:
     """A unified diff applied to base; ValueError if its context does not fit."""
-    lines, out, at = base.splitlines(True), [], 0
-    body = patch.splitlines(True)
+    lines, out, at = _lines(base), [], 0
+    body = _lines(patch)
     k = 0
     while k < len(body):
         m = _HUNK.match(body[k])

@@ -36,11 +36,16 @@ def operation_counts(aligned: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def decision(counts: DataFrame) -> DataFrame:
-    """Rebuild or patch: rebuild if more than 0.9 of the children change, or 0.6 are inserted or deleted."""
+    """Rebuild or patch: rebuild if more than 0.9 of the children change, or 0.6 are inserted or deleted, or where the columns
+    type_changed (the node's own type) or unsupported (an operation that a patch cannot do) are given and true."""
     total = F.col("n_insert") + F.col("n_delete") + F.col("n_modify") + F.col("n_keep")
     share = F.try_divide((total - F.col("n_keep")).cast("double"), total.cast("double"))
     structural = F.try_divide((F.col("n_insert") + F.col("n_delete")).cast("double"), total.cast("double"))
-    return counts.withColumn("changed_share", share).withColumn("decision", F.when((share > 0.9) | (structural > 0.6), "rebuild").otherwise("patch"))
+    must = F.lit(False)
+    for c in ("type_changed", "unsupported"):
+        if c in counts.columns:
+            must = must | F.coalesce(F.col(c), F.lit(False))
+    return counts.withColumn("changed_share", share).withColumn("decision", F.when(must | (share > 0.9) | (structural > 0.6), "rebuild").otherwise("patch"))
 
 
 def span_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -95,37 +100,50 @@ def compare_graphs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def first_mismatch(changed: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """The first place, in pre-order of the function, where kind or name differ. changed: graph_id, name, l_node, r_node."""
-    l = changed.join(left.select("graph_id", F.col("parent_id").alias("l_node"), "child_ord", F.col("kind").alias("lk"), F.col("name").alias("ln")), ["graph_id", "l_node"])  # noqa: E741
-    r = changed.join(right.select("graph_id", F.col("parent_id").alias("r_node"), "child_ord", F.col("kind").alias("rk"), F.col("name").alias("rn")), ["graph_id", "r_node"])
-    both = l.select("graph_id", "name", "child_ord", "lk", "ln").join(r.select("graph_id", "name", "child_ord", "rk", "rn"), ["graph_id", "name", "child_ord"], "full_outer")
-    return both.filter(~(F.col("lk").eqNullSafe(F.col("rk")) & F.col("ln").eqNullSafe(F.col("rn")))).groupBy("graph_id", "name").agg(F.min("child_ord").alias("child_ord"))
+    """(graph_id, name, path, child_ord): the first place, in pre-order of the function's whole subtree, where a node's kind or name differ or one
+    is missing. changed: graph_id, name, l_node, r_node (functions at depth 1). path: child ordinals from the function, empty for itself.
+
+    Subtrees meet by path, so both versions of a function may stand at different places; the padded ordinals of a path sort in pre-order.
+    """
+    from graphtide.operators.tree import child_paths
+
+    sides = []
+    for nodes, p in ((left, "l"), (right, "r")):
+        at = child_paths(nodes)
+        tops = changed.join(at.select("graph_id", F.col("node_id").alias(f"{p}_node"), F.col("path").alias("top")), ["graph_id", f"{p}_node"]).select("graph_id", "name", "top")
+        inside = at.filter("path <> ''").select("graph_id", F.substring_index("path", "/", 1).alias("top"), "path", F.struct("kind", F.col("name").alias("node_name")).alias(f"{p}_what"))
+        own = inside.join(tops, ["graph_id", "top"]).select("graph_id", "name", F.expr("substring(path, length(top) + 2)").alias("path"), f"{p}_what")
+        sides.append(own)
+    differs = sides[0].join(sides[1], ["graph_id", "name", "path"], "full_outer").filter(~F.col("l_what").eqNullSafe(F.col("r_what")))
+    first = differs.groupBy("graph_id", "name").agg(F.min("path").alias("path"))
+    return first.withColumn("child_ord", F.substring_index("path", "/", 1).try_cast("int"))
 
 
-def greedy_edge_matches(left: DataFrame, right: DataFrame, threshold: int = 30) -> DataFrame:
-    """(graph_id, l_src, l_dst, r_src, r_dst, score): pairs of edges taken by falling score, each right edge once.
+def aligned_children(left: DataFrame, right: DataFrame, keys: list[str], threshold: float = 0.6) -> DataFrame:
+    """(keys, op, l_id, r_id): the longest alignment of each parent's children in which pairs of at least the threshold's similarity match.
 
-    left, right: graph_id, src, dst, edge_type, src_kind, dst_kind. Edges of other types or source kinds score nothing, so
-    candidates come from an equi-join; the greedy choice runs within one graph.
+    left, right: keys, node_id, end_id, kind, name, in order of node_id. The children of one node are one group.
     """
     import pandas as pd
 
-    key = ["graph_id", "edge_type", "src_kind"]
-    l = left.select(*key, F.col("src").alias("l_src"), F.col("dst").alias("l_dst"), F.col("dst_kind").alias("lk"))  # noqa: E741
-    r = right.select(*key, F.col("src").alias("r_src"), F.col("dst").alias("r_dst"), F.col("dst_kind").alias("rk"))
-    near = F.greatest(F.lit(0), F.lit(20) - F.abs(F.col("l_src") - F.col("r_src")) - F.abs(F.col("l_dst") - F.col("r_dst")))
-    scored = l.join(r, key).withColumn("score", (F.lit(20) + F.when(F.col("lk") == F.col("rk"), 20).otherwise(0) + near).cast("int")).filter(F.col("score") > threshold)
-    cols = ["graph_id", "l_src", "l_dst", "r_src", "r_dst", "score"]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "l_src", "l_dst", "r_src", "r_dst"], ascending=[False, True, True, True, True])
-        used, got, rows = set(), set(), []
-        for row in frame.itertuples(index=False):
-            a, b = (row.l_src, row.l_dst), (row.r_src, row.r_dst)
-            if b not in used and a not in got:
-                used.add(b), got.add(a)
-                rows.append(row)
-        return pd.DataFrame(rows, columns=cols)
-
-    kinds = dict(scored.dtypes)
-    return scored.select(*cols).groupBy("graph_id").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols))
+    from graphtide.functions.diff import align
+
+    cols = ["node_id", "end_id", "kind", "name"]
+    both = left.select(*keys, *cols, F.lit(0).alias("side")).unionByName(right.select(*keys, *cols, F.lit(1).alias("side")))
+
+    def like(a: tuple, b: tuple) -> float:
+        longer = max(a[1] - a[0], b[1] - b[0])
+        shared = max(0, min(a[1], b[1]) - max(a[0], b[0])) / longer if longer > 0 else 0.0
+        return 0.7 * (a[2] == b[2]) + 0.3 * shared
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        l, r = (list(frame[frame["side"] == k].sort_values("node_id")[cols].itertuples(index=False, name=None)) for k in (0, 1))  # noqa: E741
+        rows = []
+        for op, i, j in align(l, r, like, threshold):
+            if op != "insert" and op != "delete":
+                op = "keep" if l[i][2:] == r[j][2:] else "modify"
+            rows.append((*key, op, None if i is None else l[i][0], None if j is None else r[j][0]))
+        return pd.DataFrame(rows, columns=[*keys, "op", "l_id", "r_id"]).astype({"l_id": "Int64", "r_id": "Int64"})
+
+    spec = ", ".join(f"`{n}` {t}" for n, t in left.select(*keys).dtypes)
+    return both.groupBy(*keys).applyInPandas(run, f"{spec}, op string, l_id long, r_id long")

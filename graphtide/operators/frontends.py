@@ -36,7 +36,7 @@ class Syntax:
 
 FRONTENDS: dict[str, Callable[[str], Syntax]] = {}
 #: Kinds of front ends beyond the shared table.
-MORE_KINDS = KIND_MAP | {"binary_expression": "Expression", "assignment_expression": "Expression", "parenthesized_expression": "Expression", "unary_expression": "Expression", "else_clause": "Block", "type": "Type", "ERROR": "Error"}
+MORE_KINDS = KIND_MAP | {"unary_expression": "Expression", "else_clause": "Block", "type": "Type", "ERROR": "Error"}
 
 
 def frontend(language: str):
@@ -492,6 +492,7 @@ def control_flow(rows: list[dict]) -> list[tuple[int, int, str]]:
             link(back, head)
             done[me] = [head]
         elif what == "Return":
+            link(sequence(usable(n)), me)
             link([me], EXIT - owner(n))
             done[me] = []
         elif what == "Function":
@@ -561,6 +562,21 @@ def cf_pass(nodes: DataFrame) -> DataFrame:
     return nodes.select(*cols).groupBy("graph_id").applyInPandas(run, CF_SCHEMA)
 
 
+def function_returns(nodes: DataFrame) -> DataFrame:
+    """(graph_id, node_id, node_type, function_id): one node for each function's return, under the number that control flow uses for it."""
+    f = nodes.filter("node_type = 'Function'")
+    return f.select("graph_id", (F.lit(EXIT) - F.col("node_id")).alias("node_id"), F.lit("FunctionReturn").alias("node_type"), F.col("node_id").alias("function_id"))
+
+
+def return_edges(nodes: DataFrame, flow: DataFrame, data: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, edge_type, var): from each function to its return node, and from each return statement, for every variable it
+    reads that some writer reaches, to the return node that its control flow enters. flow: cf_pass; data: graph_id, writer, reader, var."""
+    own = function_returns(nodes).select("graph_id", F.col("function_id").alias("src"), F.col("node_id").alias("dst"), F.lit("ControlFlowFunctionReturn").alias("edge_type"), F.lit(None).cast("string").alias("var"))
+    leaves = nodes.filter("node_type = 'Return'").select("graph_id", F.col("node_id").alias("src")).join(flow.filter("dst < 0").select("graph_id", "src", "dst"), ["graph_id", "src"])
+    read = data.select("graph_id", F.col("reader").alias("src"), "var").distinct()
+    return own.unionByName(leaves.join(read, ["graph_id", "src"]).select("graph_id", "src", "dst", F.lit("PDData").alias("edge_type"), "var"))
+
+
 def units(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """(graph_id, unit, start_byte, hash): top-level parts of each file by name and text: what an update compares.
 

@@ -16,6 +16,8 @@ KIND_MAP = {
     "translation_unit": "TranslationUnit",
     "function_definition": "Function",
     "identifier": "Identifier",
+    "field_identifier": "Identifier",
+    "field_declarator": "Identifier",
     "declaration": "Statement",
     "expression_statement": "Statement",
     "call_expression": "Call",
@@ -24,6 +26,20 @@ KIND_MAP = {
     "while_statement": "Loop",
     "for_statement": "Loop",
     "compound_statement": "Block",
+    "break": "CFBreak",
+    "continue": "CFContinue",
+    "primitive_type": "Type",
+    "type_identifier": "Type",
+    "subscript_expression": "Expression",
+    "parenthesized_expression": "Expression",
+    "parameter_list": "Expression",
+    "argument_list": "Expression",
+    "field_expression": "Expression",
+    "assignment_expression": "Expression",
+    "binary_expression": "Expression",
+    "update_expression": "Expression",
+    "init_declarator": "Expression",
+    "conditional_expression": "Expression",
     "comment": "Comment",
 }
 #: Node types that control flow descends into, and the colour of each type in drawings.
@@ -169,7 +185,9 @@ def navigate(nodes: DataFrame, path: list[int]) -> DataFrame:
 def canonical_edge_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """A total order of each graph's edges by spans, edge type, kinds and target."""
     r = resolve(edges, nodes, "end_id", "kind")
-    key = ["src", "src_end_id", "dst", "dst_end_id", "edge_type", "src_kind", "dst_kind"]
+    # a node without a span comes after all others
+    last = lambda c: F.coalesce(F.col(c), F.lit((1 << 63) - 1))
+    key = ["src", last("src_end_id"), "dst", last("dst_end_id"), "edge_type", "src_kind", "dst_kind"]
     return r.select("graph_id", "src", "dst", "edge_type", F.row_number().over(Window.partitionBy("graph_id").orderBy(*key)).alias("pos"))
 
 
@@ -179,12 +197,29 @@ def canonical_ids(nodes: DataFrame) -> DataFrame:
 
 
 def tree_checks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row a graph: whether its child edges form a tree (n - 1 edges, one root, no second parent)."""
+    """One row a graph: whether its child edges form a tree: n - 1 edges, one root, no second parent, and no cycle.
+
+    Where every edge goes up in numbers, as in pre-order, there can be no cycle. Graphs with other edges are checked by their components.
+    """
+    from graphtide.operators.components import connected_components
+
     kids = edges.filter("edge_type = 'SyntaxChild'")
     n = nodes.groupBy("graph_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("parent_id").isNull()).alias("n_roots"))
-    into = kids.groupBy("graph_id", "dst").agg(F.count("*").alias("into")).groupBy("graph_id").agg(F.sum("into").alias("n_edges"), F.max("into").alias("most"))
-    out = n.join(into, "graph_id", "left").fillna(0, ["n_edges", "most"])
-    return out.select("graph_id", "n_nodes", "n_edges", ((F.col("n_edges") == F.col("n_nodes") - 1) & (F.col("n_roots") == 1) & (F.col("most") <= 1)).alias("is_tree"))
+    into = kids.groupBy("graph_id", "dst").agg(F.count("*").alias("into"), F.count_if(F.col("src") >= F.col("dst")).alias("back"))
+    into = into.groupBy("graph_id").agg(F.sum("into").alias("n_edges"), F.max("into").alias("most"), F.sum("back").alias("back"))
+    out = n.join(into, "graph_id", "left").fillna(0, ["n_edges", "most", "back"])
+    odd = into.filter("back > 0").select("graph_id")
+    if odd.isEmpty():
+        out = out.withColumn("parts", F.lit(1))
+    else:
+        key = lambda c: F.concat_ws("/", "graph_id", c)
+        found = connected_components(kids.join(odd, "graph_id", "left_semi").select(key("src").alias("src"), key("dst").alias("dst")))
+        # nodes without an edge are parts of their own
+        of = nodes.join(odd, "graph_id", "left_semi").select("graph_id", key("node_id").alias("node")).join(found, "node", "left")
+        parts = of.groupBy("graph_id").agg(F.countDistinct(F.coalesce("component", "node")).alias("parts"))
+        out = out.join(parts, "graph_id", "left").fillna(1, ["parts"])
+    ok = (F.col("n_edges") == F.col("n_nodes") - 1) & (F.col("n_roots") == 1) & (F.col("most") <= 1) & (F.col("parts") == 1)
+    return out.select("graph_id", "n_nodes", "n_edges", ok.alias("is_tree"))
 
 
 def same_node(left: str = "l", right: str = "r") -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphtide.operators import frontends as fe
+from graphtide.operators.tree import child_paths
 
 _CUTS = re.compile(r"//[^\n]*|/\*.*?\*/|#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[][(){};]", re.S)
 
@@ -180,7 +181,7 @@ def operations(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     sides = []
     for nodes_, p in ((old, "l"), (new, "r")):
-        sides.append(paths(nodes_).select("graph_id", "path", F.col("node_id").alias(f"{p}_id"), F.struct("kind", "name", "role").alias(f"{p}_what"), F.struct("node_id", "start_byte", "end_byte").alias(f"{p}_where")))
+        sides.append(child_paths(nodes_).select("graph_id", "path", F.col("node_id").alias(f"{p}_id"), F.struct("kind", "name", "role").alias(f"{p}_what"), F.struct("node_id", "start_byte", "end_byte").alias(f"{p}_where")))
     both = sides[0].join(sides[1], ["graph_id", "path"], "full_outer")
     op = (
         F.when(F.col("r_id").isNull(), "delete").when(F.col("l_id").isNull(), "insert")
@@ -189,16 +190,6 @@ def operations(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("graph_id", "path", op.alias("op"), "l_id", "r_id")
 
 
-def paths(nodes_: DataFrame) -> DataFrame:
-    """nodes with path: child ordinals from the root, by pointer jumping: rounds follow the logarithm of the depth."""
-    ord_ = F.lpad(F.col("child_ord").cast("string"), 7, "0")
-    here = nodes_.select("graph_id", "node_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), "").otherwise(ord_).alias("path"))
-    for _ in range(int(nodes_.agg(F.max("depth")).first()[0] or 0).bit_length()):
-        above = here.select("graph_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("front"))
-        here = here.join(above, ["graph_id", "up"], "left").select("graph_id", "node_id", F.col("next").alias("up"), F.concat_ws("/", F.nullif(F.coalesce("front", F.lit("")), F.lit("")), "path").alias("path"))
-    return nodes_.join(here.select("graph_id", "node_id", "path"), ["graph_id", "node_id"])
-
-
 def repaired(old: DataFrame, edits: DataFrame, new: DataFrame) -> DataFrame:
     """(graph_id, l_id, r_id): for each old node the new one that starts where the old start is mapped to, of the nearest length.
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphtide.runtime import cut
+
 #: Outcome codes of a comparison, and the edges of the edit-count bins.
 SAME = {0: "Different", 1: "Same", 2: "New", 3: "Error"}
 EDIT_BINS = (0, 1, 3, 10, 30, 100, 500)
@@ -96,15 +98,26 @@ def chi2_tail_1(statistic: float) -> float:
     return math.erfc(math.sqrt(max(statistic, 0.0) / 2))
 
 
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the sum of value over the rows before, in the order of the columns over the whole table.
+
+    Rows are dealt in ranges of the order; the sums of whole ranges, one row for each, move the running sums inside them.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = ranged.groupBy("__range").agg(F.sum(value).alias(value))
+    moved = sums.select("__range", before(Window.orderBy("__range")).alias("__before"))
+    inside = ranged.withColumn(name, before(Window.partitionBy("__range").orderBy(*order)))
+    return inside.join(F.broadcast(moved), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
+
+
 def variance_ratio(df: DataFrame, value: str, order: str, key: str) -> DataFrame:
-    """Population variance of the last quarter of the rows over that of the first. Quarters are cut by exact ranks at their two bounds."""
-    n = df.count()
-    k = n // 4
-    # ranks would need one partition: the rows at the two bounds are found by a top-k, then two filters follow
-    cut = lambda first: df.select(order, key).orderBy(*([F.asc(order), F.asc(key)] if first else [F.desc(order), F.desc(key)])).limit(max(k, 1)).agg((F.max if first else F.min)(F.struct(order, key)).alias("b"))
-    out = df.join(F.broadcast(cut(True).withColumnRenamed("b", "b1"))).join(F.broadcast(cut(False).withColumnRenamed("b", "b2")))
-    here = F.struct(F.col(order), F.col(key))
-    return out.agg((F.var_pop(F.when(here >= F.col("b2"), F.col(value))) / F.var_pop(F.when(here <= F.col("b1"), F.col(value)))).alias("ratio"))
+    """Population variance of the last quarter of the rows over that of the first, by exact ranks."""
+    ranked = running_total(df.select(value, order, key, F.lit(1).alias("__one")), [order, key], "__one", "__rank")
+    k = ranked.agg(F.greatest(F.floor(F.count("*") / 4), F.lit(1)).alias("__k"), F.count("*").alias("__n"))
+    out = ranked.join(F.broadcast(k))
+    first, last = F.col("__rank") < F.col("__k"), F.col("__rank") >= F.col("__n") - F.col("__k")
+    return out.agg((F.var_pop(F.when(last, F.col(value))) / F.var_pop(F.when(first, F.col(value)))).alias("ratio"))
 
 
 def local_variance(df: DataFrame, x: str, y: str, grid: list[float], width: float = 0.5) -> DataFrame:
@@ -120,8 +133,8 @@ def paired_tests(df: DataFrame, a: str, b: str) -> DataFrame:
     d = df.select((F.col(a) - F.col(b)).cast("double").alias("d"))
     s = d.agg(F.count("*").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("sd"))
     size = d.filter("d <> 0").groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("pos"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = size.select("pos", (before + (F.col("k") + 1) / 2).alias("rank")).agg(F.sum(F.col("pos") * F.col("rank")).alias("w_plus"))
+    ranks = running_total(size, ["m"], "k", "before")
+    w = ranks.select("pos", (F.col("before") + (F.col("k") + 1) / 2).alias("rank")).agg(F.sum(F.col("pos") * F.col("rank")).alias("w_plus"))
     dd = F.abs(F.col("m") / F.col("sd"))
     label = F.when(dd < 0.2, "negligible").when(dd < 0.5, "small").when(dd < 0.8, "medium").otherwise("large")
     return s.join(F.broadcast(w)).select((F.col("m") / (F.col("sd") / F.sqrt("n"))).alias("t"), (F.col("m") / F.col("sd")).alias("d"), label.alias("effect"), "w_plus")

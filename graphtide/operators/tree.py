@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphtide.operators.graph import CONTAINERS, kind_to_type, should_descend
+from graphtide.runtime import cut
 
 
 def with_subtree(tops: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
@@ -25,17 +26,46 @@ def nearest_ancestor(nodes: DataFrame, wanted: Column, name: str, fallback: bool
     """(graph_id, node_id, name): the deepest ancestor, itself included, for which wanted(kind) holds.
 
     The open ancestors at a node in pre-order are, for each depth, the last node seen at that depth: running
-    aggregates over one window, no join.
+    aggregates over one window, no join. Trees of more levels than max_depth are climbed by pointer jumping instead.
     """
     w = Window.partitionBy("graph_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
     depths = range(nodes.agg(F.max("depth")).first()[0] or 0, -1, -1)
     if len(depths) > max_depth:
-        raise ValueError("deeper trees need the interval join of with_subtree")
-    last = {d: F.last(F.when(F.col("depth") == d, F.struct("node_id", wanted.alias("ok"))), ignorenulls=True).over(w) for d in depths}
-    pick = F.coalesce(*[F.when((F.col("depth") >= d) & last[d]["ok"], last[d]["node_id"]) for d in depths])
+        pick = F.col("found")
+        nodes = _climbed(nodes, wanted, len(depths))
+    else:
+        last = {d: F.last(F.when(F.col("depth") == d, F.struct("node_id", wanted.alias("ok"))), ignorenulls=True).over(w) for d in depths}
+        pick = F.coalesce(*[F.when((F.col("depth") >= d) & last[d]["ok"], last[d]["node_id"]) for d in depths])
     return nodes.select("graph_id", "node_id", (F.coalesce(pick, F.col("node_id")) if fallback else pick).alias(name))
 
 
+def _climbed(nodes: DataFrame, wanted: Column, levels: int) -> DataFrame:
+    """(graph_id, node_id, found): every node points to itself if it is wanted, else to its parent; pointers are followed twice as far each round."""
+    here = cut(nodes.select("graph_id", "node_id", F.when(wanted, F.col("node_id")).otherwise(F.col("parent_id")).alias("found"), wanted.alias("ok")))
+    wanted_ids = here.filter("ok").select("graph_id", F.col("node_id").alias("found"), F.lit(True).alias("good"))
+    here = here.drop("ok")
+    for _ in range(max(1, levels.bit_length())):
+        hop = here.select("graph_id", F.col("node_id").alias("found"), F.col("found").alias("on"))
+        # a pointer past the root is null and stays so
+        here = cut(here.join(hop, ["graph_id", "found"], "left").select("graph_id", "node_id", F.col("on").alias("found")))
+    return here.join(wanted_ids, ["graph_id", "found"], "left").select("graph_id", "node_id", F.when(F.col("good"), F.col("found")).alias("found"))
+
+
+def functions_in_subtree(nodes: DataFrame, wanted: Column) -> DataFrame:
+    """(graph_id, node_id, n_functions): wanted nodes of each subtree, where there are some.
+
+    Numbers of a subtree are one interval, so its count is the running count at its end less the one at its start: one window over
+    both bounds and the nodes, without a join.
+    """
+    own = nodes.select("graph_id", "node_id", "end_id", wanted.cast("int").alias("one"))
+    bound = lambda at, sign: F.struct(F.col(at).alias("pos"), F.lit(0).alias("is_node"), F.lit(0).alias("one"), F.lit(sign).alias("sign"))
+    marks = F.array(F.struct(F.col("node_id").alias("pos"), F.lit(1).alias("is_node"), F.col("one"), F.lit(0).alias("sign")), bound("node_id", -1), bound("end_id", 1))
+    points = own.select("graph_id", "node_id", F.explode(marks).alias("m")).select("graph_id", "node_id", "m.*")
+    w = Window.partitionBy("graph_id").orderBy("pos", "is_node").rowsBetween(Window.unboundedPreceding, 0)
+    counted = points.withColumn("before", F.sum("one").over(w)).filter("sign <> 0")
+    return counted.groupBy("graph_id", "node_id").agg(F.sum(F.col("sign") * F.col("before")).alias("n_functions")).filter("n_functions > 0")
+
+
 def nearest_container(nodes: DataFrame) -> DataFrame:
     return nearest_ancestor(nodes, kind_to_type(F.col("kind")).isin(*CONTAINERS), "container_id")
 
@@ -138,3 +168,13 @@ def paths_to_root(nodes: DataFrame) -> DataFrame:
         done = base.filter(F.col("depth") == d).join(up, ["graph_id", "parent_id"]).select("graph_id", "node_id", "parent_id", "depth", "kind", F.concat_ws("/", "up", "kind").alias("path"))
         parts.append(done)
     return reduce(DataFrame.unionByName, parts).select("graph_id", "node_id", "path")
+
+
+def child_paths(nodes: DataFrame) -> DataFrame:
+    """nodes with path: child ordinals from the root, by pointer jumping: rounds follow the logarithm of the depth."""
+    ord_ = F.lpad(F.col("child_ord").cast("string"), 7, "0")
+    here = nodes.select("graph_id", "node_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), "").otherwise(ord_).alias("path"))
+    for _ in range(int(nodes.agg(F.max("depth")).first()[0] or 0).bit_length()):
+        above = here.select("graph_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("front"))
+        here = here.join(above, ["graph_id", "up"], "left").select("graph_id", "node_id", F.col("next").alias("up"), F.concat_ws("/", F.nullif(F.coalesce("front", F.lit("")), F.lit("")), "path").alias("path"))
+    return nodes.join(here.select("graph_id", "node_id", "path"), ["graph_id", "node_id"])

@@ -218,7 +218,7 @@ def sparse_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-@query("tree_validation_by_program")
+@query("tree_validation_by_program", f"WITH {TREE_SQL} SELECT graph_id * 100000 AS component, count(*) AS n FROM nodes GROUP BY 1 HAVING count(*) > 1")
 def tree_validation_by_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every graph of the tree is one component of its own: components of child edges keyed by graph."""
     nodes = tree_nodes(spark, sf_dir)

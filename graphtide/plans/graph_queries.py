@@ -213,11 +213,7 @@ def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("functions_in_subtree", W_TYPED + " SELECT t.graph_id, t.node_id, count(*) AS n_functions FROM typed t JOIN typed d ON d.graph_id = t.graph_id AND d.node_id >= t.node_id AND d.node_id < t.end_id AND d.node_type = 'Function' GROUP BY ALL")
 def functions_in_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by ancestors: each function counts for itself and, level by level, for what is above."""
-    n = graph.typed(tree_nodes(spark, sf_dir))
-    own = n.filter("node_type = 'Function'").select("graph_id", "node_id", "parent_id")
-    up = own.filter("parent_id IS NOT NULL").select("graph_id", F.col("parent_id").alias("node_id"))
-    return own.select("graph_id", "node_id").unionByName(up).groupBy("graph_id", "node_id").agg(F.count("*").alias("n_functions"))
+    return tree.functions_in_subtree(tree_nodes(spark, sf_dir), graph.kind_to_type(F.col("kind")) == "Function")
 
 
 @query("subtree_depth", W_TREE + ", a AS (SELECT t.graph_id, t.node_id, t.depth, max(d.depth) AS low FROM nodes t JOIN nodes d ON d.graph_id = t.graph_id AND d.node_id >= t.node_id AND d.node_id < t.end_id GROUP BY ALL) SELECT graph_id, node_id, low - depth + 1 AS levels FROM a")
@@ -468,11 +464,4 @@ def compare_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_first_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = tree_nodes(spark, sf_dir)
     other = _renamed(nodes)
-    return compare.first_mismatch(compare.compare_graphs(nodes, other).filter("status = 'changed'"), nodes, other)
-
-
-@query("greedy_edge_matches")
-def greedy_edge_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = tree_nodes(spark, sf_dir)
-    edges = lambda n: graph.resolve(graph.child_edges(n), n, "kind").select("graph_id", "src", "dst", "edge_type", "src_kind", "dst_kind")
-    return compare.greedy_edge_matches(edges(nodes), edges(_renamed(nodes)))
+    return compare.first_mismatch(compare.compare_graphs(nodes, other).filter("status = 'changed'"), nodes, other).select("graph_id", "name", "child_ord")

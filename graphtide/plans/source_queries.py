@@ -32,6 +32,10 @@ def sources(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataFram
     return rows.groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", "b")))["b"], "").alias("text"))
 
 
+#: An assignment that reads its variable has two writers with readers, its expression and its statement; another has one.
+_NEW = f"SELECT 'g' || (p_partkey // {GROUP}) AS graph_id, count(*) AS n_functions, count(*) FILTER (p_size % 2 = 0) AS n_branches, count(*) FILTER (p_size % 2 = 0) + count(*) FILTER (p_size % 3 = 0) AS n_true, count(*) FILTER (p_size % 10 = 0) AS n_false, count(*) AS n_exits, count(*) + 2 * count(*) FILTER (p_size % 2 = 0) + count(*) FILTER (p_size % 10 = 0) + 2 * count(*) FILTER (p_size % 3 = 0) AS n_writers FROM part WHERE p_partkey % 13 <> 0 GROUP BY 1"
+
+
 @query("source_node_counts", f"SELECT 'g' || (p_partkey // {GROUP}) AS graph_id, count(*) AS n_functions, count(*) FILTER (p_size % 2 = 0) AS n_branches, count(*) FILTER (p_size % 3 = 0) AS n_loops, count(*) AS n_returns, count(*) FILTER (p_size % 4 = 0) AS n_comments, count(*) FILTER (p_size % 3 = 0) AS n_calls, CAST(0 AS BIGINT) AS n_errors FROM part GROUP BY 1")
 def source_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = fe.build(sources(spark, sf_dir))
@@ -59,10 +63,6 @@ def old_store(spark: SparkSession, sf_dir: str) -> incremental.Store:
     return incremental.Store(stored(spark, "old units", inputs, lambda: known().units), stored(spark, "old parts", inputs, lambda: known().parts))
 
 
-#: An assignment that reads its variable has two writers with readers, its expression and its statement; another has one.
-_NEW = f"SELECT 'g' || (p_partkey // {GROUP}) AS graph_id, count(*) AS n_functions, count(*) FILTER (p_size % 2 = 0) AS n_branches, count(*) FILTER (p_size % 2 = 0) + count(*) FILTER (p_size % 3 = 0) AS n_true, count(*) FILTER (p_size % 10 = 0) AS n_false, count(*) AS n_exits, count(*) + 2 * count(*) FILTER (p_size % 2 = 0) + count(*) FILTER (p_size % 10 = 0) + 2 * count(*) FILTER (p_size % 3 = 0) AS n_writers FROM part WHERE p_partkey % 13 <> 0 GROUP BY 1"
-
-
 def _figures(store: incremental.Store) -> DataFrame:
     """Figures of each file's whole graph: nodes, control flow and data dependence."""
     at = incremental.placed(store)
@@ -119,15 +119,28 @@ def source_reads_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.filter("kind = 'declaration' AND df_writes = array('v') AND df_reads = array('a')").groupBy("graph_id").agg(F.count("*").alias("n_declared"))
 
 
-@query("source_data_dependence")
+@query("source_data_dependence", _NEW.replace(" WHERE p_partkey % 13 <> 0", "").replace("count(*) AS n_functions, count(*) FILTER (p_size % 2 = 0) AS n_branches, count(*) FILTER (p_size % 2 = 0) + count(*) FILTER (p_size % 3 = 0) AS n_true, count(*) FILTER (p_size % 10 = 0) AS n_false, count(*) AS n_exits, ", ""))
 def source_data_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reaching definitions along the control flow of every file."""
+    """Writers with a reader, by reaching definitions along the control flow of every file. Tests compare all pairs."""
+    return data_dependence(spark, sf_dir).groupBy("graph_id").agg(F.countDistinct("writer").alias("n_writers"))
+
+
+def data_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = fe.build(sources(spark, sf_dir))
     e = fe.cf_pass(n).filter("dst >= 0").select("graph_id", "src", "dst")
     facts = n.select("graph_id", "node_id", F.col("df_reads").alias("reads"), F.col("df_writes").alias("writes"))
     return fixpoint.reaching_definitions(facts, e)
 
 
+@query("source_function_returns", f"SELECT 'g' || (p_partkey // {GROUP}) AS graph_id, count(*) AS n_returns, count(*) AS n_reads FROM part GROUP BY 1")
+def source_function_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return nodes of functions and the variables that return statements bring to them."""
+    n = fe.build(sources(spark, sf_dir))
+    e = fe.return_edges(n, fe.cf_pass(n), data_dependence(spark, sf_dir))
+    of = lambda t: F.count_if(F.col("edge_type") == t)
+    return e.groupBy("graph_id").agg(of("ControlFlowFunctionReturn").alias("n_returns"), of("PDData").alias("n_reads"))
+
+
 @query("source_sexp")
 def source_sexp(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = fe.build(sources(spark, sf_dir))
@@ -140,8 +153,12 @@ def source_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.dot(n, graph.child_edges(n), rank_by_depth=True)
 
 
-@query("source_edits")
+_TEXT = "CASE WHEN p_size % 4 = 0 THEN '// even more' || chr(10) ELSE '' END || 'int f' || p_partkey || '(int a) {' || chr(10) || '  int v = a + ' || CASE WHEN p_partkey % 7 = 0 THEN p_size + 100 ELSE p_size END || ';' || chr(10) || CASE WHEN p_size % 2 = 0 THEN '  if (v > 10) { v = v - 1; }' || CASE WHEN p_size % 5 = 0 THEN ' else { v = 0; }' ELSE '' END || chr(10) ELSE '' END || CASE WHEN p_size % 3 = 0 THEN '  while (v) { v = g(v); }' || chr(10) ELSE '' END || '  return v;' || chr(10) || '}' || chr(10)"
+
+
+@query("source_edits", f"SELECT 'g' || (p_partkey // {GROUP}) AS graph_id, sha256(string_agg({_TEXT}, '' ORDER BY p_partkey)) AS rebuilt FROM part WHERE p_partkey % 13 <> 0 GROUP BY 1")
 def source_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits between the two versions of each file, as byte ranges."""
+    """Edits between the two versions of each file, as byte ranges, applied to the old version."""
     old, new = sources(spark, sf_dir).withColumnRenamed("text", "old"), sources(spark, sf_dir, True).withColumnRenamed("text", "new")
-    return D.edits(old.join(new, "graph_id"), ["graph_id"])
+    pairs = old.join(new, "graph_id")
+    return D.rebuilt(pairs, D.edits(pairs, ["graph_id"]), ["graph_id"]).select("graph_id", F.sha2("text", 256).alias("rebuilt"))

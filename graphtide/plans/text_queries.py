@@ -197,15 +197,15 @@ def numeric_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.greatest(F.coalesce(raw.try_cast("double"), F.lit(0.1)), F.lit(0.1)).alias("clipped"), F.round(F.try_divide((i % 13).cast("double"), F.nullif((i % 5).cast("double"), F.lit(0.0))), 6).alias("ratio"))
 
 
-# functions outside SQL: the edit scripts rebuild the new text, which tests check
+# edit scripts and patches are not SQL: their queries rebuild the new text from the old one, and SQL has the new text
 
 
-@query("token_edit_scripts")
+@query("token_edit_scripts", "SELECT conv_id, turn, sha256(nxt) AS rebuilt FROM (SELECT conv_id, turn, lead(text) OVER w AS nxt, lead(turn) OVER w AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE t IS NOT NULL")
 def token_edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest edit scripts from each turn of a conversation to the next one."""
+    """Shortest edit scripts from each turn of a conversation to the next one, applied."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("old"), F.lead("text").over(w).alias("new"), F.lead("turn").over(w).alias("next"))
-    return D.edits(c.filter("next IS NOT NULL"), ["conv_id", "turn"])
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("old"), F.lead("text").over(w).alias("new"), F.lead("turn").over(w).alias("next")).filter("next IS NOT NULL")
+    return D.rebuilt(c, D.edits(c, ["conv_id", "turn"]), ["conv_id", "turn"]).select("conv_id", "turn", F.sha2("text", 256).alias("rebuilt"))
 
 
 @query("opcode_counts")
@@ -214,7 +214,14 @@ def opcode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", F.size(D.opcodes("text", "next")).alias("n"), F.round(D.sequence_ratio("text", "next"), 6).alias("ratio"))
 
 
-@query("unified_diffs")
+@query("unified_diffs", "SELECT item_id, sha256(regexp_replace(text, 'the', 'THE', 'g')) AS rebuilt FROM benchmark")
 def unified_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", D.unified_diff("text", F.regexp_replace("text", "the", "THE")).alias("diff"))
+    b = table(spark, sf_dir, "benchmark").withColumn("diff", D.unified_diff("text", F.regexp_replace("text", "the", "THE")))
+    return b.select("item_id", F.sha2(D.patched("text", "diff"), 256).alias("rebuilt"))
+
+
+@query("context_diffs", "SELECT item_id, CAST(length(text) AS BIGINT) AS n_old, CAST(length(replace(text, 'a', 'b')) AS BIGINT) AS n_new FROM benchmark")
+def context_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of character comparisons in context; together they cover both texts."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(D.context_segments("text", F.replace("text", F.lit("a"), F.lit("b")))).alias("s"))
+    return b.groupBy("item_id").agg(F.sum(F.col("s.a1") - F.col("s.a0")).alias("n_old"), F.sum(F.col("s.b1") - F.col("s.b0")).alias("n_new"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -51,8 +51,6 @@ def text(files: DataFrame) -> DataFrame:
 
 def changed(files: DataFrame) -> DataFrame:
     """Versions that differ from the one before (new ones too). files: path, step, content_hash, ..."""
-    from pyspark.sql import Window
-
     before = F.lag("content_hash").over(Window.partitionBy("path").orderBy("step"))
     return files.withColumn("previous", before).filter(~F.col("previous").eqNullSafe(F.col("content_hash"))).withColumn("same", F.when(F.col("previous").isNull(), 2)).drop("previous")
 
@@ -165,11 +163,36 @@ def expected_ranges(tests: DataFrame) -> DataFrame:
 
 
 def sexp_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, depth, kind, cid, start, end, name, ref): one row for each line of S-expression files; ref: the id of a visited marker."""
-    f = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "l"))
+    """(file, line, depth, kind, is_edge, cid, start, end, name, ref): one row for each line of S-expression files."""
+    f = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), "value")
+    return parsed_sexp(f, ["file"], "value")
+
+
+def parsed_sexp(texts: DataFrame, key: list[str], text: str) -> DataFrame:
+    """The lines of S-expressions, keyed by the columns of key; ref: the id of a visited marker."""
+    f = texts.select(*key, F.posexplode(F.split(text, "\n")).alias("line", "l"))
     part = lambda p, i=1: F.nullif(F.regexp_extract("l", p, i), F.lit(""))
     return f.select(
-        "file", "line", (F.length(F.regexp_extract("l", "^ *", 0)) / 2).cast("int").alias("depth"), F.coalesce(part(r"^\s*\((?:->\s+)?(\w+)"), part(r"^\s*(\w+) \[visited")).alias("kind"), F.contains("l", F.lit("(->")).alias("is_edge"),
+        *key, "line", (F.length(F.regexp_extract("l", "^ *", 0)) / 2).cast("int").alias("depth"), F.coalesce(part(r"^\s*\((?:->\s+)?(\w+)"), part(r"^\s*(\w+) \[visited")).alias("kind"), F.contains("l", F.lit("(->")).alias("is_edge"),
         part(r':canonical-id "(\d+)"').cast("long").alias("cid"), part(r':span "\((\d+), (\d+)\)"').cast("long").alias("start"), part(r':span "\((\d+), (\d+)\)"', 2).cast("long").alias("end"), part(r':name "([^"]*)"').alias("name"),
         part(r'\[visited "(\d+)"\]').cast("long").alias("ref"),
     ).filter("kind IS NOT NULL")
+
+
+def sexp_graph(lines: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of parsed lines. nodes: key, node_id, kind, start, end, name, parent_id; edges: key, src, dst, edge_type, visited.
+
+    A line belongs to the last line one level up before it: the lines that offer themselves to a level and those that ask there
+    stand in one window, and the last offer is carried forward. Visited markers give edges to nodes written before.
+    """
+    offer = lambda what, down: lines.filter(what).select(*key, (F.col("depth") + down).alias("at"), "line", F.struct("kind", "cid", "depth").alias("up"), F.lit(None).cast("struct<kind:string,cid:bigint,start:bigint,end:bigint,name:string,ref:bigint>").alias("own"))
+    own = F.struct("kind", "cid", "start", "end", "name", "ref")
+    asks = lines.filter("NOT is_edge").select(*key, F.col("depth").alias("at"), "line", F.lit(None).cast("struct<kind:string,cid:bigint,depth:int>").alias("up"), own.alias("own"))
+    w = Window.partitionBy(*key, "at").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    carried = lambda offers: offers.unionByName(asks).withColumn("above", F.last("up", ignorenulls=True).over(w)).filter("own IS NOT NULL").select(*key, "line", "own", "above")
+    node = carried(offer("cid IS NOT NULL", 2)).select(*key, "line", "own", F.col("above.cid").alias("parent"))
+    edge = carried(offer("is_edge", 1)).select(*key, "line", F.col("above.kind").alias("edge_type"))
+    both = node.join(edge, [*key, "line"])
+    nodes = both.filter("own.ref IS NULL").select(*key, F.col("own.cid").alias("node_id"), "own.kind", "own.start", "own.end", "own.name", F.when(F.col("edge_type").isNotNull(), F.col("parent")).alias("parent_id"))
+    edges = both.filter("edge_type IS NOT NULL AND parent IS NOT NULL").select(*key, F.col("parent").alias("src"), F.coalesce("own.ref", "own.cid").alias("dst"), "edge_type", F.col("own.ref").isNotNull().alias("visited"))
+    return nodes, edges

@@ -65,7 +65,7 @@ def _sexp_of(frame: pd.DataFrame) -> str:
             continue
         seen[node] = len(seen) + 1
         name = f' :name "{esc(r.name)}"' if isinstance(r.name, str) else ""
-        lines.append(f'{pad}({r.kind} :canonical-id "{seen[node]}" :span "({r.start}, {r.end})"{name}')
+        lines.append(f'{pad}({r.kind} :canonical-id "{seen[node]}" :span "({int(r.start)}, {int(r.end)})"{name}')
         stack.append(("close", node, depth))
         for kind, to in reversed(out.get(node, [])):
             if to in nodes:
