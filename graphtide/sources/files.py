@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from graphtide.runtime import cut
+
 FILES_SCHEMA = "path string, rev string, content binary, n_bytes long, content_hash string"
 METRICS_SCHEMA = (
     "patch_name string, edits_count long, full_timings_ms long, incremental_timings_ms long, same int, full_nodes long, full_edges long, "
@@ -130,7 +132,8 @@ BENCHMARK_SCHEMA = (
 
 def benchmark_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad files) of benchmark_<repo>_<tactic>.json: one row for each file of each commit; maps stay maps."""
-    raw = spark.read.schema(BENCHMARK_SCHEMA + ", _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").json(path).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0).alias("name")).cache()
+    read = spark.read.schema(BENCHMARK_SCHEMA + ", _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+    raw = cut(read.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0).alias("name")))
     named = raw.withColumns({"repo": F.regexp_extract("name", r"benchmark_(.+)_([^_]+)\.json$", 1), "tactic": F.regexp_extract("name", r"benchmark_(.+)_([^_]+)\.json$", 2)})
     rows = named.filter("_corrupt_record IS NULL").select("repo", "tactic", "step", "commit", F.explode("files").alias("f")).select("repo", "tactic", "step", "commit", "f.*")
     return rows, named.filter("_corrupt_record IS NOT NULL").select("name").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,3 +107,26 @@ def to_latex(table: list[tuple], header: list[str]) -> str:
     cell = lambda v: f"{v:.3f}" if isinstance(v, float) else str(v).replace("_", r"\_")
     body = " \\\\\n".join(" & ".join(map(cell, r)) for r in table)
     return "\\begin{tabular}{" + "l" * len(header) + "}\n" + " & ".join(map(cell, header)) + " \\\\\\hline\n" + body + "\n\\end{tabular}"
+
+
+def tikz(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, tex): a LaTeX picture of each graph, layers from top to bottom, names with escaped underscores."""
+    safe = lambda c: F.replace(c, F.lit("_"), F.lit("\\_"))
+    place = Window.partitionBy("graph_id", "depth").orderBy("node_id")
+    n = nodes.withColumn("line", F.format_string("  \\node (n%d) at (%d,%d) {%s};", F.col("node_id"), F.row_number().over(place), -F.col("depth"), safe(F.concat_ws(" ", "kind", "name"))))
+    e = edges.withColumn("line", F.format_string("  \\draw[->] (n%d) -- (n%d);", "src", "dst"))
+    listed = lambda d, *key: d.groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct(*key, "line")))["line"], "\n").alias("body"))
+    both = listed(n, "node_id").join(listed(e, "src", "dst").withColumnRenamed("body", "arrows"), "graph_id", "left")
+    return both.select("graph_id", F.concat_ws("\n", F.lit("\\begin{tikzpicture}"), "body", "arrows", F.lit("\\end{tikzpicture}")).alias("tex"))
+
+
+#: Serialisers by name: nodes and edges to one text for each graph, in the column of that name (tikz: tex).
+SERIALIZERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"dot": dot, "sexp": sexp, "tikz": tikz}
+
+
+def serialize(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """(graph_id, text) by one of the SERIALIZERS."""
+    if kind not in SERIALIZERS:
+        raise ValueError(f"unknown serialiser {kind}; there are {', '.join(sorted(SERIALIZERS))}")
+    out = SERIALIZERS[kind](nodes, edges)
+    return out.select("graph_id", F.col(out.columns[1]).alias("text"))

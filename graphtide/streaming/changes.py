@@ -19,7 +19,7 @@ _STATE = "step long, content_hash string"
 def commit_stream(versions: DataFrame) -> DataFrame:
     """What each version does to its path's state: baseline, unchanged or changed. versions: path, step, content_hash.
 
-    The state of a path is its last step and hash. A version that is not newer than the state is late and dropped.
+    The state of a path is its last step and hash. A version that is not newer than the state comes out as late and changes nothing.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -27,6 +27,7 @@ def commit_stream(versions: DataFrame) -> DataFrame:
         rows = []
         for r in pd.concat(list(batches)).sort_values("step").itertuples():
             if step is not None and r.step <= step:
+                rows.append((key[0], r.step, "late", r.content_hash))
                 continue
             rows.append((key[0], r.step, "baseline" if step is None else "unchanged" if known == r.content_hash else "changed", r.content_hash))
             step, known = r.step, r.content_hash
@@ -90,6 +91,19 @@ class Listeners:
             self.attach(batch)
 
 
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """All that a stream gives for the input that is there now, as a table: run to its end with checkpoint and output in the folder."""
+    spark = stream.sparkSession
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def change_log(batch: DataFrame, folder: str) -> None:
+    """A listener for Listeners.ALL that appends every property change to a table."""
+    batch.select("node_id", "key", F.col("value").cast("string").alias("value")).write.mode("append").parquet(folder)
+
+
 def insert_child(children: DataFrame, new: DataFrame) -> DataFrame:
     """children (graph_id, parent_id, node_id, child_ord) with new ones at their child_ord: later siblings move right by one.
 

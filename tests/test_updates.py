@@ -290,3 +290,52 @@ def test_text_arrays_and_context(spark):
     for a, b in (("", ""), ("a", ""), ("no end", "no end\n"), ("x\ny", "x\nz"), ("a\r\nb\n", "a\nb\n"), ("same\n", "same\n")):
         d = spark.createDataFrame([(a, b)], "a string, b string").select(diff.patched("a", diff.unified_diff("a", "b")).alias("p")).first()["p"]
         assert d == b
+
+
+def test_generated_patches_apply_one_after_the_other(spark):
+    source = "int f(int a) {\n  int v = 3;\n  v = v + 12;\n  g(v);\n  return v;\n}\n"
+    from graphtide.functions import patchgen
+
+    made = patchgen.sequence(source, 12, seed=5)
+    assert [p[1] for p in made[:5]] == list(patchgen.OPERATIONS) and made == patchgen.sequence(source, 12, seed=5)
+    now = source
+    for _, _, _, d in made:
+        now = diff.apply_patch(now, d)
+    assert now != source and "gen2" in now and "// note 5" in now
+    assert patchgen.safe_statements(source.splitlines()) == [2, 3]
+    assert patchgen.base(source, 1) == source.replace("  v = v + 12;\n", "")
+    assert [p[1] for p in patchgen.sequence("", 3)] == ["add-comment", "add-comment", "add-comment"]
+    df = spark.createDataFrame([("d", source), ("e", None)], "dir string, content string")
+    assert patchgen.patches(df, 4).count() == 8
+
+
+def test_strategies_logs_and_queues(spark, tmp_path):
+    from graphtide.streaming import changes
+
+    rng = random.Random(2)
+    spans = spark.createDataFrame([(1, i, a, a + rng.randrange(1, 90)) for i, a in enumerate(rng.choices(range(300), k=40))], "graph_id long, node_id long, start long, end long")
+    queries = spark.createDataFrame([(1, q, a, a + rng.randrange(1, 9)) for q, a in enumerate(rng.choices(range(300), k=15))], "graph_id long, query_id long, q_start long, q_end long")
+    for find in ("overlapping", "containing"):
+        one, two = ([tuple(sorted(r.asDict().items())) for r in getattr(spatial.RangeIndex(spans, w), find)(queries).collect()] for w in (16, None))
+        assert sorted(one) == sorted(two)
+    done = fixpoint.work_off(spark.createDataFrame([(1,), (1,), (40,)], "n long"), lambda q: q.select((F.col("n") * 2).alias("n")).filter("n < 100"))
+    assert sorted(r["n"] for r in done.collect()) == [1, 2, 4, 8, 16, 32, 40, 64, 80]
+    with pytest.raises(RuntimeError):
+        fixpoint.work_off(spark.createDataFrame([(1,)], "n long"), lambda q: q.select((F.col("n") + 1).alias("n")), max_rounds=3)
+    changes.change_log(spark.createDataFrame([(1, "order", 2)], "node_id long, key string, value int"), str(tmp_path / "log"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [(1, "order", "2")]
+    nodes = spark.createDataFrame(_tree(rng, 5), SCHEMA).withColumn("name", F.lit("a_b"))
+    text_ = sinks.serialize(nodes, graph.child_edges(nodes), "tikz").first()["text"]
+    assert text_.count(r"a\_b") == 5 and text_.count(r"\draw") == 4 and text_.startswith(r"\begin{tikzpicture}")
+    with pytest.raises(ValueError, match="unknown"):
+        sinks.serialize(nodes, nodes, "gif")
+
+
+def test_late_versions_come_out_as_late(spark, tmp_path):
+    from graphtide.streaming import changes
+
+    schema = "path string, step long, content_hash string"
+    for step in (2, 1):
+        spark.createDataFrame([("p", step, "x")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = changes.drained(changes.commit_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "run"))
+    assert sorted((r["step"], r["action"]) for r in got.collect()) == [(1, "late"), (2, "baseline")]
