@@ -339,3 +339,59 @@ def test_late_versions_come_out_as_late(spark, tmp_path):
         spark.createDataFrame([("p", step, "x")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         got = changes.drained(changes.commit_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "run"))
     assert sorted((r["step"], r["action"]) for r in got.collect()) == [(1, "late"), (2, "baseline")]
+
+
+def test_parents_of_ranges_against_all_spans(spark):
+    rng = random.Random(9)
+    types = ["TranslationUnit", "Block", "Function", "Statement", "Call"]
+    for n in (0, 1, 30):
+        spans = [(1, i, a, a + rng.randrange(0, 200), rng.choice(types[1:] if n == 30 else types)) for i, a in enumerate(rng.choices(range(40, 300), k=n))]
+        asked = [(g, q, a, a + rng.randrange(-20, 60)) for g in (1, 2) for q, a in enumerate(rng.choices(range(20, 320), k=25))]
+        want = {}
+        for g, q, a, z in asked:
+            fits = [(spatial.PRIORITY.get(t, 4), max(z - e, 0), a - s, i) for _, i, s, e, t in spans if g == 1 and s <= a]
+            if fits:
+                want[q] = min(fits)[3]
+        s = spark.createDataFrame(spans, "graph_id long, node_id long, start long, end long, node_type string")
+        q = spark.createDataFrame(asked, "graph_id long, query_id int, q_start long, q_end long")
+        got = spatial.parent_for_range(s, q, width=16).collect()
+        assert {r["query_id"]: r["node_id"] for r in got} == want and all(r["graph_id"] == 1 for r in got)
+
+
+def _next_statements(rows, edges):
+    """For each statement, return and function, the statements, returns and exits that come next along the flow."""
+    kind = {r["node_id"]: r["node_type"] for r in rows}
+    after = {}
+    for src, dst in edges:
+        after.setdefault(src, set()).add(dst)
+    out = set()
+    for start, what in kind.items():
+        if what in ("Statement", "Return", "Function"):
+            seen, todo = set(), list(after.get(start, ()))
+            while todo:
+                n = todo.pop()
+                if n in seen:
+                    continue
+                seen.add(n)
+                if n < 0 or kind.get(n) in ("Statement", "Return"):
+                    out.add((start, n))
+                else:
+                    todo += after.get(n, ())
+    return out
+
+
+def test_flow_by_messages_has_the_same_next_statements(spark):
+    from graphtide.operators import control
+
+    source = (
+        "int f(int a) { a = 1; if (a) { a = 2; a = 3; } else a = 4; while (a) { a = a - 1; if (a) { a = 9; } } for (a = 0; a < 3; a = a + 1) { a = 5; } return a; }\n"
+        "int g() { if (g) { return 1; } g(); }\nint h() { }\nint k(int a) { while (a) { while (a) { a = 1; } } }"
+    )
+    nodes = fe.build(spark.createDataFrame([("x", source), ("y", "int m() { return 1; }")], "graph_id string, text string")).cache()
+    got, want = control.flow_by_messages(nodes).collect(), fe.cf_pass(nodes).collect()
+    for g in ("x", "y"):
+        rows = nodes.filter(F.col("graph_id") == g).collect()
+        pairs = [_next_statements(rows, [(r["src"], r["dst"]) for r in e if r["graph_id"] == g]) for e in (got, want)]
+        assert pairs[0] == pairs[1]
+    kinds = lambda e: {(r["graph_id"], r["src"], r["dst"]) for r in e if r["edge_type"] in ("ControlFlowTrue", "ControlFlowFalse")}
+    assert kinds(got) == kinds(want)
