@@ -103,6 +103,14 @@ def node_repairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.repaired(span(old), edits, span(new))
 
 
+@query("message_control_flow", f"SELECT 'g' || (p_partkey // {GROUP}) AS graph_id, count(*) FILTER (p_size % 2 = 0) + count(*) FILTER (p_size % 3 = 0) AS n_true, count(*) FILTER (p_size % 10 = 0) AS n_false, count(*) AS n_exits FROM part GROUP BY 1")
+def message_control_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control flow of every file by message passing over its syntax tree."""
+    e = control.flow_by_messages(fe.build(sources(spark, sf_dir)))
+    t = F.col("edge_type")
+    return e.groupBy("graph_id").agg(F.count_if(t == "ControlFlowTrue").alias("n_true"), F.count_if(t == "ControlFlowFalse").alias("n_false"), F.count_if(F.col("dst") < 0).alias("n_exits"))
+
+
 @query("source_change_set", f"SELECT 'g' || (p_partkey // {GROUP}) AS graph_id, 'function_definition#f' || p_partkey || '#1' AS unit, CASE WHEN p_partkey % 13 = 0 THEN 'removed' ELSE 'changed' END AS change FROM part WHERE p_partkey % 13 = 0 OR p_partkey % 7 = 0")
 def source_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an incremental update has to look at: functions whose text changed, whatever moved around them. Comments have no name and are numbered; they are left out."""
