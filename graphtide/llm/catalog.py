@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphtide.llm import decontaminate, langid, mixing, near_dedup, quality, secrets, substring_bytes, substring_words, toxicity, url_filter
+from graphtide.llm import decontaminate, divergence, langid, mixing, near_dedup, quality, secrets, substring_bytes, substring_words, topk, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_exact_topk": topk.op12_exact_topk,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 ORACLES = {name: sql for name, sql in {
     "op1_language_id": langid.ORACLE_SQL,
@@ -27,4 +30,7 @@ ORACLES = {name: sql for name, sql in {
     "op8_toxicity": toxicity.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
     "op10_decontamination": decontaminate.ORACLE_SQL,
+    "op11_embedding_whitening": whitening.ORACLE_SQL,
+    "op12_exact_topk": topk.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }.items() if sql is not None}
