@@ -88,7 +88,7 @@ def _piece_batches(terms: Iterator[tuple[bytes, dict]], depth: int, rows: int =
         yield batch()
 
 
-def _count(groups: dict[tuple[str, str], int]):
+def _count(groups: dict[tuple[str, str], int], flush: int):
     """mapInArrow function: (text, lang, source) to pieces of tries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def _count(groups: dict[tuple[str, str], int]):
                         seen.update(terms)
                     docs[g].update(seen)
                 size += len(mine)
-                if size >= FLUSH:
+                if size >= flush:
                     yield from _piece_batches(trie().walk(), HEAD)
                     size = 0
         yield from _piece_batches(trie().walk(), HEAD)
@@ -254,7 +254,7 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     lang_names = sorted({lang for lang, _ in names})
     langs = [lang_names.index(lang) for lang, _ in names]
     with small_batches(spark):
-        pieces = shelf.put(docs.mapInArrow(_count(groups), _PIECE))
+        pieces = shelf.put(docs.mapInArrow(_count(groups, FLUSH), _PIECE))
         depth, done = HEAD, []
         # prefixes that are too heavy for one trie are cut deeper; a term that ends at its prefix goes no deeper
         while True:

@@ -52,9 +52,10 @@ class Block:
     span: np.ndarray
     want: np.ndarray
     most: int
+    bins: int
 
     def width(self) -> np.ndarray:
-        return -(-self.span // BINS)
+        return -(-self.span // self.bins)
 
 
 def _whole(column: pa.Array | pa.ChunkedArray, scale: int, width: int | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -100,7 +101,8 @@ def _count(block: Block, scale: int):
     """mapInArrow function: the counts of each query's bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, width = np.zeros((len(block.x), BINS), dtype=np.int64), block.width()
+        nb = block.bins
+        counts, width = np.zeros((len(block.x), nb), dtype=np.int64), block.width()
         floor, top = block.low.copy(), block.low + (block.span - 1)
         for q0, s, _, _ in _scores(block, batches, scale):
             q1 = q0 + len(s)
@@ -108,16 +110,16 @@ def _count(block: Block, scale: int):
             if not len(q):
                 continue
             bins = (s[q, c] - block.low[q0 + q]) // width[q0 + q]
-            counts[q0:q1] += np.bincount(q * BINS + bins, minlength=len(s) * BINS).reshape(-1, BINS)
+            counts[q0:q1] += np.bincount(q * nb + bins, minlength=len(s) * nb).reshape(-1, nb)
             # from here on only what is not below this task's own kth score matters
             some = np.unique(q)
             above = np.cumsum(counts[q0 + some, ::-1], axis=1) >= block.want[q0 + some, None]
             full = above.any(axis=1)
             some, above = q0 + some[full], above[full]
-            kth = BINS - 1 - np.argmax(above, axis=1)
+            kth = nb - 1 - np.argmax(above, axis=1)
             floor[some] = block.low[some] + kth * width[some]
         first = (floor - block.low) // width
-        q, b = np.nonzero((counts > 0) & (np.arange(BINS) >= first[:, None]))
+        q, b = np.nonzero((counts > 0) & (np.arange(nb) >= first[:, None]))
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[q, b])], names=["q", "bin", "n"])
 
     return run
@@ -166,12 +168,12 @@ def _bounds(candidates: DataFrame, scale: int) -> tuple[int, int]:
     return int(row.most or 0), int(row.width or 0)
 
 
-def _block(rows: pa.Table, most: int, scale: int, k: int) -> Block:
+def _block(rows: pa.Table, most: int, scale: int, k: int, bins: int) -> Block:
     took, x, sums = _whole(rows.column("v"), scale)
     ids = rows.column("query_id").combine_chunks().take(pa.array(took))
     reach = np.array([isqrt(s * most) + 1 for s in sums], dtype=np.int64)
     # no product of a row of x with a candidate is larger than the largest reach, by Cauchy and Schwarz, nor are its sums of fewer entries
-    return Block(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), x, -reach, 2 * reach + 1, np.full(len(took), k, dtype=np.int64), int(reach.max(initial=0)))
+    return Block(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), x, -reach, 2 * reach + 1, np.full(len(took), k, dtype=np.int64), int(reach.max(initial=0)), bins)
 
 
 def _narrow(block: Block, counts: DataFrame) -> bool:
@@ -196,7 +198,7 @@ def _narrow(block: Block, counts: DataFrame) -> bool:
     return True
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, scale: int = SCALE, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, scale: int = SCALE, id: str = "vec_id", vector: str = "embedding", bins: int = BINS, block_rows: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k highest inner products among the candidates with another id."""
     spark = candidates.sparkSession
     shelf = Shelf(spark)
@@ -204,10 +206,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, scale: int = SC
     with small_batches(spark, 2 * TILE[1]):
         most, width = _bounds(candidates, scale)
         asked = shelf.put(queries.select(F.col(id).cast("long").alias("query_id"), F.col(vector).alias("v")).filter("v IS NOT NULL").distinct())
-        blocks = -(-asked.count() // max(1, min(QUERIES, QUERY_BYTES // (8 * max(1, width)))))
+        blocks = -(-asked.count() // max(1, min(block_rows, QUERY_BYTES // (8 * max(1, width)))))
         found = []
         for b in range(blocks):
-            block = _block(asked.filter(F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)) == b).toArrow(), most, scale, k)
+            block = _block(asked.filter(F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)) == b).toArrow(), most, scale, k, bins)
             if not len(block.x):
                 continue
             block.x = block.x[:, :width]
