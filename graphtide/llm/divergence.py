@@ -1,10 +1,10 @@
 """Audit of how the sources of a language diverge: mergeable radix tries of terms.
 
 1. Every task counts the terms of its documents and puts them into a byte trie, with counters of occurrences and
-   documents by (language, source) at the leaves. A trie that has grown to FLUSH terms is sent on and a new one begun.
-2. A trie goes out in pieces, one for each prefix of HEAD bytes, terms packed by shared prefixes. The pieces are dealt by
-   ranges of prefixes and sorted, so that a task merges the tries of one prefix at a time and holds no other. A prefix
-   with more than HEAVY bytes in all tasks together is dealt by longer prefixes first, again if need be.
+   documents by (language, source) at the leaves. A trie that has grown to FLUSH counters is sent on and a new one begun.
+2. A trie goes out in pieces, cut at the nodes that are HEAD bytes deep. The pieces are dealt by ranges of prefixes and
+   sorted, so that a task merges the tries of few prefixes at a time and holds no others. A prefix with more than HEAVY
+   bytes in all tasks together is cut deeper first, again if need be.
 3. The merged tries are walked in byte order, which is the order of UTF-8: terms in enough documents of a language are
    kept, with their counters by group.
 4. With the totals of all groups known, a second walk streams through the kept terms: it adds up the distance of each
@@ -21,8 +21,7 @@ empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import heapq
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,168 +29,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphtide.llm.tries import Trie, packed, unpacked
+from graphtide.llm import kernels
+from graphtide.llm.tries import PIECE, Trie
 from graphtide.runtime import Shelf, small_batches, table
 
 #: Terms in at least LEAST documents of a language are kept, TOP terms are listed, the unit and the addend of shares.
 LEAST, TOP, UNIT, ADD = 30, 50, 1_000_000_000, 5
-#: Fixed value: a term, over the bytes of UTF-8, after A-Z are lower-cased.
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Bytes of a text that are counted at once (a term that goes on is waited for).
-SLICE = 1 << 20
-#: Terms by group that a task holds before it sends its trie on.
-FLUSH = 400_000
-#: Bytes of the first prefix, and of packed terms under one prefix beyond which it is cut deeper.
-HEAD, HEAVY = 3, 32 << 20
-#: Packed bytes that one merging task reads, about.
-TASK_BYTES = 32 << 20
-_PIECE = "head binary, bytes long, shared array<int>, rest array<binary>, ends array<int>, `group` array<int>, count array<long>, docs array<long>"
-_COLUMNS = ("shared", "rest", "ends", "group", "count", "docs")
-_TYPES = {"shared": pa.int32(), "rest": pa.binary(), "ends": pa.int32(), "group": pa.int32(), "count": pa.int64(), "docs": pa.int64()}
-
-
-def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
+#: Fixed value: the bytes of terms, [^\x00-\x40\x5B-\x60\x7B-\x7F] over UTF-8.
+IN_TERM = np.array([not (b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F) for b in range(256)])
+#: Bytes of text that are cut into terms at once; a longer text is cut by itself, in slices of this size.
+CHUNK = 4 << 20
+#: Counters (a term and a group) that a task holds before it sends its trie on.
+FLUSH = 1 << 20
+#: Bytes of the first prefix, and of terms and counters under one prefix beyond which it is cut deeper.
+HEAD, HEAVY = 3, 64 << 20
+#: Bytes of terms and counters that one merging task reads, about.
+TASK_BYTES = 64 << 20
+
+
+def slices(text: np.ndarray, size: int = CHUNK) -> Iterator[np.ndarray]:
     """The text in pieces of about size bytes, none of which ends inside a term."""
     at = 0
     while at < len(text):
         end = at + size
-        if end < len(text):
-            inside = TERM.match(text, end)
-            end = inside.end() if inside else end
+        while end < len(text):
+            out = np.flatnonzero(~IN_TERM[text[end : end + size]])
+            if len(out):
+                end += int(out[0])
+                break
+            end += size
         yield text[at:end]
         at = end
 
 
-def _piece_batches(terms: Iterator[tuple[bytes, dict]], depth: int, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Terms in byte order, a row for each prefix of depth bytes."""
-    held: list[tuple[bytes, dict[str, list]]] = []
-
-    def batch() -> pa.RecordBatch:
-        heads = pa.array([h for h, _ in held], pa.binary())
-        sizes = pa.array([sum(map(len, p["rest"])) + 16 * len(p["group"]) + 8 * len(p["rest"]) for _, p in held], pa.int64())
-        lists = [pa.array([p[c] for _, p in held], pa.list_(_TYPES[c])) for c in _COLUMNS]
-        return pa.RecordBatch.from_arrays([heads, sizes, *lists], names=["head", "bytes", *_COLUMNS])
-
-    run: list[tuple[bytes, dict]] = []
-    for term, counters in terms:
-        if run and run[0][0][:depth] != term[:depth]:
-            held.append((run[0][0][:depth], packed(run)))
-            run = []
-        run.append((term, counters))
-        if len(held) == rows:
-            yield batch()
-            held = []
-    if run:
-        held.append((run[0][0][:depth], packed(run)))
-    if held:
-        yield batch()
-
-
-def _count(groups: dict[tuple[str, str], int], flush: int):
+def _terms(text: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All terms of some texts, lower-cased, and the row of each."""
+    text = kernels.ascii_lower(text)
+    inside = IN_TERM[text]
+    start, end, row = kernels.spans(inside, offsets)
+    ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(text[inside])]), row
+
+
+def _trie(text: np.ndarray, offsets: np.ndarray, groups: np.ndarray) -> Trie:
+    """The trie of some texts; groups: the group of each row."""
+    terms, row = _terms(text, offsets)
+    coded = terms.dictionary_encode()
+    n = max(1, len(coded.dictionary))
+    # one entry for each term of a row, with its occurrences there
+    key, count = np.unique(row * n + coded.indices.to_numpy(), return_counts=True)
+    return Trie.build(coded.dictionary, key % n, groups[key // n], count, np.ones(len(key), np.int64))
+
+
+def _long_trie(text: np.ndarray, group: int) -> Trie:
+    """The trie of one long text, slice by slice; all of it is one document."""
+    trie = Trie.merge([])
+    for part in slices(text):
+        trie = Trie.merge([trie, _trie(part, np.array([0, len(part)]), np.array([group]))])
+    trie.docs = np.ones(len(trie), np.int64)
+    return trie
+
+
+def _count(groups: dict[tuple[str, str], int], flush: int, chunk: int):
     """mapInArrow function: (text, lang, source) to pieces of tries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # terms are gathered by group first: a trie is entered once for each term and group, not for each word
-        counts: dict[int, Counter] = defaultdict(Counter)
-        docs: dict[int, Counter] = defaultdict(Counter)
-
-        def trie() -> Trie:
-            t = Trie()
-            for g, found in counts.items():
-                seen = docs[g]
-                for term, n in found.items():
-                    t.add(term, g, n, seen[term])
-            counts.clear()
-            docs.clear()
-            return t
-
-        size = 0
+        held: list[Trie] = []
         for batch in batches:
-            columns = [c.cast(pa.binary()).to_pylist() if i == 0 else c.to_pylist() for i, c in enumerate(batch.columns)]
-            for text, lang, source in zip(*columns, strict=True):
-                if not text:
-                    continue
-                g = groups[lang, source]
-                mine = counts[g]
-                size -= len(mine)
-                if len(text) <= SLICE:
-                    terms = TERM.findall(text.translate(LOWER))
-                    mine.update(terms)
-                    docs[g].update(set(terms))
-                else:
-                    seen: set[bytes] = set()
-                    for part in slices(text.translate(LOWER)):
-                        terms = TERM.findall(part)
-                        mine.update(terms)
-                        seen.update(terms)
-                    docs[g].update(seen)
-                size += len(mine)
-                if size >= flush:
-                    yield from _piece_batches(trie().walk(), HEAD)
-                    size = 0
-        yield from _piece_batches(trie().walk(), HEAD)
+            of = np.array([groups[name] for name in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], dtype=np.int64)
+            for lo, hi, text, offsets in kernels.chunks(batch.column(0), chunk):
+                held.append(_long_trie(text, int(of[lo])) if len(text) > chunk else _trie(text, offsets, of[lo:hi]))
+                if sum(map(len, held)) >= flush:
+                    held = [Trie.merge(held)]
+                    # what merging has not made much smaller is sent on
+                    if len(held[0]) >= flush // 2:
+                        yield from held.pop().pieces(HEAD)
+        yield from Trie.merge(held).pieces(HEAD)
 
     return run
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, dict[str, list]]]:
-    columns = {c: batch.column(batch.schema.get_field_index(c)) for c in ("head", *_COLUMNS)}
-    for i in range(batch.num_rows):
-        yield columns["head"][i].as_py(), {c: columns[c][i].as_py() for c in _COLUMNS}
-
-
 def _deeper(depth: int):
     """mapInArrow function: pieces cut by prefixes of depth bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, columns in _rows(batch):
-                yield from _piece_batches(((t, {g: [n, d] for g, n, d in found}) for t, found in unpacked(columns)), depth)
+            yield from Trie.of_pieces(batch).pieces(depth)
 
     return run
 
 
+def _kept(trie: Trie, langs: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """Terms in at least so many documents of a language, with the counters of its groups."""
+    if not len(trie):
+        return
+    lang = langs[trie.group]
+    # groups are numbered language by language, so the counters of a term and a language stand together
+    first = np.flatnonzero(np.concatenate([[True], (trie.line[1:] != trie.line[:-1]) | (lang[1:] != lang[:-1])]))
+    good = np.add.reduceat(trie.docs, first) >= least
+    size = np.diff(np.append(first, len(trie)))
+    inside, ends = np.repeat(good, size), np.concatenate([[0], np.cumsum(size[good])])
+    first = first[good]
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v[inside], kind)) for v, kind in ((trie.group, pa.int32()), (trie.count, pa.int64()))]
+    yield pa.RecordBatch.from_arrays([pa.array(lang[first], pa.int32()), trie.terms.take(pa.array(trie.line[first])), *lists], names=["lang", "term", "group", "count"])
+
+
 def _merge(langs: list[int], least: int):
-    """mapInArrow function: pieces sorted by head to the terms kept, (lang, term, group, count) with lists of groups."""
+    """mapInArrow function: pieces sorted by head to the terms kept. What may go on in the next batch waits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def kept(trie: Trie) -> Iterator[tuple]:
-            for term, counters in trie.walk():
-                docs: Counter = Counter()
-                for g, (_, d) in counters.items():
-                    docs[langs[g]] += d
-                for lang in sorted(docs):
-                    if docs[lang] >= least:
-                        own = sorted((g, c[0]) for g, c in counters.items() if langs[g] == lang)
-                        yield lang, term, [g for g, _ in own], [n for _, n in own]
-
-        def tries() -> Iterator[Trie]:
-            head, trie = None, Trie()
-            for batch in batches:
-                for h, columns in _rows(batch):
-                    if h != head:
-                        yield trie
-                        head, trie = h, Trie()
-                    for term, found in unpacked(columns):
-                        for g, n, d in found:
-                            trie.add(term, g, n, d)
-            yield trie
-
-        rows: list[tuple] = []
-
-        def batch_of() -> pa.RecordBatch:
-            lang, term, group, count = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(term, pa.binary()), pa.array(group, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int64()))], names=["lang", "term", "group", "count"])
-
-        for trie in tries():
-            for row in kept(trie):
-                rows.append(row)
-                if len(rows) == 5000:
-                    yield batch_of()
-                    rows = []
-        if rows:
-            yield batch_of()
+        of, held = np.array(langs), Trie.merge([])
+        for batch in batches:
+            done, held = Trie.merge([held, Trie.of_pieces(batch)]).cut(batch.column(0)[-1].as_py())
+            yield from _kept(done, of, least)
+        yield from _kept(held, of, least)
 
     return run
 
@@ -254,7 +205,7 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     lang_names = sorted({lang for lang, _ in names})
     langs = [lang_names.index(lang) for lang, _ in names]
     with small_batches(spark):
-        pieces = shelf.put(docs.mapInArrow(_count(groups, FLUSH), _PIECE))
+        pieces = shelf.put(docs.mapInArrow(_count(groups, FLUSH, CHUNK), PIECE))
         depth, done = HEAD, []
         # prefixes that are too heavy for one trie are cut deeper; a term that ends at its prefix goes no deeper
         while True:
@@ -263,7 +214,7 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
                 break
             done.append(pieces.join(heavy, "head", "left_anti"))
             depth *= 2
-            pieces = shelf.put(pieces.join(heavy, "head", "left_semi").mapInArrow(_deeper(depth), _PIECE))
+            pieces = shelf.put(pieces.join(heavy, "head", "left_semi").mapInArrow(_deeper(depth), PIECE))
         for more in done:
             pieces = pieces.unionByName(more)
         size = pieces.agg(F.sum("bytes")).first()[0] or 0

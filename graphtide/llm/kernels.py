@@ -44,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -59,7 +59,7 @@ def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK_BYTES, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, side="right")) - 1)
         hi = min(hi, n)
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi

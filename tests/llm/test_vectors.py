@@ -1,11 +1,14 @@
 """Whitening, exact search and source divergence against brute force, over awkward tables."""
 
 import math
+import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,20 +156,31 @@ def test_topk_sends_few_rows_for_many_ties(spark):
     assert [(r["rank"], r.vec_id) for r in sorted(rows, key=lambda r: r["rank"])] == [(i + 1, i) for i in range(5)]
 
 
+def _trie(words, group=lambda w: len(w) % 3):
+    return tries.Trie.build(pa.array(words, pa.binary()), np.arange(len(words)), np.array([group(w) for w in words], np.int64), np.ones(len(words), np.int64), np.ones(len(words), np.int64))
+
+
+def _leaves(t):
+    ends = t.ends()
+    return [(w.as_py(), {int(g): int(n) for g, n in zip(t.group[a:b], t.count[a:b], strict=True)}) for w, a, b in zip(t.terms, ends, ends[1:], strict=False)]
+
+
 def test_trie_is_sorted_and_merges():
     rng = random.Random(5)
     words = ["".join(rng.choices("abü€𝄞", k=rng.randrange(0, 7))).encode() for _ in range(3000)] + [b"a" * 5000, b"a" * 4999]
-    t = tries.Trie()
-    for w in words:
-        t.add(w, len(w) % 3, 1, 1)
-    want = Counter(words)
-    assert [(w, sum(c[0] for c in found.values())) for w, found in t.walk()] == sorted(want.items())
-    again = tries.Trie()
-    for _ in range(2):
-        for w, found in tries.unpacked(tries.packed(t.walk())):
-            for g, n, d in found:
-                again.add(w, g, n, d)
-    assert [(w, sum(c[0] for c in found.values())) for w, found in again.walk()] == sorted((w, 2 * n) for w, n in want.items())
+    t, want = _trie(words), Counter(words)
+    assert _leaves(t) == [(w, {len(w) % 3: n}) for w, n in sorted(want.items())]
+    known = sorted(want)
+    assert t.depth().tolist() == [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(known, known[1:], strict=False)]
+    for depth in (0, 1, 3, 6):
+        pieces = list(t.pieces(depth))
+        heads = [h for p in pieces for h in p.column(0).to_pylist()]
+        assert heads == sorted({w[:depth] for w in words})
+        twice = tries.Trie.merge([tries.Trie.of_pieces(p) for p in pieces + pieces])
+        assert _leaves(twice) == [(w, {len(w) % 3: 2 * n}) for w, n in sorted(want.items())]
+    low, high = t.cut(b"b")
+    assert _leaves(low) + _leaves(high) == _leaves(t) and all(w < b"b" for w, _ in _leaves(low))
+    assert len(tries.Trie.merge([])) == 0 and not list(tries.Trie.merge([]).pieces(3))
 
 
 DOCS = "doc_id long, text string, lang string, source string, item string"
@@ -184,8 +198,6 @@ def _docs():
 
 
 def _divergence(rows, least, top):
-    import re
-
     term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
     up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     docs, counts = defaultdict(Counter), defaultdict(Counter)
@@ -212,9 +224,10 @@ def _divergence(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("flush", "heavy"), [(10, 200), (divergence.FLUSH, divergence.HEAVY)])
-def test_divergence(spark, monkeypatch, flush, heavy):
+@pytest.mark.parametrize(("flush", "chunk", "heavy"), [(10, 100, 2000), (divergence.FLUSH, divergence.CHUNK, divergence.HEAVY)])
+def test_divergence(spark, monkeypatch, flush, chunk, heavy):
     monkeypatch.setattr(divergence, "FLUSH", flush)
+    monkeypatch.setattr(divergence, "CHUNK", chunk)
     monkeypatch.setattr(divergence, "HEAVY", heavy)
     rows = _docs()
     df = spark.createDataFrame(rows, DOCS).repartition(5)
@@ -236,9 +249,10 @@ def test_divergence_query_and_oracle(spark, tmp_path):
 
 def test_slices_cut_no_term():
     text = ("über-all " * 300 + "x" * 500 + " end").encode()
-    parts = list(divergence.slices(text, 50))
+    parts = [p.tobytes() for p in divergence.slices(np.frombuffer(text, np.uint8), 50)]
     assert b"".join(parts) == text and max(map(len, parts)) > 500
-    assert [t for p in parts for t in divergence.TERM.findall(p)] == divergence.TERM.findall(text)
+    term = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    assert [t for p in parts for t in term.findall(p)] == term.findall(text)
 
 
 def test_shares_beyond_long():
