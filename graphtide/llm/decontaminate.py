@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphtide.llm.columns import guarded
 from graphtide.runtime import cut, table
 
 #: Words after A-Z has been lower-cased.
@@ -100,6 +101,7 @@ def _places(joined: DataFrame) -> DataFrame:
     return joined.filter(f"p IS NULL OR ({fits})").select("__k", (F.col("pos") - F.col("p.at")).alias("start"), F.col("p.size").alias("size"), F.col("p.w").alias("w"), F.when(F.col("p").isNull(), F.size("ws").cast("long")).alias("n_words"))
 
 
+@guarded
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_hit, item_ids (sorted strings), n_items and contaminated appended."""
     new = ("n_words", "n_hit", "item_ids", "n_items", "contaminated")

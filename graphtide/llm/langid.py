@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphtide.llm.columns import guarded
 from graphtide.runtime import table
 
 #: Labelled rows that are sampled for each language (in the mean; chosen by a hash of the id).
@@ -89,6 +90,7 @@ def _agreeing(pieces: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
     return {name: kept[name] or pieces[name] for name in pieces}
 
 
+@guarded
 def predict(docs: DataFrame, models: list[tuple[str, bytes]], text: str = "text", keep: list[str | Column] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
     """The kept columns (by default all), with lang_pred, score, margin and rejected appended."""
     new = ("lang_pred", "score", "margin", "rejected")

@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphtide.llm.columns import guarded
 from graphtide.runtime import cut, table
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -108,6 +109,7 @@ def unit(doc_id: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.coalesce(doc_id.cast("string"), F.lit("null")), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+@guarded
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, doc_id: str = "doc_id", text: str = "text", power: float = POWER) -> DataFrame:
     """docs with __source, __lang, __topic, __tokens, probability and kept."""
     held = cells_of(docs.drop("probability", "kept"), text)

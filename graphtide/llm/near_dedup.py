@@ -123,12 +123,20 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text:
     """(node, n, items): the whole sets of the wanted (__id, __h, node, digest); a row without an id is found by its text's hash."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows that are repeated ask for the same set
+        seen: set[int] = set()
         for batch in batches:
-            items = []
+            fresh = []
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    fresh.append(i)
+            batch, items = batch.take(pa.array(fresh, pa.int64())), []
             for _, _, b, off in K.chunks(batch.column(1)):
                 items += shingle_sets(b, off, size)
-            # rows that share an id may hold other texts
+            # a hash of the text may be that of another text
             right = [_digest(x) == d for x, d in zip(items, batch.column(2).to_pylist(), strict=True)]
+            seen.difference_update(n for n, ok in zip(batch.column(0).to_pylist(), right, strict=True) if not ok)
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in items], pa.int64()), pa.array([x.tobytes() for x in items], pa.binary())], names=["node", "n", "items"])
             yield out.filter(pa.array(right, pa.bool_()))
 
@@ -270,7 +278,7 @@ def _components(docs: DataFrame, size: int, num: int, den: int, doc_id: str, tex
     pairs = shelf.put(_estimated(_cold_pairs(prefixes.filter("NOT hot"), num, den), nodes, t))
     wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(prefixes.filter("hot").select("node")).distinct()
     sets = shelf.put(_full_sets(docs, nodes.join(wanted, "node").select(F.col("id").alias("__id"), F.col("h").alias("__h"), "node", "digest"), size, doc_id, text))
-    links = shelf.put(_similar(pairs, sets, num, den).unionByName(_hot_links(prefixes, sets, num, den, shelf)))
+    links = shelf.put(_similar(pairs, sets, num, den).unionByName(_hot_links(prefixes, sets, num, den, shelf)).distinct())
     label = connected_components(links)
     labelled = nodes.select("node", "digest", "id").join(label, "node", "left").select("node", "digest", "id", F.coalesce("component", "node").alias("label"))
     named = labelled.join(labelled.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("node", "digest", "component_id")

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphtide.llm.columns import guarded
 from graphtide.runtime import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +45,7 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+@guarded
 def judge(docs: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "line_chars", "base_failed", "kept")
     df = docs.drop(*new).withColumn("__t", F.coalesce(F.col(text), F.lit("")))

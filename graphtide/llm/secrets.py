@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtide.functions.text import let, prefix_sums
+from graphtide.llm.columns import guarded
 from graphtide.runtime import table
 
 
@@ -175,6 +176,7 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.regex), let(found, lambda f: let(gaps, lambda g: spans(f, g))))
 
 
+@guarded
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with secrets: array<struct<start, ord, kind, stop>> by start, then rule."""
     docs = docs.drop("secrets").withColumn("__k", F.xxhash64(F.col(doc_id), F.col(text)))

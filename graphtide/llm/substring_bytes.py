@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from graphtide.llm import kernels as K
 from graphtide.llm import windows as W
+from graphtide.llm.columns import guarded
 from graphtide.runtime import table
 
 MIN_LENGTH = 50
@@ -154,6 +155,7 @@ def solve(counts: np.ndarray, off: np.ndarray, key: np.ndarray, payload: pa.Arra
     return out
 
 
+@guarded
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_bytes and kept_sha256."""
     new = ("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_sha256")

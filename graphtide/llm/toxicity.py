@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtide.llm import kernels as K
+from graphtide.llm.columns import guarded
 from graphtide.runtime import table
 
 #: Labelled rows of each class that are sampled for training (in the mean; chosen by a hash of the id).
@@ -249,6 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "
     return model
 
 
+@guarded
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
     """The kept columns (by default all) with score, predicted, n_spans and spans (start:end, comma-joined)."""
     new = ("score", "predicted", "n_spans", "spans")

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphtide.llm.columns import guarded
 from graphtide.runtime import table
 
 #: The rules of the contract (host, path prefix, action).
@@ -115,6 +116,7 @@ def host_path(url: str = "url") -> tuple:
     return host, path
 
 
+@guarded
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url: str = "url", default: str = "allow") -> DataFrame:
     """pages with host, path, rule and verdict appended."""
     rules = list(rules)
