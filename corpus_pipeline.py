@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtide.llm import decontaminate, langid, mixing, near_dedup, secrets
+from graphtide.llm.columns import free_name
 from graphtide.runtime import Shelf, table
 
 #: Near-duplicate stage: five-word shingles, similarity of 0.8.
@@ -24,8 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id. Rows that share an id are one
     document; rows without an id stay if any of them leads a group."""
-    kept = near_dedup.components(docs.select("doc_id", "text"), SHINGLE, NUM, DEN).filter("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    name = free_name(docs, "kept_id")
+    kept = near_dedup.components(docs.select("doc_id", "text"), SHINGLE, NUM, DEN).filter("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
