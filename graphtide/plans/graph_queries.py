@@ -280,6 +280,24 @@ def range_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.within(_spans(nodes), _queries(nodes)).select("graph_id", "query_id", "node_id")
 
 
+@query("dyadic_cover", W_TREE + "SELECT graph_id, node_id, CAST(end_id - node_id AS BIGINT) AS covered, true AS few FROM nodes")
+def dyadic_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of every span: together they are as long as the span, and at most two of a level."""
+    c = spatial.cells(tree_nodes(spark, sf_dir).select("graph_id", "node_id", "end_id"), "node_id", F.col("end_id") - 1)
+    by_level = c.groupBy("graph_id", "node_id", "level").agg(F.count("*").alias("n"))
+    size = F.expr("sum(n * shiftleft(1L, level))").alias("covered")
+    return by_level.groupBy("graph_id", "node_id").agg(size, (F.max("n") <= 2).alias("few"))
+
+
+@query("range_strategies", _W_RANGES + "SELECT s.strategy, query_id, count(*) AS n FROM nodes n JOIN ranges q ON q.graph_id = n.graph_id AND node_id <= q_start AND q_end <= end_id, (VALUES ('dyadic'), ('bins'), ('scan')) s(strategy) GROUP BY ALL")
+def range_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every strategy finds the same spans around every range."""
+    nodes = tree_nodes(spark, sf_dir)
+    spans, asked = _spans(nodes), _queries(nodes)
+    found = [spatial.RangeIndex(spans, s).containing(asked).groupBy(F.lit(s).alias("strategy"), "query_id").agg(F.count("*").alias("n")) for s in spatial.RangeIndex.STRATEGIES]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 _PRIO = "CASE node_type WHEN 'TranslationUnit' THEN 0 WHEN 'Block' THEN 1 WHEN 'Function' THEN 2 WHEN 'Statement' THEN 3 ELSE 4 END"
 
 

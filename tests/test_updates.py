@@ -316,8 +316,10 @@ def test_strategies_logs_and_queues(spark, tmp_path):
     spans = spark.createDataFrame([(1, i, a, a + rng.randrange(1, 90)) for i, a in enumerate(rng.choices(range(300), k=40))], "graph_id long, node_id long, start long, end long")
     queries = spark.createDataFrame([(1, q, a, a + rng.randrange(1, 9)) for q, a in enumerate(rng.choices(range(300), k=15))], "graph_id long, query_id long, q_start long, q_end long")
     for find in ("overlapping", "containing"):
-        one, two = ([tuple(sorted(r.asDict().items())) for r in getattr(spatial.RangeIndex(spans, w), find)(queries).collect()] for w in (16, None))
-        assert sorted(one) == sorted(two)
+        found = [sorted(tuple(sorted(r.asDict().items())) for r in getattr(spatial.RangeIndex(spans, s, 16), find)(queries).collect()) for s in spatial.RangeIndex.STRATEGIES]
+        assert found[0] == found[1] == found[2] and found[0]
+    with pytest.raises(ValueError, match="unknown"):
+        spatial.RangeIndex(spans, "tree")
     done = fixpoint.work_off(spark.createDataFrame([(1,), (1,), (40,)], "n long"), lambda q: q.select((F.col("n") * 2).alias("n")).filter("n < 100"))
     assert sorted(r["n"] for r in done.collect()) == [1, 2, 4, 8, 16, 32, 40, 64, 80]
     with pytest.raises(RuntimeError):
