@@ -17,7 +17,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = sql
+            # rows in order: DuckDB does not end when it streams rows out of a join on a materialised part into a LIMIT
+            ORACLES[name] = f"SELECT * FROM ({sql}) ORDER BY ALL"
         return f
 
     return register

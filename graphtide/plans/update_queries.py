@@ -11,7 +11,7 @@ from graphtide.plans.catalog import query
 from graphtide.plans.io_queries import _folder
 from graphtide.runtime import table
 from graphtide.sources.store import GraphStore
-from graphtide.streaming import durable, views
+from graphtide.streaming import changes, commits, durable, views
 
 # after every return statement two new rows come, and one before the first child of every function
 _NEW = """added AS (SELECT graph_id, parent_id, 1000000 + 2 * node_id + s AS node_id, node_id AS after, s AS seq FROM nodes, (VALUES (0), (1)) v(s) WHERE depth = 2 AND kind = 'return_statement'
@@ -118,3 +118,15 @@ def stored_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _store(spark, sf_dir)
     count = lambda edges, kind, side: edges.groupBy("edge_type", F.col(kind).alias("kind"), F.lit(side).alias("side")).agg(F.count("*").alias("n"))
     return count(store.sources("kind"), "src_kind", "leaves").unionByName(count(store.targets("kind"), "dst_kind", "enters"))
+
+
+@query("commit_processor_run", "SELECT path, step, file, CASE WHEN p IS NULL THEN 'baseline' WHEN p = h THEN 'unchanged' ELSE 'changed' END AS action FROM (SELECT *, lag(h) OVER (PARTITION BY path, file ORDER BY step) AS p FROM (SELECT coalesce(source, '') AS path, doc_id AS step, coalesce(lang, '') AS file, coalesce(sha256(text), '') AS h FROM documents))")
+def commit_processor_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commit processor over all documents as versions of a file for each language of each source, through its own source."""
+    own, folder = commits.with_rocksdb(spark), _folder(spark)
+    d = table(own, sf_dir, "documents")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    v = d.select(blank(F.col("source")).alias("path"), F.col("doc_id").alias("step"), blank(F.col("lang")).alias("file"), blank(F.sha2("text", 256)).alias("content_hash"))
+    commits.write_versions(v, f"{folder}/versions", steps_per_batch=1 << 20)
+    done = changes.drained(commits.commits(commits.version_stream(own, f"{folder}/versions", 1 << 30)), folder)
+    return spark.read.schema(done.schema).parquet(f"{folder}/out")
