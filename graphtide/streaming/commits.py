@@ -8,11 +8,11 @@ few files, which the tasks read themselves: the folder must be one that pyarrow
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -86,13 +86,11 @@ def write_versions(versions: DataFrame, folder: str, steps_per_batch: int = 1) -
 
 
 def version_stream(spark: SparkSession, folder: str, batches_per_trigger: int = 1) -> DataFrame:
-    try:
-        spark.dataSource.register(VersionFeed)
-    except AnalysisException as e:
-        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":  # sessions of one application share it
-            raise
+    # a name is known to the session that registered it alone, yet refused to all others: every stream has its own
+    own = f"versions_{uuid.uuid4().hex}"
+    spark.dataSource.register(type("VersionFeed", (VersionFeed,), {"name": classmethod(lambda cls: own)}))
     files = {d.removeprefix("steps="): [f"{folder}/{d}/{f}" for f in listed(spark, f"{folder}/{d}") if f.endswith(".parquet")] for d in listed(spark, folder) if d.startswith("steps=")}
-    return spark.readStream.format("versions").option("files", json.dumps(files)).option("batchesPerTrigger", str(batches_per_trigger)).load()
+    return spark.readStream.format(own).option("files", json.dumps(files)).option("batchesPerTrigger", str(batches_per_trigger)).load()
 
 
 class CommitProcessor(StatefulProcessor):
