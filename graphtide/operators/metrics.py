@@ -176,3 +176,22 @@ def availability(df: DataFrame, *columns: str) -> DataFrame:
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
+
+
+#: Size of a sketch: a rank is wrong by less than half a percent.
+SKETCH_K = 800
+
+
+def quantile_sketches(df: DataFrame, by: list[str], column: str, k: int = SKETCH_K) -> DataFrame:
+    """(by, sketch): mergeable KLL sketches, built before the shuffle; nulls are left out. What is stored by day can be merged by month."""
+    return df.filter(F.col(column).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(column).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: list[str], k: int = SKETCH_K) -> DataFrame:
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, by: list[str], ranks: list[float]) -> DataFrame:
+    """(by, n, rank, value)."""
+    at = F.explode(F.array(*[F.struct(F.lit(p).alias("rank"), F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias("value")) for p in ranks]))
+    return sketches.select(*by, F.kll_sketch_get_n_double("sketch").alias("n"), at.alias("q")).select(*by, "n", "q.rank", "q.value")

@@ -122,6 +122,12 @@ def min_label_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.min_labels(_links(spark, sf_dir), max_rounds=None)[0]
 
 
+@query("active_label_program", f"WITH {_LINKS}, {_LABELS} SELECT id, label FROM c12")
+def active_label_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same components, with messages from changed vertices only."""
+    return fixpoint.min_labels_active(_links(spark, sf_dir))[0]
+
+
 @query("bfs_layers", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), b(id, level) AS (SELECT s, 0 FROM (SELECT min(dst) AS s FROM links) UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.id WHERE b.level < 12), l AS (SELECT id, min(level) AS level FROM b GROUP BY 1) SELECT l.id, CAST(l.level AS INT) AS level, (SELECT min(p.id) FROM l p JOIN e ON e.src = p.id WHERE e.dst = l.id AND p.level = l.level - 1) AS parent FROM l")
 def bfs_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _links(spark, sf_dir)

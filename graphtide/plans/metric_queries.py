@@ -135,6 +135,16 @@ def availability_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.availability(li, "l_discount", "l_tax", "odd")
 
 
+@query("sketch_quantiles", W + "SELECT repo, CAST(rank AS DOUBLE) AS rank, count(*) AS n, true AS within FROM metrics, (VALUES (0.1), (0.25), (0.5), (0.75), (0.9)) v(rank) GROUP BY ALL")
+def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of full timings from sketches by step, merged by repository; each is checked against the exact ranks of its value."""
+    m = metrics(spark, sf_dir).select("repo", "step", F.col("full_ms").cast("double").alias("x"))
+    merged = M.merge_sketches(M.quantile_sketches(m, ["repo", "step"], "x"), ["repo"])
+    q = M.sketch_quantiles(merged, ["repo"], [0.1, 0.25, 0.5, 0.75, 0.9])
+    ranked = m.join(q, "repo").groupBy("repo", "rank", "n").agg(F.avg((F.col("x") < F.col("value")).cast("int")).alias("low"), F.avg((F.col("x") <= F.col("value")).cast("int")).alias("high"))
+    return ranked.select("repo", "rank", "n", F.col("rank").between(F.col("low") - 0.01, F.col("high") + 0.01).alias("within"))
+
+
 @query("kpis", W + "SELECT count(*) AS n, count(*) FILTER (same = 1) AS n_same, count(DISTINCT repo) AS n_repos, round(100 * avg(CAST(same = 1 AS INT)), 6) AS pct_same FROM metrics")
 def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("same") == 1
