@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtide.operators import graph, ordering
+from graphtide.operators import graph, ordering, tree, treediff
 from graphtide.plans.adapters import EDGES_SQL, TREE_SQL, tree_nodes
 from graphtide.plans.catalog import query
 from graphtide.plans.io_queries import _folder
@@ -130,3 +130,35 @@ def commit_processor_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits.write_versions(v, f"{folder}/versions", steps_per_batch=1 << 20)
     done = changes.drained(commits.commits(commits.version_stream(own, f"{folder}/versions", 1 << 30)), folder)
     return spark.read.schema(done.schema).parquet(f"{folder}/out")
+
+
+# the new version of the order tree has other kinds for some leaves and for some whole functions
+_TOUCHED = "(n.depth = 2 AND n.node_id % 11 = 0) OR (n.depth = 1 AND n.child_ord % 13 = 0)"
+_RANGES = f"""d AS (SELECT n.graph_id, n.node_id AS p FROM nodes n LEFT JOIN nodes q ON q.graph_id = n.graph_id AND q.node_id = n.parent_id WHERE {_TOUCHED} OR (n.depth = 2 AND q.child_ord % 13 = 0)),
+i AS (SELECT graph_id, p, p - row_number() OVER (PARTITION BY graph_id ORDER BY p) AS island FROM d),
+r AS MATERIALIZED (SELECT graph_id, min(p) AS start, CAST(max(p) + 1 AS BIGINT) AS "end" FROM i GROUP BY graph_id, island)"""
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tree_nodes(spark, sf_dir)
+    kind = F.when(F.expr(_TOUCHED.replace("n.", "")), "modified").otherwise(F.col("kind"))
+
+    def spans(version: DataFrame) -> DataFrame:
+        paths = tree.paths_to_root(version)
+        return version.select("graph_id", "node_id", "parent_id", F.col("node_id").alias("start"), F.col("end_id").alias("end"), "depth").join(paths, ["graph_id", "node_id"])
+
+    return treediff.changed_ranges(spans(nodes), spans(nodes.withColumn("kind", kind)))
+
+
+@query("changed_tree_ranges", f"WITH {TREE_SQL}, {_RANGES} SELECT graph_id, start, \"end\" FROM r")
+def changed_tree_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal ranges in which two versions of every tree differ, by the sweep; the SQL compares position by position."""
+    return _changed(spark, sf_dir)
+
+
+@query("changed_ranges_met", f"WITH {TREE_SQL}, {_RANGES}, e AS (SELECT graph_id, node_id AS start FROM nodes WHERE depth = 1 AND child_ord % 13 = 0), v AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.graph_id = r.graph_id AND e.start = r.start) THEN 'hit' ELSE 'unexpected' END AS verdict FROM r UNION ALL SELECT 'missing' FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE e.graph_id = r.graph_id AND e.start = r.start)) SELECT verdict, count(*) AS n FROM v GROUP BY 1")
+def changed_ranges_met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed ranges against expectations: one starts at every changed function, wherever it ends."""
+    nodes = tree_nodes(spark, sf_dir).filter("depth = 1 AND child_ord % 13 = 0")
+    expected = nodes.select("graph_id", F.col("node_id").alias("start"), F.lit(None).cast("long").alias("end"))
+    return treediff.met(_changed(spark, sf_dir), expected, ["graph_id"], ["start", "end"]).groupBy("verdict").agg(F.count("*").alias("n"))
