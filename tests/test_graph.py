@@ -88,13 +88,13 @@ def test_binned_joins_equal_plain_joins(spark):
     s = spark.createDataFrame(spans, "graph_id int, node_id int, start int, end int, node_type string")
     q = spark.createDataFrame(queries, "graph_id int, query_id int, q_start int, q_end int")
     for f, test in ((spatial.overlap, lambda a, z, s, e: a <= e and s < z), (spatial.within, lambda a, z, s, e: a < e and s < z)):
-        got = sorted((r["graph_id"], r["query_id"], r["node_id"]) for r in f(s, q, width=50).collect())
+        got = sorted((r["graph_id"], r["query_id"], r["node_id"]) for r in f(s, q).collect())
         assert got == sorted((g, k, n) for g, k, x, y in queries for g2, n, a, b, _ in spans if g == g2 and test(min(x, y), max(x, y), a, b))
     points = q.select("graph_id", "query_id", F.col("q_start").alias("point"))
-    got = sorted((r["graph_id"], r["query_id"], r["node_id"]) for r in spatial.stab(s, points, width=50).collect())
+    got = sorted((r["graph_id"], r["query_id"], r["node_id"]) for r in spatial.stab(s, points).collect())
     assert got == sorted((g, k, n) for g, k, x, _ in queries for g2, n, a, b, _ in spans if g == g2 and a <= x < b)
     forward = [x for x in queries if x[2] <= x[3]]
-    got = {(r["graph_id"], r["query_id"]): r["node_id"] for r in spatial.smallest_containing(s, spark.createDataFrame(forward, q.schema), width=50).collect()}
+    got = {(r["graph_id"], r["query_id"]): r["node_id"] for r in spatial.smallest_containing(s, spark.createDataFrame(forward, q.schema)).collect()}
     for g, k, x, y in forward:
         fits = [(b - a, spatial.PRIORITY.get(t, 4), a, n) for g2, n, a, b, t in spans if g == g2 and a <= x and y <= b]
         assert got.get((g, k)) == (min(fits)[3] if fits else None)

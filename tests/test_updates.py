@@ -356,7 +356,7 @@ def test_parents_of_ranges_against_all_spans(spark):
                 want[q] = min(fits)[3]
         s = spark.createDataFrame(spans, "graph_id long, node_id long, start long, end long, node_type string")
         q = spark.createDataFrame(asked, "graph_id long, query_id int, q_start long, q_end long")
-        got = spatial.parent_for_range(s, q, width=16).collect()
+        got = spatial.parent_for_range(s, q).collect()
         assert {r["query_id"]: r["node_id"] for r in got} == want and all(r["graph_id"] == 1 for r in got)
 
 
