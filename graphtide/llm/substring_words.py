@@ -4,7 +4,8 @@ Rounds name tokens by content: runs of up to MAX_RUN equal symbols become one sy
 of the left class and whose second is of the right class (a hash bit of the name decides) become one. A name is a hash
 of what it stands for, so equal word sequences get equal names everywhere, except near their ends, where the
 surroundings decide; each symbol carries the extent of words that decided it. Neighbouring high-level symbols decided
-inside a window are its anchors; documents that share one are compared, and windows are verified by the hash of all their words.
+inside a window are its anchors; documents that share one are compared, and windows are verified by 128 bits: the hash of
+all their words (64), and the anchor and its place (64).
 
 Defined results: null and empty texts have no words; texts under a window's length lose nothing; equal ids never
 remove from each other; rows with a null id lose nothing and remove nothing. Result columns replace input columns of
@@ -101,8 +102,8 @@ def make(b: np.ndarray, offsets: np.ndarray):
     f = W.fragments(prefix, bounds, WINDOW, *anchors(code, bounds))
 
     def payload(f: W.Fragments) -> pa.Array:
-        """Five bytes of the hash of each window."""
-        return W.binaries(prefix.hash(W.spread(f.first, f.count), WINDOW).view(np.uint8).reshape(-1, 8)[:, :5], f.count * 5)
+        """The hash of each window."""
+        return W.binaries(prefix.hash(W.spread(f.first, f.count), WINDOW).view(np.uint8), f.count * 8)
 
     return f, prefix, bounds, payload
 
@@ -110,16 +111,17 @@ def make(b: np.ndarray, offsets: np.ndarray):
 def solve(counts: np.ndarray, off: np.ndarray, key: np.ndarray, payload: pa.Array, least: np.ndarray) -> np.ndarray:
     data = np.frombuffer(payload.buffers()[2], np.uint8)
     ends = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + len(payload) + 1]
-    five = data[ends[0] : ends[-1]].reshape(-1, 5).astype(np.uint64)
-    h = (five << (np.arange(5, dtype=np.uint64) * _U(8))).sum(axis=1, dtype=np.uint64)
+    window = data[ends[0] : ends[-1]].copy().view(np.uint64)
     inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     place = (np.repeat(off, counts) - inner).astype(np.uint64)
-    full = K.mix(np.repeat(K.mix(key), counts) ^ K.mix(h + (place << _U(40))))
-    order = np.argsort(full, kind="stable")
-    head = np.flatnonzero(np.append(True, full[order][1:] != full[order][:-1]))
+    # 128 bits: the hash of all words, and the anchor with its place in the window
+    anchor = np.repeat(K.mix(key), counts) ^ K.mix(place)
+    order = np.lexsort((anchor, window))
+    w, a = window[order], anchor[order]
+    head = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (a[1:] != a[:-1])))
     low = np.minimum.reduceat(np.repeat(least, counts)[order], head)
-    out = np.empty(len(full), np.int64)
-    out[order] = np.repeat(low, np.diff(np.append(head, len(full))))
+    out = np.empty(len(window), np.int64)
+    out[order] = np.repeat(low, np.diff(np.append(head, len(window))))
     return out
 
 

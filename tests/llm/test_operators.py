@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphtide.llm import windows as W
 from graphtide.llm import catalog, decontaminate, langid, mixing, near_dedup, quality, secrets, substring_bytes, substring_words, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -304,6 +305,24 @@ def test_window_classes_are_exact():
         assert len(windows) == len(names) and len(set(zip(windows, names, strict=True))) == len(set(windows)) == len(set(names))
 
 
+def test_windows_under_one_anchor_are_told_apart_by_all_bits():
+    """Windows with one anchor and one place, whose hashes differ in any single bit only, stay apart; equal ones meet."""
+    n = 65
+    base = np.uint64(0x0123456789ABCDEF)
+    window = np.append(base ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)), [base, base])
+    counts = np.ones(n + 1, np.int64)
+    payload = W.binaries(window.view(np.uint8), counts * 8)
+    least = np.arange(n + 1, dtype=np.int64)[::-1].copy()
+    off, key = np.full(n + 1, 7, np.int64), np.full(n + 1, 99, np.uint64)
+    got = substring_words.solve(counts, off, key, payload, least)
+    assert got.tolist() == [*range(n, 1, -1), 0, 0]
+    off[-1] = 8  # another place of the anchor
+    assert substring_words.solve(counts, off, key, payload, least).tolist() == least.tolist()
+    # several windows a fragment: the anchor's place falls by one a window, so windows of fragments of other offsets meet
+    got = substring_words.solve(np.array([3, 2]), np.array([9, 8]), key[:2], W.binaries(window[[0, 1, 2, 1, 3]].view(np.uint8), np.array([24, 16])), np.array([5, 4]))
+    assert got.tolist() == [5, 4, 5, 4, 4]
+
+
 def test_symbols_of_equal_words_are_equal_inside():
     rng = np.random.default_rng(5)
     for _ in range(60):
