@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     state = lambda e: e.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
     before = None
     for _ in range(max_rounds):
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges)), edges)
         now = state(edges)
         if now == before:
             break

@@ -111,6 +111,27 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
     return inside.join(F.broadcast(moved), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """df with the number of each row, from 1, among the rows of its key in the order of the columns; no key is one task.
+
+    Rows are dealt in ranges of key and order; a key's rows in the ranges before, one number for each range, move the numbers inside.
+    """
+    ranged = cut(df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n")).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__of"), before.alias("__before"))
+    inside = ranged.withColumn(name, F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order)))
+    same = (F.col("__range") == F.col("__of")) & reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return inside.join(sizes, same).select(*df.columns, (F.col(name) + F.col("__before")).alias(name))
+
+
+def consecutive(df: DataFrame, by: list[str], order: list[str], values: list[str], name: str = "step") -> DataFrame:
+    """df with its number (name) and, as previous_<value>, the values of the row before of the same key: numbers meet, no window over a key."""
+    rows = numbered(df, by, order, name)
+    last = rows.select(*[F.col(c).alias(f"__{c}") for c in by], (F.col(name) + 1).alias("__next"), *[F.col(v).alias(f"previous_{v}") for v in values])
+    same = (F.col(name) == F.col("__next")) & reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return rows.join(last, same, "left").select(*rows.columns, *[f"previous_{v}" for v in values])
+
+
 def variance_ratio(df: DataFrame, value: str, order: str, key: str) -> DataFrame:
     """Population variance of the last quarter of the rows over that of the first, by exact ranks."""
     ranked = running_total(df.select(value, order, key, F.lit(1).alias("__one")), [order, key], "__one", "__rank")

@@ -43,11 +43,12 @@ def _climbed(nodes: DataFrame, wanted: Column, levels: int) -> DataFrame:
     """(graph_id, node_id, found): every node points to itself if it is wanted, else to its parent; pointers are followed twice as far each round."""
     here = cut(nodes.select("graph_id", "node_id", F.when(wanted, F.col("node_id")).otherwise(F.col("parent_id")).alias("found"), wanted.alias("ok")))
     wanted_ids = here.filter("ok").select("graph_id", F.col("node_id").alias("found"), F.lit(True).alias("good"))
-    here = here.drop("ok")
+    here, held = here.drop("ok"), []
     for _ in range(max(1, levels.bit_length())):
         hop = here.select("graph_id", F.col("node_id").alias("found"), F.col("found").alias("on"))
         # a pointer past the root is null and stays so
-        here = cut(here.join(hop, ["graph_id", "found"], "left").select("graph_id", "node_id", F.col("on").alias("found")))
+        here = cut(here.join(hop, ["graph_id", "found"], "left").select("graph_id", "node_id", F.col("on").alias("found")), *held)
+        held = [here]
     return here.join(wanted_ids, ["graph_id", "found"], "left").select("graph_id", "node_id", F.when(F.col("good"), F.col("found")).alias("found"))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphtide.operators.metrics import consecutive
 from graphtide.runtime import stored, table
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -111,10 +112,17 @@ flow AS MATERIALIZED (SELECT user_id AS graph_id, row_number() OVER (PARTITION B
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, step, old, new): consecutive texts of a source; old is null for the first."""
+    """(path, step, old, new): consecutive texts of a source; old is null for the first. Ids are numbered, and texts meet by them."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return d.select(F.col("source").alias("path"), F.row_number().over(w).cast("long").alias("step"), F.lag("text").over(w).alias("old"), F.col("text").alias("new"))
+    steps = consecutive(d.select("source", "doc_id"), ["source"], ["doc_id"], ["doc_id"])
+    old = d.select(F.col("doc_id").alias("previous_doc_id"), F.col("text").alias("old"))
+    return steps.join(d.select("doc_id", "text"), "doc_id").join(old, "previous_doc_id", "left").select(F.col("source").alias("path"), "step", "old", F.col("text").alias("new"))
+
+
+def version_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, doc_id, step, content_hash, previous_content_hash): consecutive versions of a source by their hashes; no text moves."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), "doc_id", F.sha2("text", 256).alias("content_hash"))
+    return consecutive(d, ["path"], ["doc_id"], ["content_hash"])
 
 
 VERSIONS_SQL = """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphtide.operators import control, fixpoint, graph
 from graphtide.operators.components import connected_components
-from graphtide.plans.adapters import FLOW_SQL, TREE_SQL, flow, tree_nodes
+from graphtide.plans.adapters import FLOW_SQL, TREE_SQL, flow, tree_nodes, version_hashes
 from graphtide.plans.catalog import query
 from graphtide.runtime import stored, table
 
@@ -197,9 +197,8 @@ def write_sets_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("commit_stream_state", "SELECT doc_id, source, CASE WHEN p IS NULL THEN 'baseline' WHEN p = h THEN 'unchanged' ELSE 'changed' END AS action FROM (SELECT doc_id, source, sha256(text) AS h, lag(sha256(text)) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents)")
 def commit_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch twin of the stateful commit stream: per path, what each version does to the state."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    p = F.lag("h").over(Window.partitionBy("source").orderBy("doc_id"))
-    return d.withColumn("p", p).select("doc_id", "source", F.when(F.col("p").isNull(), "baseline").when(F.col("p") == F.col("h"), "unchanged").otherwise("changed").alias("action"))
+    h, p = F.col("content_hash"), F.col("previous_content_hash")
+    return version_hashes(spark, sf_dir).select("doc_id", F.col("path").alias("source"), F.when(p.isNull(), "baseline").when(p == h, "unchanged").otherwise("changed").alias("action"))
 
 
 @query("call_graph", W + ", c AS (SELECT graph_id, var AS caller, lead(var) OVER (PARTITION BY graph_id ORDER BY node_id) AS callee, node_type FROM tf) SELECT graph_id, caller, callee, count(*) AS n FROM c WHERE node_type = 'Call' AND callee IS NOT NULL GROUP BY ALL")

@@ -9,6 +9,7 @@ from graphtide.functions import diff as D
 from graphtide.functions import patchgen
 from graphtide.operators import frontends as fe
 from graphtide.operators import graph
+from graphtide.operators.metrics import numbered
 from graphtide.plans.adapters import TREE_SQL, metrics, tree_nodes
 from graphtide.plans.adapters import METRICS_SQL
 from graphtide.plans.catalog import query
@@ -82,11 +83,9 @@ def python_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("commit_stream_run", "SELECT path, step, CASE WHEN p IS NULL THEN 'baseline' WHEN p = h THEN 'unchanged' ELSE 'changed' END AS action FROM (SELECT source AS path, row_number() OVER w AS step, sha256(text) AS h, lag(sha256(text)) OVER w AS p FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))")
 def commit_stream_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful commit stream over all versions of every path, run to its end."""
-    from pyspark.sql import Window
-
     folder = _folder(spark)
-    w = Window.partitionBy("source").orderBy("doc_id")
-    v = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.row_number().over(w).cast("long").alias("step"), F.sha2("text", 256).alias("content_hash"))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), "doc_id", F.sha2("text", 256).alias("content_hash"))
+    v = numbered(d, ["path"], ["doc_id"], "step").select("path", "step", "content_hash")
     v.write.parquet(f"{folder}/versions")
     stream = spark.readStream.schema(v.schema).parquet(f"{folder}/versions")
     return changes.drained(changes.commit_stream(stream), folder).select("path", "step", "action")

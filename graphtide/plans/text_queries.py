@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphtide.functions import diff as D
 from graphtide.functions import text as X
 from graphtide.operators import spatial
-from graphtide.plans.adapters import VERSIONS_SQL, versions
+from graphtide.plans.adapters import VERSIONS_SQL, version_hashes, versions
 from graphtide.plans.catalog import query
 from graphtide.runtime import table
 
@@ -70,10 +70,8 @@ def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("changed_versions", W + "SELECT path, step, CASE WHEN old IS NULL THEN 'new' ELSE 'changed' END AS status, sha256(new) AS content_hash FROM versions WHERE old IS DISTINCT FROM new")
 def changed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes, not texts, are carried to the comparison."""
-    w = Window.partitionBy("path").orderBy("doc_id")
-    v = _docs(spark, sf_dir).select(F.col("source").alias("path"), "doc_id", F.sha2("text", 256).alias("content_hash"))
-    v = v.select("path", F.row_number().over(w).cast("long").alias("step"), "content_hash", F.lag("content_hash").over(w).alias("previous"))
-    return v.filter(~F.col("previous").eqNullSafe(F.col("content_hash"))).select("path", "step", F.when(F.col("previous").isNull(), "new").otherwise("changed").alias("status"), "content_hash")
+    v = version_hashes(spark, sf_dir).filter(~F.col("previous_content_hash").eqNullSafe(F.col("content_hash")))
+    return v.select("path", "step", F.when(F.col("previous_content_hash").isNull(), "new").otherwise("changed").alias("status"), "content_hash")
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash, CAST(strlen(text) AS INT) AS n_bytes FROM documents")

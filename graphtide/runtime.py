@@ -65,11 +65,26 @@ def small_batches(spark: SparkSession, rows: int = 1000):
     return _set(spark, key, str(min(rows, before) if before > 0 else rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the checkpoint folder, so that a lost executor costs no recomputation."""
+def cut(df: DataFrame, *instead: DataFrame) -> DataFrame:
+    """Materialise in the checkpoint folder, so that a lost executor costs no recomputation.
+
+    instead: tables that came from cut and that nothing reads any more once the new one is there; their files are taken
+    down, so a loop holds the tables of one round however many rounds it has.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     with tidy(df.sparkSession):
-        return df.checkpoint(eager=True)
+        new = df.checkpoint(eager=True)
+    for old in instead:
+        uncut(old)
+    return new
+
+
+def uncut(*tables: DataFrame) -> None:
+    """Take down tables that came from cut."""
+    for df in tables:
+        folder = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if folder.isDefined():
+            remove(df.sparkSession, folder.get())
 
 
 class Shelf:

@@ -397,3 +397,50 @@ def test_flow_by_messages_has_the_same_next_statements(spark):
         assert pairs[0] == pairs[1]
     kinds = lambda e: {(r["graph_id"], r["src"], r["dst"]) for r in e if r["edge_type"] in ("ControlFlowTrue", "ControlFlowFalse")}
     assert kinds(got) == kinds(want)
+
+
+def _checkpoints(spark):
+    from graphtide.runtime import ensure_checkpoint_dir, listed
+
+    folder = ensure_checkpoint_dir(spark)
+    return sum(len([n for n in listed(spark, f"{folder}/{d}") if n.startswith("rdd-")]) for d in listed(spark, folder))
+
+
+def test_loops_leave_the_tables_of_one_round(spark):
+    """However long a path is, and so however many rounds, what a loop leaves behind is its result."""
+    from graphtide.operators import components, fixpoint
+
+    def path(n):
+        return spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+
+    def left(of):
+        out = []
+        for n in (3, 24):
+            before = _checkpoints(spark)
+            rows = of(path(n)).count()
+            assert rows >= n
+            out.append(_checkpoints(spark) - before)
+        return out
+
+    flow = lambda e: e.select(F.lit(1).alias("graph_id"), F.col("src").alias("node_id"), F.array(F.lit("v")).alias("reads"), F.when(F.col("src") == 0, F.array(F.lit("v"))).otherwise(F.array().cast("array<string>")).alias("writes"))
+    assert left(components.connected_components) == [1, 1]
+    assert left(lambda e: fixpoint.min_labels(e, None)[0]) == [1, 1]
+    assert left(lambda e: fixpoint.min_labels_active(e)[0]) == [1, 1]
+    assert left(lambda e: fixpoint.work_off(e.select("src"), lambda q: q.select((F.col("src") % 5 + 1).alias("src")))) == [1, 1]
+    assert max(left(lambda e: fixpoint.bfs(e, spark.createDataFrame([(0,)], "id long")))) <= 5
+    assert left(lambda e: fixpoint.reaching_definitions(flow(e), e.select(F.lit(1).alias("graph_id"), "src", "dst")).unionByName(spark.range(24).selectExpr("1 graph_id", "id writer", "id reader", "'x' var"))) == [1, 1]
+
+
+def test_numbers_and_rows_before_of_hot_keys(spark):
+    """One key holds most rows, one is null, several rows tie with no other key: equal to a window over each key."""
+    from pyspark.sql import Window
+
+    from graphtide.operators import metrics
+
+    rows = [("hot", i, i * 7 % 11) for i in range(400)] + [(None, i, i) for i in range(9)] + [(f"k{i % 30}", i, None) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(7)
+    w = Window.partitionBy("k").orderBy("i")
+    want = df.select("k", "i", "v", F.row_number().over(w).alias("step"), F.lag("v").over(w).alias("previous_v")).collect()
+    got = metrics.consecutive(df, ["k"], ["i"], ["v"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    assert metrics.consecutive(df.limit(0), ["k"], ["i"], ["v"]).count() == 0
