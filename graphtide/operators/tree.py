@@ -171,9 +171,9 @@ def paths_to_root(nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("graph_id", "node_id", "path")
 
 
-def child_paths(nodes: DataFrame) -> DataFrame:
-    """nodes with path: child ordinals from the root, by pointer jumping: rounds follow the logarithm of the depth."""
-    ord_ = F.lpad(F.col("child_ord").cast("string"), 7, "0")
+def child_paths(nodes: DataFrame, cell: Column | None = None) -> DataFrame:
+    """nodes with path: child ordinals (or cell, of fixed width) from the root, by pointer jumping: rounds follow the logarithm of the depth."""
+    ord_ = F.lpad(F.col("child_ord").cast("string"), 7, "0") if cell is None else cell
     here = nodes.select("graph_id", "node_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), "").otherwise(ord_).alias("path"))
     for _ in range(int(nodes.agg(F.max("depth")).first()[0] or 0).bit_length()):
         above = here.select("graph_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("front"))
