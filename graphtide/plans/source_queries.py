@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtide.functions import diff as D
-from graphtide.operators import control, fixpoint, graph, incremental
+from graphtide.operators import control, fixpoint, graph, incremental, splice
 from graphtide.operators import frontends as fe
 from graphtide.plans.catalog import query
 from graphtide.runtime import Shelf, stored, table
@@ -85,6 +85,18 @@ def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _figures(incremental.update(old_store(spark, sf_dir), sources(spark, sf_dir, True), Shelf(spark).put))
 
 
+@query("subtree_splice", f"SELECT 'g' || (p_partkey // {GROUP}) AS graph_id, count(*) AS n_functions, count(*) FILTER (p_size % 2 = 0) AS n_branches, CAST(0 AS BIGINT) AS n_wrong FROM part WHERE p_partkey % 13 <> 0 GROUP BY 1")
+def subtree_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old version's tree of every file with the changed subtrees rebuilt in place; n_wrong: rows that differ from the new version's tree."""
+    old = stored(spark, "old tree", [f"{sf_dir}/part.parquet"], lambda: splice.rows(fe.build(sources(spark, sf_dir))))
+    new = Shelf(spark).put(fe.build(sources(spark, sf_dir, True)))
+    got = splice.renumbered(splice.spliced(old, splice.splice(old, new)))
+    what = F.struct(*[c for c in new.columns if c not in ("graph_id", "node_id")])
+    both = got.withColumn("got", what).join(new.select("graph_id", "node_id", what.alias("want")), ["graph_id", "node_id"], "full_outer")
+    of = lambda t: F.count_if(F.col("got.node_type") == t)
+    return both.groupBy("graph_id").agg(of("Function").alias("n_functions"), of("Branch").alias("n_branches"), F.count_if(~F.col("got").eqNullSafe(F.col("want"))).alias("n_wrong"))
+
+
 @query("surgical_operations")
 def surgical_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a patch of each file's nodes does, by operation and type of node."""
