@@ -74,25 +74,23 @@ def parse_units(units: DataFrame, language: str = "C") -> DataFrame:
     writes. units: hash, text, distinct."""
     names = [x.strip().split(" ")[0] for x in fe.NODE_SCHEMA.split(", ")]
 
+    def parts(h: str, text: str) -> list[tuple]:
+        rows = fe.rows_of(h, text, language)
+        error, leaving, reached = None, {}, {}
+        facts = [dict(zip(names, r, strict=True)) for r in rows]
+        try:
+            edges = fe.control_flow(facts)
+            for src, dst, kind in edges:
+                leaving.setdefault(src, []).append({"dst": dst, "edge_type": kind})
+            for writer, reader, var in fe.data_flow(facts, edges):
+                reached.setdefault(writer, []).append({"reader": reader, "var": var})
+        except fe.FlowError as e:
+            error, leaving = str(e), {}
+        return [(*r, leaving.get(r[1], []), reached.get(r[1], []), error) for r in rows]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for h, text in zip(batch["hash"], batch["text"], strict=True):
-                rows = fe.rows_of(h, text, language)
-                error, leaving, reached = None, {}, {}
-                facts = [dict(zip(names, r, strict=True)) for r in rows]
-                try:
-                    edges = fe.control_flow(facts)
-                    for src, dst, kind in edges:
-                        leaving.setdefault(src, []).append({"dst": dst, "edge_type": kind})
-                    for writer, reader, var in fe.data_flow(facts, edges):
-                        reached.setdefault(writer, []).append({"reader": reader, "var": var})
-                except fe.FlowError as e:
-                    error, leaving = str(e), {}
-                out += [(*r, leaving.get(r[1], []), reached.get(r[1], []), error) for r in rows]
-            frame = pd.DataFrame(out, columns=[x.strip().split(" ")[0] for x in PARTS.split(", ")])
-            frame["parent_id"] = frame["parent_id"].astype("Int64")
-            yield frame
+        texts = (x for batch in batches for x in zip(batch["hash"], batch["text"], strict=True))
+        yield from fe.framed((parts(h, text) for h, text in texts), [x.strip().split(" ")[0] for x in PARTS.split(", ")])
 
     return units.select("hash", "text").mapInPandas(run, PARTS)
 
