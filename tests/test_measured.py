@@ -2,7 +2,8 @@
 
 import pytest
 
-from graphtide.plans import catalog, graph_queries, match_queries, update_queries  # noqa: F401  the modules register their queries
+from graphtide.operators import frontends as fe
+from graphtide.plans import catalog, graph_queries, match_queries, source_queries, update_queries  # noqa: F401  the modules register their queries
 from graphtide.runtime import measured
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,27 @@ def test_measured_session_follows_the_caller(spark):
         assert measured(spark).conf.get("spark.sql.shuffle.partitions") == "7"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_parser_holds_the_rows_of_few_files():
+    held = []
+
+    def files():
+        for k in range(200):
+            held.append(k)
+            yield [(str(k), i, None if i == 0 else 0) for i in range(fe.ROWS_HELD // 10)]
+
+    first = next(frames := fe.framed(files(), ["graph_id", "node_id", "parent_id"]))
+    assert len(held) == 10 and len(first) == fe.ROWS_HELD
+    assert len(first) + sum(len(f) for f in frames) == 20 * fe.ROWS_HELD
+
+
+@pytest.mark.parametrize("name", ["source_data_dependence", "source_function_returns", "source_dot", "node_repairing", "surgical_operations"])
+def test_parsed_nodes_are_not_broadcast_by_estimate(spark, name):
+    assert _static_broadcasts(catalog.QUERIES[name](spark, SF)) == 0
+
+
+@pytest.mark.parametrize("name", ["child_alignment", "sexp_round_trip"])
+def test_small_groups_share_batches(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan
