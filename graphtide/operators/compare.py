@@ -124,26 +124,25 @@ def aligned_children(left: DataFrame, right: DataFrame, keys: list[str], thresho
 
     left, right: keys, node_id, end_id, kind, name, in order of node_id. The children of one node are one group.
     """
-    import pandas as pd
-
     from graphtide.functions.diff import align
 
     cols = ["node_id", "end_id", "kind", "name"]
     both = left.select(*keys, *cols, F.lit(0).alias("side")).unionByName(right.select(*keys, *cols, F.lit(1).alias("side")))
+    listed = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct(*cols))))
 
     def like(a: tuple, b: tuple) -> float:
         longer = max(a[1] - a[0], b[1] - b[0])
         shared = max(0, min(a[1], b[1]) - max(a[0], b[0])) / longer if longer > 0 else 0.0
         return 0.7 * (a[2] == b[2]) + 0.3 * shared
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        l, r = (list(frame[frame["side"] == k].sort_values("node_id")[cols].itertuples(index=False, name=None)) for k in (0, 1))  # noqa: E741
+    def run(l: list, r: list) -> list[tuple]:  # noqa: E741
         rows = []
         for op, i, j in align(l, r, like, threshold):
             if op != "insert" and op != "delete":
                 op = "keep" if l[i][2:] == r[j][2:] else "modify"
-            rows.append((*key, op, None if i is None else l[i][0], None if j is None else r[j][0]))
-        return pd.DataFrame(rows, columns=[*keys, "op", "l_id", "r_id"]).astype({"l_id": "Int64", "r_id": "Int64"})
+            rows.append((op, None if i is None else l[i][0], None if j is None else r[j][0]))
+        return rows
 
-    spec = ", ".join(f"`{n}` {t}" for n, t in left.select(*keys).dtypes)
-    return both.groupBy(*keys).applyInPandas(run, f"{spec}, op string, l_id long, r_id long")
+    # families are small and many: they pass through Python by the batch, not one frame each
+    ops = F.udf(run, "array<struct<op:string,l_id:bigint,r_id:bigint>>", useArrow=True)
+    return both.groupBy(*keys).agg(listed(0).alias("l"), listed(1).alias("r")).select(*keys, F.inline(ops("l", "r")))
