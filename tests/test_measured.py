@@ -2,6 +2,7 @@
 
 import pytest
 
+from graphtide import runtime
 from graphtide.operators import frontends as fe
 from graphtide.plans import catalog, graph_queries, match_queries, source_queries, update_queries  # noqa: F401  the modules register their queries
 from graphtide.runtime import measured
@@ -53,3 +54,17 @@ def test_parsed_nodes_are_not_broadcast_by_estimate(spark, name):
 def test_small_groups_share_batches(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "InPandas" not in plan
+
+
+@pytest.mark.parametrize("name", ["canonical_ids", "only_in_one", "range_within", "dyadic_cover", "subtree_removal_edges"])
+def test_the_tree_is_dealt_by_graph_once(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan
+
+
+def test_parts_follow_the_input(spark, tmp_path):
+    for k, size in enumerate((0, 10 * runtime.PART_BYTES, 20 * runtime.PART_BYTES)):
+        with (tmp_path / str(k)).open("wb") as f:
+            f.truncate(size)
+    few, more, most = (runtime.parts_of(spark, [str(tmp_path / str(k))]) for k in range(3))
+    assert (few, more, most) == (spark.sparkContext.defaultParallelism, 10, 20)
