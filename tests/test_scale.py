@@ -35,3 +35,12 @@ def test_sketches(spark):
         low, high = sum(x < r["value"] for x in own) / len(own), sum(x <= r["value"] for x in own) / len(own)
         assert r["n"] == len(own) == 12000 and low - 0.01 <= r["rank"] <= high + 0.01
     assert M.quantile_sketches(df.filter(F.col("x") < 0), ["k"], "x").count() == 0
+
+
+def test_loops_make_their_edges_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long").write.parquet(str(tmp_path / "edges"))
+    edges, plans, cut = spark.read.parquet(str(tmp_path / "edges")), [], fixpoint.cut
+    monkeypatch.setattr(fixpoint, "cut", lambda df, *old: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, *old))[1])
+    assert {r["level"] for r in fixpoint.bfs(edges, spark.createDataFrame([(0,)], "id long")).collect()} == set(range(7))
+    assert {r["label"] for r in fixpoint.min_labels(edges, None)[0].collect()} == {0}
+    assert len(plans) > 10 and not any(str(tmp_path) in p for p in plans)
