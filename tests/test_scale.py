@@ -44,3 +44,15 @@ def test_loops_make_their_edges_once(spark, tmp_path, monkeypatch):
     assert {r["level"] for r in fixpoint.bfs(edges, spark.createDataFrame([(0,)], "id long")).collect()} == set(range(7))
     assert {r["label"] for r in fixpoint.min_labels(edges, None)[0].collect()} == {0}
     assert len(plans) > 10 and not any(str(tmp_path) in p for p in plans)
+
+
+def test_components_end_when_only_stars_are_left(spark, monkeypatch):
+    from graphtide.operators import components
+
+    rounds, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df, *old: (rounds.append(1), cut(df, *old))[1])
+    trees = spark.createDataFrame([(10 * g, 10 * g + k) for g in range(5) for k in range(1, 4)], "src long, dst long")
+    found = {r["node"]: r["component"] for r in components.connected_components(trees).collect()}
+    assert found == {10 * g + k: 10 * g for g in range(5) for k in range(4)} and len(rounds) == 2
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    assert {r["component"] for r in components.connected_components(path).collect()} == {0}
