@@ -144,8 +144,7 @@ def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.expr(_TOUCHED.replace("n.", "")), "modified").otherwise(F.col("kind"))
 
     def spans(version: DataFrame) -> DataFrame:
-        paths = tree.paths_to_root(version)
-        return version.select("graph_id", "node_id", "parent_id", F.col("node_id").alias("start"), F.col("end_id").alias("end"), "depth").join(paths, ["graph_id", "node_id"])
+        return tree.with_paths(version).select("graph_id", "node_id", "parent_id", F.col("node_id").alias("start"), F.col("end_id").alias("end"), "depth", "path", "above")
 
     return treediff.changed_ranges(spans(nodes), spans(nodes.withColumn("kind", kind)))
 

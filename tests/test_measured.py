@@ -68,3 +68,9 @@ def test_parts_follow_the_input(spark, tmp_path):
             f.truncate(size)
     few, more, most = (runtime.parts_of(spark, [str(tmp_path / str(k))]) for k in range(3))
     assert (few, more, most) == (spark.sparkContext.defaultParallelism, 10, 20)
+
+
+@pytest.mark.parametrize("name", ["structural_path", "changed_tree_ranges"])
+def test_paths_and_their_sweep_stay_where_the_tree_is(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

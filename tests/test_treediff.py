@@ -2,7 +2,7 @@
 
 import random
 
-from graphtide.operators import treediff
+from graphtide.operators import tree, treediff
 
 NODES = "graph_id long, node_id long, parent_id long, start long, end long, depth int, path string"
 
@@ -62,3 +62,14 @@ def test_expectations(spark):
     expected = spark.createDataFrame([("s", 1, 4, None), ("s", 1, 12, 14), ("s", 3, 1, 2)], found.schema)
     rows = {tuple(r) for r in treediff.met(found, expected, ["suite", "case_no"], ["start", "end"]).collect()}
     assert rows == {("s", 1, 4, 9, "hit"), ("s", 1, 12, 15, "unexpected"), ("s", 1, 12, 14, "missing"), ("s", 2, 0, 3, "unexpected"), ("s", 3, 1, 2, "missing")}
+
+
+def test_paths_of_parents_spare_the_join_and_deep_trees_are_followed_by_level(spark):
+    rows = [(g, n, n - 1 if n else None, n, 12 - n, n, None if n == 2 else f"k{(g + n) % 3}") for g in range(3) for n in range(6)]
+    nodes = spark.createDataFrame(rows, "graph_id long, node_id long, parent_id long, start long, end long, depth int, kind string")
+    path = lambda g, n: "/".join(r[6] for r in rows if r[0] == g and r[1] <= n and r[6])
+    want = sorted((g, n, path(g, n), path(g, n - 1)) for g in range(3) for n in range(6))
+    flat, deep = tree.with_paths(nodes), tree.with_paths(nodes, max_depth=3)
+    for got in (flat, deep):
+        assert sorted((r.graph_id, r.node_id, r.path, r.above) for r in got.collect()) == want
+    assert sorted(map(tuple, treediff.signatures(flat).collect())) == sorted(map(tuple, treediff.signatures(flat.drop("above")).collect()))
