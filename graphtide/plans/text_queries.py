@@ -202,8 +202,10 @@ def numeric_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest edit scripts from each turn of a conversation to the next one, applied."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("old"), F.lead("text").over(w).alias("new"), F.lead("turn").over(w).alias("next")).filter("next IS NOT NULL")
-    return D.rebuilt(c, D.edits(c, ["conv_id", "turn"]), ["conv_id", "turn"]).select("conv_id", "turn", F.sha2("text", 256).alias("rebuilt"))
+    # a turn may have several rows: their place tells them apart
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w).alias("nth"), F.col("text").alias("old"), F.lead("text").over(w).alias("new"), F.lead("turn").over(w).alias("next")).filter("next IS NOT NULL")
+    key = ["conv_id", "turn", "nth"]
+    return D.rebuilt(c, D.edits(c, key), key).select("conv_id", "turn", F.sha2("text", 256).alias("rebuilt"))
 
 
 @query("opcode_counts")

@@ -1,4 +1,5 @@
 import difflib
+import hashlib
 import random
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphtide.functions import diff as D
 from graphtide.functions import text as X
+from graphtide.plans import catalog, text_queries  # noqa: F401  the module registers its queries
 
 
 def _lcs(a, b):
@@ -31,6 +33,37 @@ def test_edit_scripts_are_minimal_and_rebuild_the_text():
         assert "".join(a[s[1] : s[2]] for s in segments) == a and "".join(b[s[3] : s[4]] for s in segments) == b
 
 
+@pytest.mark.parametrize("table_bits", [1, 30, D.TABLE_BITS])
+def test_scripts_by_rows_of_bits_are_minimal(table_bits):
+    rng = random.Random(3)
+    for k in range(400):
+        a = rng.choices("abcd", k=rng.randint(0, 20))
+        b = [x for x in a if rng.random() < 0.9] if k % 2 else rng.choices("abcde", k=rng.randint(0, 20))
+        script, out, at = D.shortest_edits(a, b, table_bits), [], 0
+        for i, n, j, m in script:
+            out, at = out + a[at:i] + b[j:m], n
+        assert out + a[at:] == b and all(x[1] < y[0] and x[3] < y[2] for x, y in zip(script, script[1:]))
+        assert sum(n - i + m - j for i, n, j, m in script) == len(a) + len(b) - 2 * _lcs(a, b)
+
+
+def test_texts_of_which_little_is_equal_do_not_cost_the_square_of_what_differs(monkeypatch):
+    rounds = []
+    middle = D._middle
+    monkeypatch.setattr(D, "_middle", lambda *a: rounds.append(a[6:]) or middle(*a))
+    rng = random.Random(4)
+    old, new = (" ".join(rng.choices("abcdefghijklmnop", k=2000)) for _ in range(2))
+    assert D.apply_edits(old, new, D.token_edits(old, new)) == new
+    assert all(limit for limit in rounds)
+
+
+def test_rows_of_one_turn_are_rebuilt_by_themselves(spark, tmp_path):
+    rows = [(1, t, r, f"{t} {r} one two three"[: 30 - 7 * t]) for t in range(3) for r in ("assistant", "user")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.QUERIES["token_edit_scripts"](spark, str(tmp_path)).collect()
+    want = [(1, x[1], hashlib.sha256(y[3].encode()).hexdigest()) for x, y in zip(rows, rows[1:])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_patches_apply_and_misfits_are_refused():
     rng = random.Random(2)
     for _ in range(200):
