@@ -74,3 +74,8 @@ def test_parts_follow_the_input(spark, tmp_path):
 def test_paths_and_their_sweep_stay_where_the_tree_is(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_pairs_of_nodes_neither_move_nor_are_sorted(spark):
+    plan = catalog.QUERIES["node_matches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "partial_max(struct(score, score#" in plan and plan.count("HashAggregate") == 4
