@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtide.operators import graph, ordering, tree, treediff
-from graphtide.plans.adapters import EDGES_SQL, TREE_SQL, tree_nodes
+from graphtide.plans.adapters import EDGES_SQL, TREE_SQL, tree_nodes, tree_parts
 from graphtide.plans.catalog import query
 from graphtide.plans.io_queries import _folder
 from graphtide.runtime import table
@@ -102,7 +102,9 @@ def _store(spark: SparkSession, sf_dir: str) -> GraphStore:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         nodes = tree_nodes(spark, sf_dir)
-        _STORED[key] = GraphStore.write(nodes, graph.syntax_edges(nodes), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # a bucket is sorted when it is written and when it is joined: buckets grow in number with the tables, not in size
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * tree_parts(spark, sf_dir))
+        _STORED[key] = GraphStore.write(nodes, graph.syntax_edges(nodes), buckets=buckets)
     return _STORED[key]
 
 

@@ -79,3 +79,11 @@ def test_paths_and_their_sweep_stay_where_the_tree_is(spark, name):
 def test_pairs_of_nodes_neither_move_nor_are_sorted(spark):
     plan = catalog.QUERIES["node_matches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "partial_max(struct(score, score#" in plan and plan.count("HashAggregate") == 4
+
+
+def test_buckets_of_the_store_follow_the_input(spark, monkeypatch):
+    monkeypatch.setattr(update_queries, "_STORED", {})
+    monkeypatch.setattr(update_queries, "tree_parts", lambda *_: 5)
+    store = update_queries._store(spark, SF)
+    assert store.buckets == 10 == 2 * 5 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store.drop()
