@@ -9,74 +9,104 @@ Two versions are aligned from the root down, and only below nodes whose hash dif
 as their order agrees; between two anchors, children are paired by place and kind and looked into, and what is left over is
 removed or inserted as whole subtrees. Where two labels leave no room, the parent's children are written anew.
 
+Each graph passes whole through Python once, as it does through the parser: jobs follow neither depth nor number of changes.
+
 Tables: nodes as frontends.build gives them; rows: ROW. A graph that is not in the new nodes stays; empty tables give empty ones.
 """
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from graphtide.operators.tree import child_paths
-from graphtide.runtime import cut, uncut
+from graphtide.operators.components import parts
+from graphtide.runtime import Shelf
 
 OWN = ["kind", "node_type", "role", "name", "df_reads", "df_writes"]
-WHAT = [*OWN, "lead", "length", "hash"]
-ROW = ["graph_id", "path", "up", *WHAT]
+ROW = ["graph_id", "path", "up", *OWN, "lead", "length", "hash"]
 #: Free labels between two siblings of a table that is made whole; digits of a label in a path.
 GAP, WIDTH = 1 << 20, 13
 
 
-def _cell(label: Column) -> Column:
-    return F.lpad(label.cast("string"), WIDTH, "0")
-
-
-def _under(top: Column, rest: Column) -> Column:
-    return F.when(top == "", rest).when(rest == "", top).otherwise(F.concat_ws("/", top, rest))
-
-
-def _above(path: Column) -> Column:
-    """The path of the parent; null for the root."""
-    return F.when(path != "", F.left(path, F.greatest(F.length(path) - WIDTH - 1, F.lit(0))))
-
-
-def _prefixes(path: Column) -> Column:
-    """The path and those of its ancestors, "" for the root."""
-    levels = F.floor((F.length(path) + 1) / (WIDTH + 1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), levels), lambda k: F.left(path, F.greatest(k * (WIDTH + 1) - 1, F.lit(0))))
-
-
-def described(nodes: DataFrame) -> DataFrame:
-    """nodes with lead, length and hash, which tells subtrees apart wherever they stand."""
-    kids, order = Window.partitionBy("graph_id", "parent_id").orderBy("child_ord"), Window.partitionBy("graph_id").orderBy("node_id")
-    # in pre-order, the row before a first child is its parent
-    before = F.coalesce(F.lag("end_byte").over(kids), F.lag("start_byte").over(order), F.lit(0))
-    here = cut(nodes.withColumns({"lead": F.col("start_byte") - before, "length": F.col("end_byte") - F.col("start_byte")}))
-    base = here.select("graph_id", "node_id", "parent_id", "child_ord", "depth", F.to_json(F.struct(*OWN, "lead", "length")).alias("own"))
-    parts, done = [], None
-    for d in range(int(here.agg(F.max("depth")).first()[0] or 0), -1, -1):
-        level = base.filter(F.col("depth") == d)
-        if done is None:
-            done = level.withColumn("hash", F.sha2("own", 256))
-        else:
-            below = done.groupBy("graph_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("child_ord", "hash")))["hash"], ",").alias("kids"))
-            done = level.join(below, ["graph_id", "node_id"], "left").withColumn("hash", F.sha2(F.concat_ws("|", "own", "kids"), 256)).drop("kids")
-        done = cut(done.drop("own", "depth"))
-        parts.append(done)
-    if not parts:
-        return here.withColumn("hash", F.lit(""))
-    out = cut(here.join(reduce(DataFrame.unionByName, parts).select("graph_id", "node_id", "hash"), ["graph_id", "node_id"]))
-    uncut(here, *parts)
+def _list(table: pa.Table, column: str) -> list:
+    return table.column(column).to_numpy().tolist()
+
+
+class _Tree:
+    """One graph's nodes in pre-order: children by index, lead, length, and hash, which tells subtrees apart wherever they stand."""
+
+    def __init__(self, nodes: pa.Table):
+        self.table = nodes = nodes.sort_by("node_id")
+        at = {n: i for i, n in enumerate(_list(nodes, "node_id"))}
+        self.up = [at.get(p) for p in pc.fill_null(nodes.column("parent_id"), -1).to_numpy().tolist()]
+        self.ord, self.kind = _list(nodes, "child_ord"), _list(nodes, "kind")
+        start, end = _list(nodes, "start_byte"), _list(nodes, "end_byte")
+        self.length = [z - a for a, z in zip(start, end, strict=True)]
+        self.kids: list[list[int]] = [[] for _ in start]
+        self.lead, self.size, self.hash = [], [1] * len(start), [""] * len(start)
+        for i, p in enumerate(self.up):
+            before = 0 if p is None else end[self.kids[p][-1]] if self.kids[p] else start[p]
+            self.lead.append(start[i] - before)
+            if p is not None:
+                self.kids[p].append(i)
+        own = _list(nodes, "own")
+        for i in range(len(start) - 1, -1, -1):
+            text = f"{own[i]}|{self.lead[i]}|{self.length[i]}|{','.join([self.hash[k] for k in self.kids[i]])}"
+            self.hash[i] = hashlib.sha256(text.encode()).hexdigest()
+            if self.up[i] is not None:
+                self.size[self.up[i]] += self.size[i]
+
+    def below(self, top: int, path: str, gap: int) -> list[str]:
+        """Paths of a subtree made whole, in pre-order, if its top stands at path."""
+        out = [path]
+        for i in range(top + 1, top + self.size[top]):
+            up = out[self.up[i] - top]
+            cell = str(self.ord[i] * gap).zfill(WIDTH)
+            out.append(f"{up}/{cell}" if up else cell)
+        return out
+
+    def rows(self, at: list[int], paths: list[str]) -> dict:
+        """Columns of ROW."""
+        took = self.table.take(pa.array(at, pa.int64()))
+        above = [None if not p else p[: max(len(p) - WIDTH - 1, 0)] for p in paths]
+        made = {"path": pa.array(paths, pa.string()), "up": pa.array(above, pa.string())}
+        made |= {"lead": pa.array([self.lead[i] for i in at], pa.int64()), "length": pa.array([self.length[i] for i in at], pa.int64()), "hash": pa.array([self.hash[i] for i in at], pa.string())}
+        return {c: made[c] if c in made else took.column(c) for c in ROW}
+
+
+def _read(nodes: DataFrame):
+    """What a tree is made of, by graph; own: the hash of what a node is by itself."""
+    own = F.sha2(F.to_json(F.struct(*OWN)), 256)
+    return nodes.select("graph_id", "node_id", "parent_id", "child_ord", "start_byte", "end_byte", *OWN, own.alias("own")).groupBy("graph_id")
+
+
+def _row_types(nodes: DataFrame) -> StructType:
+    """The columns of ROW, as a table of these nodes has them."""
+    made = {"path": "string", "up": "string", "lead": "long", "length": "long", "hash": "string"}
+    out = StructType()
+    for c in ROW:
+        out.add(c, made[c] if c in made else nodes.schema[c].dataType)
     return out
 
 
 def rows(nodes: DataFrame) -> DataFrame:
     """The table of a version, made whole."""
-    found = child_paths(described(nodes), _cell(F.col("child_ord") * GAP))
-    return found.withColumn("up", _above(F.col("path"))).select(*ROW)
+    gap = GAP
+
+    def whole(table: pa.Table) -> pa.Table:
+        tree = _Tree(table)
+        return pa.table(tree.rows(list(range(len(tree.kind))), tree.below(0, "", gap)))
+
+    return _read(nodes).applyInArrow(whole, _row_types(nodes))
 
 
 @dataclass
@@ -87,104 +117,166 @@ class Splice:
     written: DataFrame
 
 
-def _aligned(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame | None:
-    """Children of the pairs, None if there are none: (graph_id, up, path, node_id, same_kind, equal); path null: inserted, behind label `after` and before `until`
-    as number t of k; node_id null: removed."""
-    key = ["graph_id", "up"]
-    w = Window.partitionBy(*key)
-    l = old.join(pairs.select("graph_id", F.col("path").alias("up")), key).select(*key, "path", "kind", "hash", F.row_number().over(w.orderBy("path")).alias("i"))  # noqa: E741
-    r = new.join(pairs.select("graph_id", F.col("path").alias("up"), F.col("node_id").alias("parent_id")), ["graph_id", "parent_id"])
-    r = r.select(*key, "node_id", F.col("kind").alias("r_kind"), "hash", F.row_number().over(w.orderBy("child_ord")).alias("j"))
-    l, r = cut(l), cut(r)  # noqa: E741
-    if l.isEmpty() and r.isEmpty():
-        uncut(l, r)
-        return None
-    nth = lambda at: F.row_number().over(Window.partitionBy(*key, "hash").orderBy(at))
-    both = l.withColumn("nth", nth("i")).join(r.withColumn("nth", nth("j")), [*key, "hash", "nth"]).select(*key, "i", "j")
+def _aligned(left: list[tuple[str, str, str]], right: list[tuple[int, str, str]], gap: int) -> list[tuple] | None:
+    """Children of a pair in order, (path, kind, hash) and (index, kind, hash): (old place, new place, equal, label); old None: inserted at the
+    label; new None: removed. None where labels leave no room."""
+    seen: dict[tuple[str, int], int] = {}
+    number: Counter[str] = Counter()
+    for i, (_, _, h) in enumerate(left):
+        seen[h, number[h]] = i
+        number[h] += 1
+    number.clear()
+    both = []
+    for j, (_, _, h) in enumerate(right):
+        if (h, number[h]) in seen:
+            both.append((seen[h, number[h]], j))
+        number[h] += 1
     # pairs of one rank on both sides stand in one order
-    ranked = both.withColumns({"x": F.row_number().over(w.orderBy("i")), "y": F.row_number().over(w.orderBy("j"))})
-    anchors = cut(ranked.filter("x = y").select(*key, "i", "j"))
-    # a child's stretch is the number of anchors up to it, its place the number of children since the anchor
-    def stretched(side: DataFrame, at: str) -> DataFrame:
-        marked = side.join(anchors.select(*key, at, F.lit(1).alias("anchor")), [*key, at], "left").withColumn("anchor", F.coalesce("anchor", F.lit(0)))
-        dealt = marked.withColumn("g", F.sum("anchor").over(w.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)))
-        return dealt.withColumn("t", F.row_number().over(Window.partitionBy(*key, "g").orderBy(F.desc("anchor"), at)) - F.col("anchor")).drop("hash", at)
-
-    left, right = cut(stretched(l, "i")), cut(stretched(r, "j").drop("anchor"))
-    full = cut(left.join(right, [*key, "g", "t"], "full_outer"))
-    label = F.right("path", F.lit(WIDTH)).cast("long")
-    found = full.select(*key, "g", "t", "path", "node_id", label.alias("label"), (F.col("kind") == F.col("r_kind")).alias("same_kind"), F.coalesce(F.col("anchor") == 1, F.lit(False)).alias("equal"))
-    # what stays in place at either side of inserted children: rows with both sides
-    stays = F.when(F.col("path").isNotNull() & F.col("node_id").isNotNull(), F.col("label"))
-    order = w.orderBy("g", "t")
-    after = F.coalesce(F.max(stays).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    until = F.min(stays).over(order.rowsBetween(1, Window.unboundedFollowing))
-    extra = F.col("path").isNull()
-    placed = found.withColumns({"after": after, "until": until, "t": F.when(extra, F.row_number().over(Window.partitionBy(*key, "g", extra).orderBy("t"))), "k": F.when(extra, F.count("*").over(Window.partitionBy(*key, "g", extra)))})
-    out = placed.withColumn("step", F.when(extra, F.floor((F.coalesce("until", F.col("after") + (F.col("k") + 1) * GAP) - F.col("after")) / (F.col("k") + 1))))
-    return cut(out, l, r, anchors, left, right, full)
+    anchors = [a for a, b in zip(sorted(both), both, strict=True) if a == b]
+    full: list[tuple[int | None, int | None, bool]] = []
+    i = j = 0
+    for a, b in [*anchors, (len(left), len(right))]:
+        for t in range(max(a - i, b - j)):
+            full.append((i + t if i + t < a else None, j + t if j + t < b else None, False))
+        if a < len(left):
+            full.append((a, b, True))
+        i, j = a + 1, b + 1
+    out: list[tuple] = []
+    label = lambda i: int(left[i][0][-WIDTH:])
+    after, at = 0, 0
+    while at < len(full):
+        i, j, equal = full[at]
+        if i is not None:
+            out.append((i, j, equal, None))
+            after = after if j is None else label(i)
+            at += 1
+            continue
+        # inserted children stand between the rows that stay at either side
+        k = 1
+        while at + k < len(full) and full[at + k][0] is None:
+            k += 1
+        until = next((label(x) for x, y, _ in full[at + k :] if x is not None and y is not None), after + (k + 1) * gap)
+        step = (until - after) // (k + 1)
+        if step < 1:
+            return None
+        out += [(None, full[at + t][1], False, after + (t + 1) * step) for t in range(k)]
+        at += k
+    return out
 
 
-def splice(old: DataFrame, nodes: DataFrame) -> Splice:
-    """What turns the table old into the one of the new version's nodes. nodes hold the changed graphs, whole."""
-    new = described(nodes)
-    first = old.filter("path = ''").select("graph_id", "path", "kind", F.col("hash").alias("l_hash"))
-    top = new.filter("parent_id IS NULL").select("graph_id", "node_id", F.col("kind").alias("r_kind"), "hash").join(first, "graph_id", "left")
-    changed = cut(top.filter(~F.col("l_hash").eqNullSafe(F.col("hash"))))
-    known = F.coalesce(F.col("kind") == F.col("r_kind"), F.lit(False))
-    pairs = [cut(changed.filter(known).select("graph_id", "path", "node_id"))]
-    other = changed.filter(~known)
-    gone, fresh = [other.filter("path IS NOT NULL").select("graph_id", "path")], [other.select("graph_id", F.lit("").alias("path"), "node_id")]
-    while not pairs[-1].isEmpty():
-        found = _aligned(old, new, pairs[-1])
+def _changes(old: pa.Table, nodes: pa.Table, gap: int) -> dict | None:
+    """One graph's changes: columns op (remove, insert, update) and ROW; None if nothing changes."""
+    new = _Tree(nodes)
+    stored = sorted(zip(_list(old, "path"), _list(old, "kind"), _list(old, "hash"), strict=True))
+    paths = [p for p, _, _ in stored]
+    kids: dict[str, list[tuple[str, str, str]]] = {}
+    for row in stored:
+        if row[0]:
+            kids.setdefault(row[0][: max(len(row[0]) - WIDTH - 1, 0)], []).append(row)
+    if stored and stored[0][2] == new.hash[0]:
+        return None
+    gone: list[str] = []
+    fresh: list[tuple[str, int]] = []
+    pairs: list[tuple[str, int]] = []
+    if stored and stored[0][1] == new.kind[0]:
+        pairs.append(("", 0))
+    else:
+        gone, fresh = ([""] if stored else []), [("", 0)]
+    # the list grows while it is read: pairs are looked into
+    for path, node in pairs:
+        under = lambda label, path=path: f"{path}/{str(label).zfill(WIDTH)}" if path else str(label).zfill(WIDTH)
+        left, right = kids.get(path, []), [(k, new.kind[k], new.hash[k]) for k in new.kids[node]]
+        found = _aligned(left, right, gap)
         if found is None:
-            break
-        tight = found.filter("step < 1").select("graph_id", "up").distinct()
-        room, anew = found.join(tight, ["graph_id", "up"], "left_anti"), found.join(tight, ["graph_id", "up"], "left_semi")
-        inside = room.filter("NOT equal AND same_kind").select("graph_id", "path", "node_id")
-        gone += [t.filter("path IS NOT NULL").select("graph_id", "path") for t in (room.filter("NOT equal AND NOT coalesce(same_kind, false)"), anew)]
-        fresh.append(room.filter("NOT equal AND NOT same_kind").select("graph_id", "path", "node_id"))
-        fresh.append(room.filter("path IS NULL").select("graph_id", _under(F.col("up"), _cell(F.col("after") + F.col("t") * F.col("step"))).alias("path"), "node_id"))
-        if not tight.isEmpty():
-            j = F.row_number().over(Window.partitionBy("graph_id", "up").orderBy("node_id"))
-            fresh.append(anew.filter("node_id IS NOT NULL").select("graph_id", _under(F.col("up"), _cell(j * GAP)).alias("path"), "node_id"))
-        pairs.append(cut(inside))
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    inner = old.join(changed.select("graph_id"), "graph_id", "left_semi").select("graph_id", "path", F.explode(_prefixes(F.col("path"))).alias("above"))
-    removed = inner.join(union(gone).withColumnRenamed("path", "above"), ["graph_id", "above"], "left_semi").select("graph_id", "path").distinct()
-    paths = cut(child_paths(cut(new.join(changed.select("graph_id"), "graph_id", "left_semi")), _cell(F.col("child_ord") * GAP)))
-    tops = union(fresh).withColumnRenamed("path", "top").join(paths.select("graph_id", "node_id", F.col("path").alias("above")), ["graph_id", "node_id"]).drop("node_id")
-    below = paths.withColumn("above", F.explode(_prefixes(F.col("path")))).join(tops, ["graph_id", "above"])
-    rest = F.substring("path", F.when(F.col("above") == "", 1).otherwise(F.length("above") + 2), F.length("path"))
-    inserts = below.withColumn("path", _under(F.col("top"), rest)).withColumn("op", F.lit("insert"))
-    updates = new.join(union(pairs), ["graph_id", "node_id"]).withColumn("op", F.lit("update"))
-    written = union([t.withColumn("up", _above(F.col("path"))).select("op", *ROW) for t in (inserts, updates)])
-    return Splice(cut(removed), cut(written))
+            gone += [p for p, _, _ in left]
+            fresh += [(under((j + 1) * gap), k) for j, (k, _, _) in enumerate(right)]
+            continue
+        for i, j, equal, label in found:
+            if i is None:
+                fresh.append((under(label), right[j][0]))
+            elif j is None:
+                gone.append(left[i][0])
+            elif not equal and left[i][1] == right[j][1]:
+                pairs.append((left[i][0], right[j][0]))
+            elif not equal:
+                gone.append(left[i][0])
+                fresh.append((left[i][0], right[j][0]))
+    removed: list[str] = []
+    for top in gone:
+        # the rows of a subtree lie together: "/" comes before the digits
+        low, high = (0, len(paths)) if not top else (bisect_left(paths, top), bisect_left(paths, top + "0"))
+        removed += paths[low:high]
+    at, where = [k for _, k in pairs], [p for p, _ in pairs]
+    for path, top in fresh:
+        at += range(top, top + new.size[top])
+        where += new.below(top, path, gap)
+    ops = ["update"] * len(pairs) + ["insert"] * (len(at) - len(pairs)) + ["remove"] * len(removed)
+    written, n = new.rows(at, where), len(removed)
+    blank = {c: pa.nulls(n, v.type) for c, v in written.items()} | {"path": pa.array(removed, pa.string())}
+    if n:
+        blank["graph_id"] = old.column("graph_id").slice(0, 1).take(pa.array([0] * n, pa.int64()))
+    flat = lambda v: v.chunks if isinstance(v, pa.ChunkedArray) else [v]
+    return {"op": pa.array(ops, pa.string())} | {c: pa.chunked_array([*flat(written[c]), *flat(blank[c])], type=written[c].type) for c in ROW}
+
+
+def splice(old: DataFrame, nodes: DataFrame) -> Splice:
+    """What turns the table old into the one of the new version's nodes. nodes hold the changed graphs, whole.
+
+    A graph passes whole through Python, as it does through the parser: the changes of all graphs are one job, however deep the trees.
+    """
+    gap, types = GAP, StructType().add("op", "string")
+    for field in _row_types(nodes).fields:
+        types.add(field)
+    none = to_arrow_schema(types).empty_table()
+
+    def change(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _changes(left, right, gap) if right.num_rows else None
+        return none if found is None else pa.table(found)
+
+    sides = old.select("graph_id", "path", "kind", "hash").groupBy("graph_id").cogroup(_read(nodes))
+    found = Shelf(old.sparkSession).put(sides.applyInArrow(change, types), "graph_id", parts(old))
+    removed = F.col("op") == "remove"
+    return Splice(found.filter(removed).select("graph_id", "path"), found.filter(~removed))
 
 
 def spliced(old: DataFrame, change: Splice) -> DataFrame:
     """The table of the new version."""
-    stale = change.removed.unionByName(change.written.filter("op = 'update'").select("graph_id", "path")).distinct()
+    stale = change.removed.unionByName(change.written.filter("op = 'update'").select("graph_id", "path"))
     return old.join(stale, ["graph_id", "path"], "left_anti").unionByName(change.written.select(*ROW))
 
 
+_NUMBERS = {"node_id": "long", "end_id": "long", "parent_id": "long", "child_ord": "integer", "depth": "integer", "start_byte": "long", "end_byte": "long"}
+_NODE = ["graph_id", "node_id", "end_id", "parent_id", "child_ord", "depth", "kind", "node_type", "role", "name", "start_byte", "end_byte", "df_reads", "df_writes"]
+
+
+def _numbered(table: pa.Table) -> pa.Table:
+    """One graph's rows with nested-set numbers, ordinals and byte spans: its open nodes are a stack, in order of paths."""
+    table = table.sort_by("path")
+    found: dict[str, list] = {c: [] for c in _NUMBERS}
+    # of each open node: number, children so far, and the position from which the next child's lead counts
+    open_: list[list[int]] = []
+    for me, (path, lead, length) in enumerate(zip(_list(table, "path"), _list(table, "lead"), _list(table, "length"), strict=True)):
+        depth = (len(path) + 1) // (WIDTH + 1)
+        while len(open_) > depth:
+            found["end_id"][open_.pop()[0]] = me
+        parent, nth, start = None, 1, lead
+        if open_:
+            up = open_[-1]
+            parent, start = up[0], up[2] + lead
+            up[1] += 1
+            nth, up[2] = up[1], start + length
+        open_.append([me, 0, start])
+        for c, v in zip(_NUMBERS, (me, 0, parent, nth, depth, start, start + length), strict=True):
+            found[c].append(v)
+    for node in open_:
+        found["end_id"][node[0]] = table.num_rows
+    types = {"long": pa.int64(), "integer": pa.int32()}
+    return pa.table({c: pa.array(found[c], types[_NUMBERS[c]]) if c in _NUMBERS else table.column(c) for c in _NODE})
+
+
 def renumbered(table: DataFrame) -> DataFrame:
     """The nodes of a table, as frontends.build numbers them: nested sets, ordinals and byte spans."""
-    order = Window.partitionBy("graph_id").orderBy("path")
-    sizes = table.select("graph_id", F.explode(_prefixes(F.col("path"))).alias("path")).groupBy("graph_id", "path").agg(F.count("*").alias("size"))
-    # rows are windowed by graph and by parent before; the offset in the parent is that of the siblings before, and the lead
-    siblings = Window.partitionBy("graph_id", "up").orderBy("path")
-    offset = F.sum(F.col("lead") + F.col("length")).over(siblings.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    here = table.withColumns({"node_id": (F.row_number().over(order) - 1).cast("long"), "child_ord": F.row_number().over(siblings), "offset": offset})
-    here = here.join(sizes, ["graph_id", "path"]).withColumn("end_id", F.col("node_id") + F.col("size"))
-    # a node's start is the sum of the offsets of the subtrees that are open at it
-    marks = F.array(F.struct(F.col("node_id").alias("pos"), F.lit(1).alias("opens"), F.col("offset").alias("by")), F.struct(F.col("end_id").alias("pos"), F.lit(0).alias("opens"), (-F.col("offset")).alias("by")))
-    events = here.select("graph_id", F.explode(marks).alias("m")).select("graph_id", "m.*")
-    start = F.sum("by").over(Window.partitionBy("graph_id").orderBy("pos", "opens").rowsBetween(Window.unboundedPreceding, 0))
-    starts = events.withColumn("start_byte", start).filter("opens = 1").select("graph_id", F.col("pos").alias("node_id"), "start_byte")
-    parents = here.select("graph_id", F.col("path").alias("up"), F.col("node_id").alias("parent_id"))
-    out = here.join(starts, ["graph_id", "node_id"]).join(parents, ["graph_id", "up"], "left")
-    depth = F.floor((F.length("path") + 1) / (WIDTH + 1)).cast("int")
-    return out.select(
-        "graph_id", "node_id", "end_id", "parent_id", F.col("child_ord").cast("int").alias("child_ord"), depth.alias("depth"), "kind", "node_type", "role", "name", "start_byte", (F.col("start_byte") + F.col("length")).alias("end_byte"), "df_reads", "df_writes"
-    )
+    types = StructType()
+    for c in _NODE:
+        types.add(c, _NUMBERS[c] if c in _NUMBERS else table.schema[c].dataType)
+    return table.select("graph_id", "path", *OWN, "lead", "length").groupBy("graph_id").applyInArrow(_numbered, types)

@@ -77,3 +77,17 @@ def test_new_graphs_and_empty_tables(spark):
     change = splice.splice(table, nodes.limit(0))
     assert change.written.count() == change.removed.count() == 0
     _same(splice.spliced(table, change), table)
+
+
+def test_jobs_do_not_follow_the_depth(spark):
+    """One pass by graph: a level of the tree costs no jobs of its own (there were some ten a level)."""
+    deep = "int f(int a) {\n" + "  if (a > 1) { " * 12 + "a = 2;" + " }" * 12 + "\n  return a;\n}\n"
+    old, new = _files(spark, {"x": deep}), _files(spark, {"x": deep.replace("a = 2", "a = 345")})
+    table = cut(splice.rows(old))
+    sc = spark.sparkContext
+    sc.setJobGroup("splice", "")
+    got = splice.renumbered(splice.spliced(table, splice.splice(table, new))).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("splice"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(str, got)) == sorted(map(str, new.select(*got[0].__fields__).collect()))
+    assert 0 < jobs <= 20
