@@ -5,7 +5,7 @@ import pytest
 from graphtide import runtime
 from graphtide.operators import frontends as fe
 from graphtide.plans import catalog, graph_queries, match_queries, source_queries, update_queries  # noqa: F401  the modules register their queries
-from graphtide.runtime import measured
+from graphtide.runtime import LONG_ROWS, measured
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +87,18 @@ def test_buckets_of_the_store_follow_the_input(spark, monkeypatch):
     store = update_queries._store(spark, SF)
     assert store.buckets == 10 == 2 * 5 > int(spark.conf.get("spark.sql.shuffle.partitions"))
     store.drop()
+
+
+def test_long_texts_are_written_by_few_rows(spark, tmp_path):
+    """Megabytes in a row: whoever writes or reads the result holds few of them at a time; the nodes that they are made from stay as they are."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    found = catalog.QUERIES["source_sexp"](spark, SF)
+    own = found.sparkSession
+    assert own is measured(spark, LONG_ROWS) and own is not measured(spark) and own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "4"
+    assert measured(spark).conf.get("parquet.block.row.count.limit", None) is None
+    found.crossJoin(own.range(40)).coalesce(1).write.parquet(str(tmp_path / "out"))
+    meta = pq.ParquetFile(glob.glob(f"{tmp_path}/out/*.parquet")[0]).metadata
+    assert meta.num_rows > 100 and max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 16
