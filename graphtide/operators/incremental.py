@@ -172,20 +172,21 @@ def data(store: Store, at: DataFrame) -> DataFrame:
 
 
 def operations(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(graph_id, path, op, l_id, r_id): a surgical update as one merge of two versions' nodes by their path of child ordinals.
+    """(graph_id, path, op, l_id, r_id, l_type): a surgical update as one merge of two versions' nodes by their path of child ordinals.
 
     keep: the same node, wherever it is now; move: only its numbers or position changed; update: name or kind too; insert; delete.
-    Applied to old, the operations give new.
+    Applied to old, the operations give new. Tables that lie in parts by graph are merged where they lie.
     """
     sides = []
     for nodes_, p in ((old, "l"), (new, "r")):
-        sides.append(child_paths(nodes_).select("graph_id", "path", F.col("node_id").alias(f"{p}_id"), F.struct("kind", "name", "role").alias(f"{p}_what"), F.struct("node_id", "start_byte", "end_byte").alias(f"{p}_where")))
+        of_type = [F.col("node_type").alias("l_type")] if p == "l" else []
+        sides.append(child_paths(nodes_).select("graph_id", "path", *of_type, F.col("node_id").alias(f"{p}_id"), F.struct("kind", "name", "role").alias(f"{p}_what"), F.struct("node_id", "start_byte", "end_byte").alias(f"{p}_where")))
     both = sides[0].join(sides[1], ["graph_id", "path"], "full_outer")
     op = (
         F.when(F.col("r_id").isNull(), "delete").when(F.col("l_id").isNull(), "insert")
         .when(~F.col("l_what").eqNullSafe(F.col("r_what")), "update").when(~F.col("l_where").eqNullSafe(F.col("r_where")), "move").otherwise("keep")
     )
-    return both.select("graph_id", "path", op.alias("op"), "l_id", "r_id")
+    return both.select("graph_id", "path", op.alias("op"), "l_id", "r_id", "l_type")
 
 
 def repaired(old: DataFrame, edits: DataFrame, new: DataFrame) -> DataFrame:

@@ -102,3 +102,18 @@ def test_long_texts_are_written_by_few_rows(spark, tmp_path):
     found.crossJoin(own.range(40)).coalesce(1).write.parquet(str(tmp_path / "out"))
     meta = pq.ParquetFile(glob.glob(f"{tmp_path}/out/*.parquet")[0]).metadata
     assert meta.num_rows > 100 and max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 16
+
+
+def test_versions_of_parsed_nodes_are_merged_where_they_lie(spark):
+    """Nodes of both versions move neither for their paths nor to meet; only the counts by graph are dealt."""
+    plan = catalog.QUERIES["surgical_operations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1
+
+
+def test_paths_by_one_window_are_those_by_levels(spark):
+    from graphtide.operators.tree import child_paths
+
+    deep = "int f(int a) {\n" + "  if (a > 1) { " * 9 + "a = 2;" + " }" * 9 + "\n  return a;\n}\nint t;\n"
+    nodes = fe.build(spark.createDataFrame([("a", deep), ("b", ""), ("c", "int x;\n" * 12)], "graph_id string, text string")).cache()
+    one, other = ({(r["graph_id"], r["node_id"]): r["path"] for r in child_paths(nodes, most).collect()} for most in (64, 0))
+    assert one == other and len(one) == nodes.count()
